@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import packing
+from quadloom.llm import mpegts, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_warc": warc.op5_warc,
     "op6_harmonic_packing": packing.op6_harmonic_packing,
+    "op10_transport_streams": mpegts.op10_transport_streams,
 }
 ORACLES: dict[str, str] = {}

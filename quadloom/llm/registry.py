@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import mpegts, packing, warc
+from quadloom.llm import mixing, mpegts, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_hierarchical_mixing": mixing.op4_hierarchical_mixing,
     "op5_warc": warc.op5_warc,
     "op6_harmonic_packing": packing.op6_harmonic_packing,
     "op10_transport_streams": mpegts.op10_transport_streams,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_hierarchical_mixing": mixing.ORACLE}

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import mixing, mpegts, packing, warc
+from quadloom.llm import mixing, mpegts, packing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op4_hierarchical_mixing": mixing.op4_hierarchical_mixing,
     "op5_warc": warc.op5_warc,
     "op6_harmonic_packing": packing.op6_harmonic_packing,

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import mixing, mpegts, packing, pii, warc
+from quadloom.llm import langid, mixing, mpegts, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
+    "op2_byte_cnn_quality": quality.op2_byte_cnn_quality,
+    "op3_kneser_ney_language": langid.op3_kneser_ney_language,
     "op4_hierarchical_mixing": mixing.op4_hierarchical_mixing,
     "op5_warc": warc.op5_warc,
     "op6_harmonic_packing": packing.op6_harmonic_packing,
+    "op7_compression_toxicity": toxicity.op7_compression_toxicity,
     "op10_transport_streams": mpegts.op10_transport_streams,
 }
 ORACLES: dict[str, str] = {"op4_hierarchical_mixing": mixing.ORACLE}

@@ -1,8 +1,62 @@
-"""Corpus pipeline; its stages follow with the operators they call."""
+"""Corpus pipeline: quality, near duplicates, personal data, mixture, packing.
 
-STAGES: list = []
+Each stage is (spark, docs, sf_dir) -> DataFrame over whole texts; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadloom import runtime
+from quadloom.llm import jaccard, mixing, packing, pii, quality
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from a bounded sample of all labels (quality.PER_CLASS)."""
+    model = quality.train(docs, runtime.table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 or more on word 5-grams, the smallest id stays."""
+    return jaccard.deduplicate(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates; n_chars follows the text."""
+    out = pii.replace(docs, count_col="pii_entities_found")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture's rows, once per epoch; the document where a leaf's prefix ends stays whole."""
+    return mixing.mix_documents(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can express neither the network nor the tokenizer; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = runtime.materialize(docs, f"stage-{name}")
+    return docs

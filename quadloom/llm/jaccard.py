@@ -373,3 +373,13 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(runtime.table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def deduplicate(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group stays: the smallest id's. Of rows that repeat id and text one stays; rows without an id are
+    compared by text alone."""
+    found = join(docs, k=k, num=num, den=den, id_col=id_col, text_col=text_col)
+    stay = runtime.materialize(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct(), "kept-ids")
+    kept = docs.join(stay, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    bare = docs.where(F.col(id_col).isNull())
+    return kept if bare.isEmpty() else kept.unionByName(bare.dropDuplicates([text_col]))

@@ -199,3 +199,20 @@ def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = runtime.table(spark, sf_dir, "documents"), runtime.table(spark, sf_dir, "labels")
     model = train(docs, labels.where(sampling.fold("doc_id", 5) != 0))
     return score(docs, model).select("doc_id", (sampling.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows that score ``threshold`` or more, with all their columns."""
+    spark = docs.sparkSession
+    runtime.ship(spark)
+    runtime.small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+    free = next(n for n in (f"quality_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    both = docs.withColumn(free, F.col(text_col).cast("string"))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = probabilities(batch.columns[-1].to_pylist(), sent.value)
+            yield batch.drop_columns([free]).filter(pa.array(p >= threshold))
+
+    return both.mapInArrow(passed, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import jaccard, langid, mixing, mpegts, packing, pii, quality, toxicity, warc
+from quadloom.llm import jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_harmonic_packing": packing.op6_harmonic_packing,
     "op7_compression_toxicity": toxicity.op7_compression_toxicity,
+    "op8_stable_projection_neighbours": neighbours.op8_stable_projection_neighbours,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_transport_streams": mpegts.op10_transport_streams,
 }

@@ -75,6 +75,10 @@ def encode(value: Column, reserved: bool) -> Column:
     return form
 
 
+def _item(lead: str, reserved: bool):
+    return lambda x: F.concat(F.lit(lead), encode(x, reserved))
+
+
 def expand(template: str, values: dict[str, Column], lists: frozenset[str] | set[str] = frozenset()) -> Column:
     """The template with column values; names in ``lists`` are arrays. Unknown variables are undefined."""
     pieces = []
@@ -90,7 +94,7 @@ def expand(template: str, values: dict[str, Column], lists: frozenset[str] | set
             col = values[v.name]
             if v.name in lists:
                 own = F.filter(col, lambda x: x.isNotNull())
-                joined = F.array_join(F.transform(own, lambda x, r=reserved, v=v: F.concat(F.lit(f"{v.name}=") if named and v.explode else F.lit(""), encode(x, r))), sep if v.explode else ",")
+                joined = F.array_join(F.transform(own, _item(f"{v.name}=" if named and v.explode else "", reserved)), sep if v.explode else ",")
                 text = F.when(F.size(own) > 0, joined if v.explode or not named else F.concat(F.lit(f"{v.name}="), joined))
             else:
                 x = encode(F.substring(col, 1, v.prefix) if v.prefix else col, reserved)

@@ -44,14 +44,29 @@ def cells(df: DataFrame, table: Table) -> DataFrame:
         else:
             base = c.datatype.base
             quoted = "\\Q" + c.separator + "\\E"
-            trim = (lambda x: x) if base in ("string", "anyAtomicType", "any") else (lambda x, b=base: values.white_space(F.trim(x), b))
-            items = F.filter(F.transform(F.split(t, quoted, -1), trim), lambda x, c=c: ~x.isin(list(c.null)))
-            both = F.transform(items, lambda x, c=c: F.struct(values.check(x, c.datatype)[1].alias("lex"), values.check(x, c.datatype)[0].alias("ok")))
+            items = F.filter(F.transform(F.split(t, quoted, -1), _item_trim(base)), _not_in(c.null))
+            both = F.transform(items, _item_check(c))
             empty = F.array().cast("array<struct<lex:string,ok:boolean>>")
             out.append(F.struct(F.when(null & (t != ""), None).when(t == "", empty).otherwise(both).alias("lex"), F.lit(True).alias("ok")).alias(f"x{i}"))
     return staged.select(*keep, *out)
 
 
+def _item_trim(base: str):
+    return (lambda x: x) if base in ("string", "anyAtomicType", "any") else (lambda x: values.white_space(F.trim(x), base))
+
+
+def _not_in(null: tuple[str, ...]):
+    return lambda x: ~x.isin(list(null))
+
+
+def _item_check(c: Column):
+    def check(x: C) -> C:
+        ok, lex = values.check(x, c.datatype)
+        return F.struct(lex.alias("lex"), ok.alias("ok"))
+
+    return check
+
+
 def quad(s_kind: C | str, s: C, p: C | str, o_kind: C | str, o: C, dt: C | str | None = None, lang: str | None = None) -> C:
     lit = lambda x: x if isinstance(x, C) else F.lit(x).cast("string")
     return F.struct(lit(s_kind).alias("s_kind"), s.alias("s"), lit(p).alias("p"), lit(o_kind).alias("o_kind"), o.cast("string").alias("o"), lit(dt).alias("o_dt"), lit(lang).alias("o_lang"), F.lit(None).cast("string").alias("g"))
@@ -64,6 +79,27 @@ def _literal(c: Column, s_kind: C | str, s: C, p: C | str, lex: C, ok: C) -> C:
     return quad(s_kind, s, p, "literal", lex, F.when(ok, F.lit(dt)).otherwise(F.lit(XSD + "string")) if not lang else dt, lang)
 
 
+def _item_literal(c: Column, s_kind: C | str, s: C, p: C):
+    return lambda v: _literal(c, s_kind, s, p, v["lex"], v["ok"])
+
+
+def _item_title(row_node: C, dt: str, lang: str | None):
+    return lambda v: quad("bnode", row_node, CSVW + "title", "literal", v["lex"], dt, lang)
+
+
+def _list_node(ordinal: int, row: C, j: int):
+    return lambda i: F.concat(F.lit(f"_:t{ordinal}r"), row, F.lit(f"c{j}i"), i.cast("string"))
+
+
+def _list_cells(c: Column, node, size: C):
+    """first and rest of each list cell."""
+    def rest(v: C, i: C) -> C:
+        more = i + 1 < size
+        return quad("bnode", node(i), RDF + "rest", F.when(more, F.lit("bnode")).otherwise(F.lit("iri")), F.when(more, node(i + 1)).otherwise(F.lit(RDF + "nil")))
+
+    return [lambda v, i: _literal(c, "bnode", node(i), RDF + "first", v["lex"], v["ok"]), rest]
+
+
 def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options = Options()) -> DataFrame:
     """All quads of a table's rows."""
     own = cells(df, table)
@@ -102,14 +138,13 @@ def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options =
             elif c.separator is None:
                 single.append(F.when(there, _literal(c, s_kind, s, p, x["lex"], x["ok"])).otherwise(none))
             elif not c.ordered:
-                many.append(F.transform(x["lex"], lambda v, c=c, s_kind=s_kind, s=s, p=p: _literal(c, s_kind, s, p, v["lex"], v["ok"])))
+                many.append(F.transform(x["lex"], _item_literal(c, s_kind, s, p)))
             else:
-                node = lambda i, j=j: F.concat(F.lit(f"_:t{ordinal}r"), row, F.lit(f"c{j}i"), i.cast("string"))
+                node = _list_node(ordinal, row, j)
                 size = F.size(x["lex"])
                 empty = size == 0
                 single.append(F.when(there, quad(s_kind, s, p, F.when(empty, F.lit("iri")).otherwise(F.lit("bnode")), F.when(empty, F.lit(RDF + "nil")).otherwise(node(F.lit(0))))).otherwise(none))
-                many.append(F.transform(x["lex"], lambda v, i, c=c, node=node: _literal(c, "bnode", node(i), RDF + "first", v["lex"], v["ok"])))
-                many.append(F.transform(x["lex"], lambda v, i, node=node, size=size: quad("bnode", node(i), RDF + "rest", F.when(i + 1 < size, F.lit("bnode")).otherwise(F.lit("iri")), F.when(i + 1 < size, node(i + 1)).otherwise(F.lit(RDF + "nil")))))
+                many += [F.transform(x["lex"], f) for f in _list_cells(c, node, size)]
         if not options.minimal:
             single.append(F.when(there, quad("bnode", row_node, CSVW + "describes", s_kind, s)).otherwise(none))
     if not options.minimal:
@@ -123,7 +158,7 @@ def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options =
             if c.separator is None:
                 single.append(F.when(F.col(f"x{i}.lex").isNotNull(), quad("bnode", row_node, CSVW + "title", "literal", F.col(f"x{i}.lex"), dt, lang)).otherwise(none))
             else:
-                many.append(F.transform(F.col(f"x{i}.lex"), lambda v, dt=dt, lang=lang: quad("bnode", row_node, CSVW + "title", "literal", v["lex"], dt, lang)))
+                many.append(F.transform(F.col(f"x{i}.lex"), _item_title(row_node, dt, lang)))
     empty = F.array().cast("array<struct<" + QUAD.replace(" string", ":string").replace(" ", "") + ">>")
     everything = F.concat(F.array(*single) if single else empty, *[F.coalesce(m, empty) for m in many])
     # a row's quads are a set
@@ -177,6 +212,10 @@ def convert(spark: SparkSession, group: TableGroup, read: Callable[[Table], tupl
     return spark.createDataFrame([], QUAD) if done is None else done
 
 
+def _bad_cell(warn, c: Column):
+    return lambda v: warn(F.concat(F.lit("'"), v["lex"], F.lit(f"' is not a valid {c.datatype.base}")), c)
+
+
 def cell_issues(df: DataFrame, table: Table) -> DataFrame:
     """A warning for each missing required cell and each cell that its datatype does not allow."""
     own = cells(df, table)
@@ -186,11 +225,11 @@ def cell_issues(df: DataFrame, table: Table) -> DataFrame:
         x = F.col(f"x{i}")
         if c.required:
             found.append(F.when(x["lex"].isNull(), F.array(warn(F.lit("a required cell is empty"), c))))
-        bad = lambda v, c=c: warn(F.concat(F.lit("'"), v, F.lit(f"' is not a valid {c.datatype.base}")), c)
+        bad = _bad_cell(warn, c)
         if c.separator is None:
-            found.append(F.when(~x["ok"], F.array(bad(x["lex"]))))
+            found.append(F.when(~x["ok"], F.array(bad(x))))
         else:
-            found.append(F.transform(F.filter(x["lex"], lambda v: ~v["ok"]), lambda v, bad=bad: bad(v["lex"])))
+            found.append(F.transform(F.filter(x["lex"], lambda v: ~v["ok"]), bad))
     if not found:
         return df.sparkSession.createDataFrame([], ISSUE)
     kind = "array<struct<" + ISSUE.replace(" string", ":string").replace(" bigint", ":bigint").replace(" ", "") + ">>"

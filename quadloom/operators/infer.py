@@ -30,7 +30,7 @@ def columns(quads: DataFrame) -> DataFrame:
     typed = own.join(classes(quads).withColumnsRenamed({"g": "cg", "s": "cs"}), (F.col("s") == F.col("cs")) & F.col("g").eqNullSafe(F.col("cg")), "left").withColumn("class", F.coalesce("class", F.lit("")))
     name = datatype_name(F.col("o_kind"), F.col("o_dt"))
     iri = F.when(F.col("o_kind") == "iri", F.col("o"))
-    per = typed.groupBy("class", "p", "g", "s").agg(F.count_distinct("o", "o_dt", "o_lang").alias("n"), F.collect_set(name).alias("dts"), F.min(iri).alias("lo"), F.max(iri).alias("hi"),
+    per = typed.groupBy("class", "p", "g", "s").agg(F.count_distinct(F.struct("o", "o_dt", "o_lang")).alias("n"), F.collect_set(name).alias("dts"), F.min(iri).alias("lo"), F.max(iri).alias("hi"),
                                                     F.min(F.reverse(iri)).alias("rlo"), F.max(F.reverse(iri)).alias("rhi"), F.max(F.col("o_lang")).alias("lang"))
     return per.groupBy("class", "p").agg((F.max("n") > 1).alias("multi"), F.array_distinct(F.flatten(F.collect_set("dts"))).alias("dts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
                                          F.min("rlo").alias("rlo"), F.max("rhi").alias("rhi"))

@@ -349,17 +349,22 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str
     state.verify(rows.mapInArrow(lambda it: _short_lists(it, num, den), "a bigint, b bigint"))
 
     long = runtime.materialize(lists.join(sizes.where(F.col("size") > SHORT_LIST).select("token"), "token"), "long-lists")
+    pivots_now = PIVOTS
+    need = f"(({num} * (n + greatest(mn, ({num} * n + {den - 1}) div {den})) + {num + den - 1}) div {num + den})"
     while not long.isEmpty():
-        rows = state.with_comp(long)
-        groups = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        tops = groups.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top_comp"))
-        rows = runtime.materialize(rows.join(tops, "token"), "open-lists")
+        groups = state.with_comp(long).withColumn("rest", F.col("n") - F.col("pos"))
+        tops = (groups.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("rest").alias("mr"), F.min("n").alias("mn"))
+                .groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.max("mr").alias("mr"), F.min("mn").alias("mn")).where("comps > 1"))
+        # an entry whose position leaves too little for the list's best partner can match nothing there
+        rows = groups.join(tops.select("token", F.col("top.comp").alias("top_comp"), "mr", "mn"), "token").where(f"least(rest, mr) >= {need}")
+        rows = runtime.materialize(rows.select("token", "cid", "n", "pos", "comp", "top_comp"), "open-lists")
         outside = rows.where("comp <> top_comp").withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("cid"), "cid")))
-        pivots = runtime.materialize(outside.where(F.col("r") <= PIVOTS).select("token", "cid", "n", "pos", "comp"), "pivots")
+        pivots = runtime.materialize(outside.where(F.col("r") <= pivots_now).select("token", "cid", "n", "pos", "comp"), "pivots")
         if pivots.isEmpty():
             break
         state.verify(rows.alias("x").join(pivots.alias("y"), "token").where("x.comp <> y.comp and " + _bound("x", "y", num, den)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
         long = runtime.materialize(rows.select("token", "cid", "n", "pos").join(pivots.select("token", "cid"), ["token", "cid"], "left_anti"), "long-lists")
+        pivots_now *= 2
 
     # classes -> rows; only a class's smallest id and its component go over
     least = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("own"))

@@ -41,6 +41,8 @@ MINHASHES = 3
 SHORT_LIST = 256
 BLOCK = 32
 PIVOTS = 32
+#: Class ids (8 bytes each) up to this number may be broadcast to filter sets; beyond it they are joined.
+BROADCAST_IDS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -291,8 +293,13 @@ class _Join:
         swap = F.col("db") > F.col("da")
         pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("p"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("q"), F.ceil(F.greatest("da", "db") / 500).alias("parts"))
         pairs = runtime.materialize(pairs.withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))), "oriented")
-        heads = pairs.select("p", "part").distinct().join(self.sets.withColumnRenamed("cid", "p"), "p").select("p", F.lit(None).cast("bigint").alias("q"), "set", "part")
-        rows = pairs.join(self.sets.withColumnRenamed("cid", "q"), "q").select("p", "q", "set", "part").union(heads)
+        heads = pairs.select("p", "part").distinct().select(F.col("p").alias("cid"), "p", F.lit(None).cast("bigint").alias("q"), "part")
+        asked = pairs.select(F.col("q").alias("cid"), "p", "q", "part").union(heads)
+        wanted = asked.select("cid").distinct()
+        sets = self.sets
+        if wanted.count() <= BROADCAST_IDS:  # then only the wanted sets are shuffled
+            sets = sets.join(F.broadcast(wanted), "cid", "left_semi")
+        rows = asked.join(sets, "cid").select("p", "q", "set", "part")
         num, den = self.num, self.den
         rows = rows.repartition("p", "part").sortWithinPartitions("p", "part", F.col("q").asc_nulls_first()).select("p", "q", "set")
         done = runtime.materialize(rows.mapInArrow(lambda it: _compare(it, num, den), "a bigint, b bigint, linked boolean").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked"), "compared")
@@ -329,8 +336,11 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str
     text = own.select("text")
     pre = runtime.materialize(text.mapInArrow(lambda it: _prefixes(it, levels, k, num, den), "cid bigint, n bigint, prefix array<bigint>, mins array<bigint>"), "prefixes")
     postings = pre.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
-    lists = runtime.materialize(postings.join(shared, "token").select("token", "cid", "n", F.col("pos").cast("bigint").alias("pos")).distinct(), "lists")
+    # a list needs two classes, and an entry a partner that its position and size do not rule out
+    shared = postings.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("mr"), F.min("n").alias("mn")).where("lo <> hi").select("token", "mr", "mn")
+    need = f"(({num} * (n + greatest(mn, ({num} * n + {den - 1}) div {den})) + {num + den - 1}) div {num + den})"
+    lists = postings.join(shared, "token").where(f"least(n - pos, mr) >= {need}")
+    lists = runtime.materialize(lists.select("token", "cid", "n", F.col("pos").cast("bigint").alias("pos")).distinct(), "lists")
     bitmap = spark.sparkContext.broadcast(_gather(lists.select("cid").distinct().mapInArrow(_bits, "block int, data binary"), "or"))  # 2 MB
     sets = runtime.materialize(text.mapInArrow(lambda it: _candidate_sets(it, bitmap, k), "cid bigint, set binary").dropDuplicates(["cid"]), "sets")
     state = _Join(num, den, sets)
@@ -350,7 +360,6 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str
 
     long = runtime.materialize(lists.join(sizes.where(F.col("size") > SHORT_LIST).select("token"), "token"), "long-lists")
     pivots_now = PIVOTS
-    need = f"(({num} * (n + greatest(mn, ({num} * n + {den - 1}) div {den})) + {num + den - 1}) div {num + den})"
     while not long.isEmpty():
         groups = state.with_comp(long).withColumn("rest", F.col("n") - F.col("pos"))
         tops = (groups.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("rest").alias("mr"), F.min("n").alias("mn"))

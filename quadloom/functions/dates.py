@@ -81,7 +81,7 @@ def instant(canonical: Column, base: str) -> Column:
     zone = F.regexp_extract(canonical, ("(?<=:[0-9]{2}|[.][0-9]{1,9})" if base != "date" else r"(?<=\d{4}-\d{2}-\d{2})") + f"({ZONE})$", 1)
     stamp = F.concat(F.lit("2000-01-01T"), bare) if base == "time" else bare
     offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(zone, 5, 2).try_cast("int"), F.lit(0)))).otherwise(F.lit(0))
-    return F.unix_micros(F.concat(stamp, F.lit("Z")).try_cast("timestamp") if base != "date" else F.concat(stamp, F.lit("T00:00:00Z")).try_cast("timestamp")) - offset * 60_000_000
+    return F.unix_micros(F.concat(stamp, F.lit("Z")).try_cast("timestamp") if base != "date" else F.concat(stamp, F.lit("T00:00:00Z")).try_cast("timestamp")) - offset.cast("bigint") * 60_000_000
 
 
 def show(canonical: Column, base: str, pattern: str) -> Column:

@@ -139,9 +139,9 @@ def _compact(value: Any, key: str = "") -> Any:
     return value
 
 
-OWN = {*INHERITED, *(k for v in KEYS.values() for k in v if k[0] != "@"), "reference", "columnReference", "resource", "schemaReference", "pattern", "decimalChar", "groupChar", "table", "column", "title", "foreignKey", "rowTitle", "note", "lineTerminator"}
-SINGLE = OWN - {"tables", "columns", "foreignKeys", "notes", "transformations", "titles", "columnReference", "lineTerminators", "rowTitles", "primaryKey", "null"}
 _ALIASES = {"table": "tables", "column": "columns", "title": "titles", "foreignKey": "foreignKeys", "rowTitle": "rowTitles", "note": "notes"}
+OWN = {*INHERITED, *(k for v in KEYS.values() for k in v if k[0] != "@"), "reference", "columnReference", "resource", "schemaReference", "pattern", "decimalChar", "groupChar", *_ALIASES, "lineTerminator"}
+SINGLE = OWN - {*_ALIASES, "tables", "columns", "foreignKeys", "notes", "transformations", "titles", "columnReference", "lineTerminators", "rowTitles", "primaryKey", "null"}
 
 
 class Loader:
@@ -369,14 +369,15 @@ class Loader:
         if {"minInclusive", "minExclusive"} <= set(bounds) or {"maxInclusive", "maxExclusive"} <= set(bounds):
             issues.error("inclusive and exclusive bounds together")
         if base in NUMERIC:
+            low, high = [], []
             try:
                 low = [float(x) for k, x in bounds.items() if k.startswith("min")]
                 high = [float(x) for k, x in bounds.items() if k.startswith("max")]
-                if low and high and (low[0] > high[0] or low[0] == high[0] and any(k.endswith("Exclusive") for k in bounds)):
-                    issues.error("the bounds leave no value")
             except ValueError:
                 issues.warn("a bound is not a number")
                 bounds = {}
+            if low and high and (low[0] > high[0] or low[0] == high[0] and any(k.endswith("Exclusive") for k in bounds)):
+                issues.error("the bounds leave no value")
         return Datatype(base, own, self._format(v.get("format"), base), n, lo, hi, bounds)
 
     def _format(self, fmt: Any, base: str) -> Any:

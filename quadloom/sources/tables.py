@@ -26,6 +26,16 @@ def number_rows(df: DataFrame, name: str = "_row") -> DataFrame:
     return own.withColumn(name, (index + start + 1).cast("bigint")).drop("_mid")
 
 
+def _width_after(spark: SparkSession, path: str, dialect: Dialect) -> int:
+    """Cells of the first record after skipped rows."""
+    lines = [r.value for r in spark.read.text(path).limit(dialect.skip_rows + 20).collect()]
+    lines = [x for x in lines if not (dialect.comment_prefix and x.startswith(dialect.comment_prefix))][dialect.skip_rows :]
+    if not lines:
+        return 1
+    row = spark.range(1).select(F.from_csv(F.lit(lines[0]), ", ".join(f"c{i} string" for i in range(lines[0].count(dialect.delimiter) + 1)), {"sep": dialect.delimiter, "quote": dialect.quote_char or "\u0000"}).alias("r")).select("r.*").first()
+    return max(1, sum(v is not None for v in row) if dialect.quote_char and dialect.quote_char in lines[0] else len(row))
+
+
 def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width: int | None = None, issues: Issues | None = None) -> DataFrame:
     """All records as text: _c0.., and _line, the record's number in the file. Empty cells are ''. Blank lines are no records."""
     opts = {"sep": dialect.delimiter, "quote": dialect.quote_char or "\u0000", "escape": '"' if dialect.double_quote else "\\", "encoding": ENCODINGS.get(dialect.encoding, "UTF-8"), "multiLine": True, "mode": "PERMISSIVE",
@@ -37,8 +47,8 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width
     if dialect.line_terminators and set(dialect.line_terminators) - {"\n", "\r\n", "\r"}:
         opts["lineSep"] = dialect.line_terminators[0]
     reader = spark.read.options(**opts)
-    if width is None:
-        width = len(reader.csv(path).columns)
+    if width is None:  # the widest of the first records: lines before the header can be shorter
+        width = _width_after(spark, path, dialect) if dialect.skip_rows else len(reader.csv(path).columns)
     schema = ", ".join(f"_c{i} string" for i in range(width)) + f", {CORRUPT} string"
     df = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
     df = df.select(*[F.coalesce(f"_c{i}", F.lit("")).alias(f"_c{i}") for i in range(width)], F.col(CORRUPT))

@@ -70,7 +70,7 @@ def share_out(nodes: DataFrame, parent: list[str], budget: str = "budget") -> Da
 
 def allocate(leaves: DataFrame, levels: list[str], weights: list[Mapping[str, float]], budget: Column, *, max_epochs: int, default_weight: float = 1.0) -> DataFrame:
     """Leaves (levels, tokens) -> levels, tokens, alloc."""
-    leaves = leaves.withColumn("cap", F.when(F.least(*[_weight(c, w, default_weight) for c, w in zip(levels, weights, strict=True)]) > 0, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
+    leaves = leaves.withColumn("cap", F.when(F.array_min(F.array(*[_weight(c, w, default_weight) for c, w in zip(levels, weights, strict=True)])) > 0, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
     # the root: one row per table
     budgets = leaves.agg(F.least(budget.cast("double"), F.sum("cap")).alias("budget"))
     for d in range(1, len(levels) + 1):

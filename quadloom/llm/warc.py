@@ -95,12 +95,12 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, roll: int, level: i
 
 def stream_records(read) -> Iterator[bytes]:
     """Records of one gzip stream (or of several, one after another); read(n) gives compressed bytes."""
-    inflate, buf, need = zlib.decompressobj(31), bytearray(), None
+    inflate, buf, need, ended = zlib.decompressobj(31), bytearray(), None, True
     while chunk := read(1 << 18):
         while chunk:
             buf += inflate.decompress(chunk)
-            chunk = inflate.unused_data
-            if inflate.eof:
+            chunk, ended = inflate.unused_data, inflate.eof
+            if ended:
                 inflate = zlib.decompressobj(31)
         at = 0
         while True:
@@ -115,8 +115,8 @@ def stream_records(read) -> Iterator[bytes]:
             yield bytes(buf[at : at + need])
             at, need = at + need, None
         del buf[:at]
-    if buf:
-        raise EOFError("the archive ends within a record")
+    if buf or not ended:
+        raise EOFError("the archive ends early")
 
 
 def _normalised(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:

@@ -103,7 +103,8 @@ def canonical(x: Column) -> Column:
     parts = F.struct(F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "").alias("d"), (F.length(whole) + shift - lead).alias("e"))
     body = F.element_at(F.transform(F.array(parts), laid), 1)
     sign = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, body))
+    usual = ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)) | (x == 0)  # the engine's own text, but for a trailing .0
+    return F.when(usual, F.regexp_replace(x.cast("string"), r"\.0$", "")).when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, body))
 
 
 def check(text: Column, base: str, pattern: str | None = None, decimal: str = ".", group: str | None = None) -> tuple[Column, Column, Column]:

@@ -285,3 +285,24 @@ def test_toxicity_separates():
     assert 0 <= toxicity.probability(None, m, c) <= 1
     with pytest.raises(ValueError):
         toxicity.fit([], good, 0.5)
+
+
+def test_toxicity_of_a_small_language_whose_ordinary_texts_have_the_words_too():
+    rng = random.Random(8)
+    ends = "bcdfghjklmnpqrst"
+
+    def text(other, toxic):
+        words = prose(rng, 100).split()
+        if other:
+            words = ["".join(rng.choices(["gek", "üm", "ört", "ßal", "zuv", "näh"], k=rng.randrange(1, 4))) for _ in words]
+        for _ in range(rng.randrange(3, 7) if toxic else int(other and rng.random() < 0.1)):
+            words.insert(rng.randrange(len(words)), "wompel" + rng.choice(ends) if other else rng.choice(["rotterdamned", "stinkhornish"]))
+        return " ".join(words)
+
+    bad = [text(i % 10 == 0, True) for i in range(300)]
+    good = [text(i % 2 == 0, False) for i in range(300)]
+    m = toxicity.fit(bad, good, 0.3)
+    c = m.compressors()
+    for other in (True, False):
+        assert np.mean([toxicity.probability(text(other, True), m, c) >= 0.5 for _ in range(40)]) >= 0.7
+        assert np.mean([toxicity.probability(text(other, False), m, c) >= 0.5 for _ in range(40)]) <= 0.1

@@ -6,7 +6,8 @@ number that passes its check digit still does, an account number gets right chec
 private, given names are exchanged within their gender and script, surnames keep script and case. An entity has the
 same surrogate everywhere, also where it is written differently (grouping, case). Surrogates come from SHA-2 of key,
 type, canonical form and attempt; the distinct entities of the whole corpus are checked, and those whose surrogate
-another entity has, or which equals any original, get the next attempt.
+another entity has, or which equals any original, get the next attempt. From attempt ``ATTEMPTS`` on the small formats
+are widened (more digits, letters or syllables; an IP address becomes one of IPv6), so that a free surrogate is found.
 
 Edge cases: a null text stays null, an empty one empty, with 0 entities. Rows that repeat are replaced alike. Texts
 without candidates pass unchanged, and columns other than the text are kept whatever their names (a column named as
@@ -121,13 +122,16 @@ def _pool(h: Column) -> Column:
 
 
 def _reformat(form: Column, h: Column) -> Column:
-    """Each digit and letter for another of its class; hexadecimal strings stay hexadecimal."""
+    """Each digit and letter for another of its class, other letters for a small one or a digit, and so everything where
+    less than 6 characters are of a class (masks); hexadecimal strings stay hexadecimal."""
+    plain = F.length(F.regexp_replace(form, "[^0-9a-zA-Z]", "")) < 6
     hexa = form.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
 
     def one(c: Column, i: Column) -> Column:
         v = F.conv(F.substring(h, F.pmod(i * 2, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
         return (F.when(hexa, F.lower(F.hex(F.pmod(v, F.lit(16))))).when(c.rlike("[0-9]"), F.pmod(v, F.lit(10)).cast("string"))
-                .when(c.rlike("[a-z]"), F.char(F.pmod(v, F.lit(26)) + 97)).when(c.rlike("[A-Z]"), F.char(F.pmod(v, F.lit(26)) + 65)).otherwise(c))
+                .when(c.rlike("[a-z]"), F.char(F.pmod(v, F.lit(26)) + 97)).when(c.rlike("[A-Z]"), F.char(F.pmod(v, F.lit(26)) + 65))
+                .when(plain | c.rlike(r"[\p{L}\p{N}]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz234567"), F.pmod(v, F.lit(32)) + 1, F.lit(1))).otherwise(c))
 
     return F.array_join(F.transform(F.split(form, ""), one), "")
 
@@ -152,11 +156,12 @@ def _iban(form: Column, h: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), bban)
 
 
-def _ip(form: Column, h: Column) -> Column:
+def _ip(form: Column, h: Column, wide: Column) -> Column:
     o = [F.pmod(_num(h, 1 + 12 * i), F.lit(254)) + 1 for i in range(3)]
     private = F.regexp_extract(form, r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)", 1)
     public = F.concat_ws(".", 11 + F.pmod(_num(h, 37), F.lit(110)), *o)
-    return (F.when(private == "", public).when(private.isin("10.", "127."), F.concat(private, F.concat_ws(".", *o))).otherwise(F.concat(private, F.concat_ws(".", *o[:2]))))
+    six = F.concat_ws(":", F.when(private == "", F.lit("2001:db8")).otherwise(F.lit("fd00:0")), *[F.substring(h, 60 + 4 * i, 4) for i in range(6)])
+    return (F.when(wide, six).when(private == "", public).when(private.isin("10.", "127."), F.concat(private, F.concat_ws(".", *o))).otherwise(F.concat(private, F.concat_ws(".", *o[:2]))))
 
 
 def _letters(x: Column) -> Column:
@@ -170,10 +175,11 @@ def _email(form: Column, h: Column, key: str) -> Column:
     return F.concat(new, F.lit("@"), _letters(F.substring(site, 1, 10)), F.lit(".example."), F.substring_index(domain, ".", -1))
 
 
-def _surname(form: Column, h: Column) -> Column:
+def _surname(form: Column, h: Column, wide: Column) -> Column:
     def build(script: str) -> Column:
         table = F.array(*map(F.lit, SYLLABLES[script]))
-        return F.concat(*[F.element_at(table, (F.pmod(F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int"), F.lit(16)) + 1).cast("int")) for i in range(5)])
+        part = [F.element_at(table, (F.pmod(F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int"), F.lit(16)) + 1).cast("int")) for i in range(15)]
+        return F.concat(*part[:5], F.when(wide, F.concat(*part[5:])).otherwise(F.lit("")))
 
     return F.when(form.rlike(r"\p{IsCyrillic}"), build("cyrillic")).when(form.rlike(r"\p{IsGreek}"), build("greek")).otherwise(build("latin"))
 
@@ -185,21 +191,24 @@ def _let(value: Column, then) -> Column:
 
 def canonical_surrogate(part: Column, attempt: Column, key: str) -> Column:
     """The surrogate's canonical form of 'type:form'."""
+    wide = attempt >= ATTEMPTS
+
     def of(v: Column) -> Column:
         kind, form, h, pool = v["kind"], v["form"], v["h"], v["pool"]
-        return (F.when(kind == "email", _email(form, h, key)).when(kind == "secret", _reformat(form, h)).when(kind == "iban", _iban(form, h)).when(kind == "ip", _ip(form, h))
-                .when(kind == "card", _card(form, pool)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(pool, 1, 8))).when(kind == "name", _surname(form, h))
-                .otherwise(F.concat((F.substring(pool, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(pool, F.lit(2), F.length(form) - 1))))
+        more = lambda x: F.when(wide, x).otherwise(F.lit(""))
+        return (F.when(kind == "email", _email(form, h, key)).when(kind == "secret", F.concat(_reformat(form, h), more(F.substring(h, 101, 16)))).when(kind == "iban", _iban(form, h)).when(kind == "ip", _ip(form, h, wide))
+                .when(kind == "card", _card(form, pool)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(pool, 1, 8), more(F.substring(pool, 37, 12)))).when(kind == "name", _surname(form, h, wide))
+                .otherwise(F.concat((F.substring(pool, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(pool, F.lit(2), F.length(form) - 1), more(F.substring(pool, 37, 12)))))
 
     split = F.struct(F.substring_index(part, ":", 1).alias("kind"), F.regexp_replace(part, "^[a-z]+:", "").alias("form"), _hash(key, part, attempt).alias("h"))
     return _let(split, lambda v: _let(F.struct(v["kind"].alias("kind"), v["form"].alias("form"), v["h"].alias("h"), _pool(v["h"]).alias("pool")), of))
 
 
 def _place(surface: Column, digits: Column) -> Column:
-    """``digits`` in the digit positions of ``surface``."""
+    """``digits`` in the digit positions of ``surface``; those left over follow."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
     step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["s"], F.substring(digits, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
-    return F.aggregate(F.split(surface, ""), start, step, lambda a: a["s"])
+    return F.aggregate(F.split(surface, ""), start, step, lambda a: F.concat(a["s"], F.substring(digits, a["k"], F.length(digits))))
 
 
 def _place_all(surface: Column, chars: Column) -> Column:
@@ -218,7 +227,7 @@ def surrogates(entities: Column, key: str, attempts: Column | None) -> Column:
         return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, part), F.lit(0))
 
     def name(w: Column) -> Column:
-        new = _let(F.concat(F.lit("name:"), F.lower(w)), lambda part: _surname(w, _hash(key, part, tries(part))))
+        new = _let(F.concat(F.lit("name:"), F.lower(w)), lambda part: _surname(w, _hash(key, part, tries(part)), tries(part) >= ATTEMPTS))
         return _let(new, lambda n: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(n)).otherwise(F.initcap(n)))
 
     def word(w: Column) -> Column:
@@ -242,7 +251,7 @@ def resolve(parts: DataFrame, key: str) -> DataFrame:
     kind = F.substring_index("part", ":", 1)
     form = F.regexp_replace("part", "^[a-z]+:", "")
     now = runtime.materialize(parts.select("part", kind.alias("kind"), form.alias("form"), F.lit(0).alias("attempt"), canonical_surrogate(F.col("part"), F.lit(0), key).alias("new")), "entities")
-    for _ in range(ATTEMPTS):
+    while True:
         originals = now.select("kind", F.col("form").alias("new"))
         first = now.groupBy("kind", "new").agg(F.min("part").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
         bad = (now.join(originals, ["kind", "new"], "left_semi").select("part")
@@ -252,7 +261,6 @@ def resolve(parts: DataFrame, key: str) -> DataFrame:
             return now.select("part", "attempt")
         now = now.join(bad, "part", "left").withColumn("attempt", F.col("attempt") + F.col("again").isNotNull().cast("int"))
         now = runtime.materialize(now.withColumn("new", F.when(F.col("again"), canonical_surrogate(F.col("part"), F.col("attempt"), key)).otherwise(F.col("new"))).drop("again"), "entities")
-    raise RuntimeError("surrogates still clash; the key or the formats leave too few")
 
 
 def replace(docs: DataFrame, *, text_col: str = "text", key: str = KEY, count_col: str = "pii_entities") -> DataFrame:

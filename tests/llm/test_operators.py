@@ -179,6 +179,17 @@ def test_pii_clashes_take_another_attempt(spark, monkeypatch):
     assert len(got) == 4 and max(r.attempt for r in got) > 0
 
 
+def test_pii_masks_other_scripts_and_exhausted_formats(spark, monkeypatch):
+    rows = [(1, "password: ******** and password: ______ or password: пароль-тайна, token=密码密码密码密码")]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()[0]
+    assert got.pii_entities == 4 and not re.search("[*]{2}|__|парол|密码", got.text)
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    monkeypatch.setattr(pii, "_pool", lambda h: F.concat(F.lit("0" * 36), F.substring(h.cast("string"), 1, 0), F.lpad(F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint"), F.lit(10**12)).cast("string"), 12, "0")))
+    docs = spark.createDataFrame([(i, f"call 555-100-{i:04d} now") for i in range(20)], "doc_id long, text string")
+    texts = [r.text for r in pii.replace(docs).collect()]
+    assert len(set(texts)) == 20 and not any("555-100" in t for t in texts)
+
+
 def test_mixing_equals_its_oracle_and_water_fills(spark):
     import duckdb
 

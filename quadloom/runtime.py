@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
+import itertools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +65,22 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished plans: their shuffle files go with them, else at Spark's next periodic collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with a number behind it where a column has that name already."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        found = next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count())) if n.lower() not in used)
+        used.add(found.lower())
+        out.append(found)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

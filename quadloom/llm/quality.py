@@ -6,8 +6,10 @@ whole document. A rectifier, the maximum over all chunks, and one output unit gi
 minibatch Adam; the gradient reaches filters and embeddings through each maximum's chunk.
 
 Edge cases: null and empty texts are one empty chunk. Very long texts run in segments that overlap by a chunk, so the
-maximum is the same and memory bounded. Repeated rows score alike. Without labels of both classes fitting raises
-ValueError. An empty table gives an empty table.
+maximum is the same and memory bounded. Repeated rows score alike. Null labels and ids are not learned from. Without
+labelled documents of both classes fit() raises ValueError and train() gives a model that scores every text with the
+rate of label 1 (a half without labels). Other columns, whatever their names, pass keep() unchanged and are not read by
+score(). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -137,18 +139,18 @@ def fit(good: list[str], bad: list[str], rate: float, seed: int = 5) -> Model:
     laid = []
     for t, y in texts:
         x, first, chunks = _layout([b"\0" * CONTEXT + t.encode()])
-        laid.append((x, _flags(x), int(chunks[0]), y))
+        laid.append((x, int(chunks[0]), y))
     step = 0
     half = np.array([0.5 / len(good), 0.5 / len(bad)]) * len(texts)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(laid))
         for at in range(0, len(order), BATCH):
             own = [laid[i] for i in order[at : at + BATCH]]
-            x, flags = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
+            x, flags = np.concatenate([o[0] for o in own]), np.concatenate([_flags(o[0]) for o in own])
             first = (np.cumsum([0, *[len(o[0]) for o in own[:-1]]]) + CONTEXT) // (CELL * STRIDE)
-            y = np.array([o[3] for o in own], np.float32)
+            y = np.array([o[2] for o in own], np.float32)
             model = Model(p["embedding"], p["filters"], p["bias"], p["out"], float(p["out_bias"][0]))
-            best, where, rows = _forward(x, flags, first, np.array([o[2] for o in own]), model)
+            best, where, rows = _forward(x, flags, first, np.array([o[1] for o in own]), model)
             h = np.maximum(best, 0)
             z = h @ p["out"] + p["out_bias"][0]
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y == 1, half[0], half[1]) / len(own)
@@ -188,11 +190,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _scored(it, sent), "doc_id bigint, score double")
 
 
+def constant(rate: float) -> Model:
+    """Every text's score is the rate."""
+    width = CELLS * (DIM + len(LAGS))
+    return Model(np.zeros((256, DIM), np.float32), np.zeros((width, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), float(np.log(rate / (1 - rate))))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits on a bounded sample of labelled rows; the class rate is counted over all labels."""
-    texts = sampling.labelled_texts(docs, labels, "quality", per_class)
-    rate = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    return fit(texts[1], texts[0], min(max(rate or 0.5, 0.01), 0.99))
+    """Fits on a bounded sample of labelled rows, in one task; the class rate is counted over all labels. Without
+    labelled documents of both classes the model is that rate for every text."""
+    runtime.ship(docs.sparkSession)
+    runtime.small_batches(docs.sparkSession)
+    rate = sampling.rate_of(labels, "quality")
+
+    def learn(rows: list[tuple]) -> Model:
+        texts = sampling.by_class(rows)
+        return fit(texts[1], texts[0], rate) if texts[0] and texts[1] else constant(rate)
+
+    return sampling.fit_in_task(sampling.labelled_texts(docs, labels, "quality", per_class), learn)
 
 
 def op2_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

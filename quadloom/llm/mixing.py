@@ -6,13 +6,14 @@ what none of them can use goes back to the node's own siblings. Each leaf then t
 epochs: every full epoch that fits, and of the next epoch's order (by a keyed digest of epoch and id) the documents
 that begin before the remaining budget ends.
 
-All steps are DataFrame operations. No window runs over a leaf: per leaf, 4,096 buckets of the digest are summed, and
-rows are ordered within the one bucket where the prefix ends.
+All steps are DataFrame operations. No window runs over a leaf: per leaf, 4,096 buckets of the digest are summed, the one
+where the prefix ends is cut into 4,096 again as long as it has more than BUCKET_ROWS rows, and only then ordered.
 
 Edge cases: null or empty texts have 0 tokens; they belong to the prefix when their place in the order comes before
 its end. Null keys count as ''. Keys without a weight have ``default_weight``; a weight of 0 takes nothing. Rows that
 repeat an id share a place in the order and stand or fall together (a null id counts as ''). An empty table or a
-budget of 0 gives no rows. Other columns are kept as they are; the added names must not be taken.
+budget of 0 gives no rows. Other columns are kept as they are, whatever their names; an added column whose name is taken
+gets a number behind it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ WEIGHTS: list[dict[str, float]] = [
 ]
 LEVELS = ["domain", "lang", "source"]
 SEED, MAX_EPOCHS, BUDGET_SHARE = "mix-1", 2, 0.6
+#: Rows of one bucket that a task may order.
+BUCKET_ROWS = 4096
 
 TOKEN = "[^ \\t\\n\\r\\f]+"
 
@@ -69,25 +72,50 @@ def share_out(nodes: DataFrame, parent: list[str], budget: str = "budget") -> Da
 
 
 def allocate(leaves: DataFrame, levels: list[str], weights: list[Mapping[str, float]], budget: Column, *, max_epochs: int, default_weight: float = 1.0) -> DataFrame:
-    """Leaves (levels, tokens) -> levels, tokens, alloc."""
+    """Leaves (levels, tokens) -> levels, tokens, alloc. Each level's budgets are written, so that plans stay small."""
     leaves = leaves.withColumn("cap", F.when(F.array_min(F.array(*[_weight(c, w, default_weight) for c, w in zip(levels, weights, strict=True)])) > 0, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
+    leaves = runtime.materialize(leaves, "mix-caps")
     # the root: one row per table
     budgets = leaves.agg(F.least(budget.cast("double"), F.sum("cap")).alias("budget"))
     for d in range(1, len(levels) + 1):
         path = levels[:d]
         nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(path[-1], weights[d - 1], default_weight))
         nodes = nodes.crossJoin(F.broadcast(budgets)) if d == 1 else nodes.join(budgets, path[:-1])  # one row
-        budgets = share_out(nodes, path[:-1]).select(*path, F.col("alloc").alias("budget"))
+        budgets = runtime.materialize(share_out(nodes, path[:-1]).select(*path, F.col("alloc").alias("budget")), "mix-budgets")
     return leaves.select(*levels, "tokens").join(budgets.withColumnRenamed("budget", "alloc"), levels)
 
 
+def _ends(part: DataFrame, own: list[str]) -> DataFrame:
+    """Rows (own, rest, h, tokens) -> per leaf the last digest that begins before ``rest`` and the tokens before it.
+    The bucket of digests where the prefix ends is cut by three more digits until it holds few rows."""
+    found, known = None, 0
+    while True:
+        inside = part if found is None else part.join(found, own).where(F.substring("h", 1, known) == F.col("bucket")).drop("bucket", "rows_in")
+        if found is None:
+            inside = inside.withColumn("base", F.lit(0).cast("bigint"))
+        elif known >= 30 or (found.agg(F.max("rows_in")).first()[0] or 0) <= BUCKET_ROWS:
+            break
+        known += 3
+        sums = inside.groupBy(*own, "rest", "base", F.substring("h", 1, known).alias("bucket")).agg(F.sum("tokens").alias("n"), F.count("*").alias("rows_in"))
+        upto = Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 4,096 rows a leaf
+        sums = sums.withColumn("after", F.col("base") + F.sum("n").over(upto)).where("after - n < rest and after >= rest")
+        found = runtime.materialize(sums.select(*own, "bucket", "rows_in", F.expr("after - n").alias("base")), "mix-buckets")
+    same = inside.groupBy(*own, "rest", "base", "h").agg(F.sum("tokens").alias("n"))
+    order = Window.partitionBy(*own).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    same = same.withColumn("before", F.col("base") + F.sum("n").over(order) - F.col("n")).where("before < rest")
+    return same.groupBy(*own).agg(F.max("h").alias("last_h"), F.max("before").alias("last_before"))
+
+
 def mix(docs: DataFrame, levels: list[str], weights: list[Mapping[str, float]], *, id_col: str = "doc_id", text_col: str = "text", seed: str = SEED,
         max_epochs: int = MAX_EPOCHS, budget_tokens: int | None = None, budget_share: float = BUDGET_SHARE, default_weight: float = 1.0) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, once per epoch, with ``epoch``, ``tokens`` and ``take_tokens``.
-    The budget is ``budget_tokens``, or ``budget_share`` of all tokens."""
-    keyed = docs.withColumns({"tokens": F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(TOKEN)), F.lit(0)).cast("bigint"),
-                              "mix_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), **{f"mix_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels}})
-    own = [f"mix_{c}" for c in levels]
+    """The rows of ``docs`` that the mixture takes, once per epoch, with ``epoch``, ``tokens`` and ``take_tokens`` (with a
+    number behind the name where a column has it already). The budget is ``budget_tokens``, or ``budget_share`` of all
+    tokens."""
+    added = runtime.free_names(docs.columns, "epoch", "tokens", "take_tokens")
+    # the user's columns travel as one, so that no name can clash
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.regexp_count(docs[text_col].cast("string"), F.lit(TOKEN)), F.lit(0)).cast("bigint").alias("tokens"),
+                        F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("mix_id"), *[F.coalesce(docs[c].cast("string"), F.lit("")).alias(f"mix_{i}") for i, c in enumerate(levels)])
+    own = [f"mix_{i}" for i in range(len(levels))]
     small = runtime.materialize(keyed.select("mix_id", "tokens", *own), "mix-tokens")
     leaves = small.groupBy(*own).agg(F.sum("tokens").alias("tokens"))
     budget = F.lit(float(budget_tokens)) if budget_tokens is not None else F.floor(F.sum("tokens") * F.lit(float(budget_share)))
@@ -99,28 +127,24 @@ def mix(docs: DataFrame, levels: list[str], weights: list[Mapping[str, float]],
     def digest(epoch: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.col("mix_id")).cast("binary"))
 
-    part = small.join(leaves.where("rest > 0"), own).withColumn("h", digest(F.col("full_epochs")))
-    buckets = part.groupBy(*own, "rest", F.substring("h", 1, 3).alias("bucket")).agg(F.sum("tokens").alias("n"))
-    upto = Window.partitionBy(*own).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 4,096 rows a leaf
-    buckets = buckets.withColumn("after", F.sum("n").over(upto)).where("after - n < rest and after >= rest").select(*own, "bucket", F.expr("after - n").alias("bucket_before"))
-    inside = part.join(buckets, own).where(F.substring("h", 1, 3) == F.col("bucket")).groupBy(*own, "rest", "bucket_before", "h").agg(F.sum("tokens").alias("n"))
-    order = Window.partitionBy(*own).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("before", F.col("bucket_before") + F.sum("n").over(order) - F.col("n")).where("before < rest")
-    ends = inside.groupBy(*own).agg(F.max("h").alias("last_h"), F.max("before").alias("last_before"))
-    plan = runtime.materialize(leaves.join(ends, own, "left"), "mix-plan")  # one row per leaf
+    part = small.join(leaves.where("rest > 0"), own).select(*own, "rest", "tokens", digest(F.col("full_epochs")).alias("h"))
+    plan = runtime.materialize(leaves.join(_ends(part, own), own, "left"), "mix-plan")  # one row per leaf
 
     out = keyed.join(plan, own).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full_epochs").cast("int"))))
     out = out.withColumn("h", digest(F.col("epoch"))).where((F.col("epoch") < F.col("full_epochs")) | (F.col("h") <= F.col("last_h")))
     cut = (F.col("epoch") == F.col("full_epochs")) & (F.col("h") == F.col("last_h"))
-    return out.withColumn("take_tokens", F.when(cut, F.least("tokens", F.col("rest") - F.col("last_before"))).otherwise(F.col("tokens"))).select(*docs.columns, "epoch", "tokens", "take_tokens")
+    take = F.when(cut, F.least("tokens", F.col("rest") - F.col("last_before"))).otherwise(F.col("tokens"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[c.alias(n) for c, n in zip((F.col("epoch"), F.col("tokens"), take), added, strict=True)])
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    return mix(docs.withColumn("domain", domain_of(F.col("source"))), LEVELS, WEIGHTS)
+def mix_documents(docs: DataFrame, domain: str = "domain") -> DataFrame:
+    """The production mixture; ``domain``: a free name for the column of that level."""
+    return mix(docs.withColumn(domain, domain_of(F.col("source"))), [domain, *LEVELS[1:]], WEIGHTS)
 
 
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_documents(runtime.table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "take_tokens")
+    docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return mix_documents(docs).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "take_tokens")
 
 
 def _case(col: str, weights: Mapping[Any, float], default: str = "1.0") -> str:

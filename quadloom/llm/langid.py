@@ -5,17 +5,19 @@ counted: raw counts at the highest order, numbers of distinct left neighbours be
 order. The n-grams of all languages share one sorted array of 64-bit hashes per order, beside it the discounted
 probabilities and, for contexts, the interpolation weights of every language; scoring looks hashes up by binary search.
 The language with the lowest cross-entropy per character wins. A softmax over the cross-entropies, its temperature
-fitted on documents that were not counted, gives the score; a text whose cross-entropy is beyond what those documents
-of its language reach (mean + REJECT deviations) is marked as rejected.
+fitted on documents that were not counted, gives the score; a text whose cross-entropy is beyond what all but
+REJECT_RATE of those documents' pieces reach in their own language is marked as rejected.
 
-Edge cases: a null text or one without letters is ``und`` with score 0. Very long texts are summed over pieces.
-Repeated rows are predicted alike. If no row has a language, fitting raises ValueError. An empty table gives an empty
-table.
+Edge cases: a null text or one without a letter (as str.isalpha has it) is ``und`` with score 0. Very long texts are
+summed over pieces. Repeated rows are predicted alike. Rows without text or language are not learned from; if none is
+left, fit() raises ValueError and train() gives a model that predicts ``und``. Other columns are not read. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadloom import runtime
 from quadloom.llm import sampling
@@ -31,8 +34,11 @@ ORDER = 4
 #: Labelled documents per language for fitting: the documented bound. Every fifth calibrates.
 PER_LANG = 400
 PIECE = 200_000
-REJECT = 6.0
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Share of pieces of the calibrating documents, PIECE_CHARS long, that may be rejected in their own language.
+REJECT_RATE, PIECE_CHARS = 0.001, 100
+#: Numbers that \\w holds beside letters and \\d, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +132,11 @@ def fit(texts: dict[str, list[str]]) -> Model:
         sizes.append(n)
         gold += [j] * len(n)
     e, n, y = np.vstack(ents), np.concatenate(sizes), np.array(gold)
-    limits = np.array([np.mean(e[y == j, j]) + REJECT * max(0.05, np.std(e[y == j, j])) for j in range(len(langs))])
+    limits = np.full(len(langs), np.inf)
+    for j, k in enumerate(langs):
+        pieces = [t[i : i + PIECE_CHARS] for t in held[k] or normed[k][:5] for i in range(0, len(t), PIECE_CHARS)]
+        own = np.sort(entropies(pieces, m)[0][:, j])
+        limits[j] = own[min(len(own) - 1, int(np.ceil((1 - REJECT_RATE) * (len(own) + 1))) - 1)]
     # short samples of the held documents, as long ones are never in doubt
     best = min((0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0), key=lambda t: -np.log(_softmax(e, np.minimum(n, 20), t)[np.arange(len(y)), y] + 1e-12).sum())
     return Model(langs, m.grams, m.alpha, m.gamma, floor, best, limits)
@@ -192,7 +202,7 @@ def entropies(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def predict(texts: list[str | None], m: Model) -> list[tuple[str, float, float | None, bool]]:
     """Language, score, cross-entropy and whether it is rejected."""
-    own = [normal(t) for t in texts]
+    own = [normal(t) if m.langs else "" for t in texts]
     e, n = entropies([t for t in own if t], m)
     p, best = (_softmax(e, n, m.temperature), e.argmin(1)) if len(e) else (e, e)
     out, k = [], 0
@@ -225,17 +235,26 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id") -> Model:
-    """Fits on at most ``per_lang`` documents of each language, those with the smallest id hashes."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r.lang for r in own.groupBy("lang").count().collect()]  # languages, not documents
-    if not langs:
-        raise ValueError("language models need labelled documents")
-    ids = None
-    for x in langs:
-        part = own.where(F.col("lang") == x).select(id_col, "lang").orderBy(F.xxhash64(id_col), id_col).limit(per_lang)
-        ids = part if ids is None else ids.unionByName(part)
-    rows = own.select(id_col, "lang", "text").join(F.broadcast(ids.distinct()), [id_col, "lang"]).select("lang", "text").toPandas()
-    return fit({k: sorted(v)[: 2 * per_lang] for k, v in rows.groupby("lang").text})
+    """Fits on at most ``per_lang`` documents of each language, those with the smallest id hashes, in one task. The ids
+    are found in one pass: a limit per language holds before the shuffle."""
+    runtime.ship(docs.sparkSession)
+    runtime.small_batches(docs.sparkSession)
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("i"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
+    ids = runtime.materialize(own.select("i", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("i", "lang").distinct(), "language-ids")
+    few = ids.limit(50 * PER_LANG + 1).count() <= 50 * PER_LANG  # of 50 languages
+    rows = own.join(F.broadcast(ids) if few else ids, ["i", "lang"]).select("lang", "text")
+
+    def learn(got: list[tuple]) -> Model:
+        texts: dict[str, list[str]] = {}
+        for lang, text in sorted(got):
+            texts.setdefault(lang, []).append(text)
+        texts = {k: v[: 2 * per_lang] for k, v in texts.items()}  # a repeated id comes with all its texts
+        if not any(normal(t) for v in texts.values() for t in v):
+            return Model((), (), (), (), np.zeros(0), 1.0, np.zeros(0))
+        return fit(texts)
+
+    return sampling.fit_in_task(rows, learn)
 
 
 def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:

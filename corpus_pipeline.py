@@ -13,29 +13,52 @@ from quadloom.llm import jaccard, mixing, packing, pii, quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from a bounded sample of all labels (quality.PER_CLASS)."""
+    """Documents that the classifier rejects go. It learns from a bounded sample of all labels (quality.PER_CLASS).
+
+    Null and empty texts are scored like others, long ones whole; repeated rows stand or fall together. Without labelled
+    documents of both classes every text has the labels' rate as its score. Other columns pass; an empty table is empty.
+    """
     model = quality.train(docs, runtime.table(spark, sf_dir, "labels"))
     return quality.keep(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a Jaccard similarity of 0.8 or more on word 5-grams, the smallest id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 or more on word 5-grams, the row with the smallest id stays.
+
+    Rows without words (null and empty texts too) are linked with nothing and all stay; rows without an id come last in
+    their group; of rows that repeat id and text one stays. Other columns pass; an empty table is empty.
+    """
     return jaccard.deduplicate(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data get surrogates; n_chars follows the text."""
-    out = pii.replace(docs, count_col="pii_entities_found")
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Personal data get surrogates; n_chars follows the text (null for a null text).
+
+    Null and empty texts stay; repeated rows are changed alike. Other columns pass; an empty table is empty.
+    """
+    count = runtime.free_names(docs.columns, "pii_entities")[0]
+    out = pii.replace(docs, count_col=count)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture's rows, once per epoch; the document where a leaf's prefix ends stays whole."""
-    return mixing.mix_documents(docs).select(*docs.columns)
+    """The mixture's rows, once per epoch; the document where a leaf's prefix ends stays whole.
+
+    Null and empty texts have no tokens and stay where their place in the order is before the prefix's end; null keys
+    count as ''; rows that repeat an id stand or fall together. Other columns pass; an empty table is empty.
+    """
+    domain = runtime.free_names(docs.columns, "domain")[0]
+    return mixing.mix_documents(docs, domain).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 2048 tokens."""
+    """Pieces in sequences of 2048 tokens.
+
+    Null and empty texts are the end token alone; repeated rows are packed each; other columns are not read; an empty
+    table is empty.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -59,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = runtime.materialize(docs, f"stage-{name}")
+            runtime.release(spark)
     return docs

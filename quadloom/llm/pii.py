@@ -3,10 +3,12 @@
 Detected entities (e-mail and IP addresses, phone, card, social-security and account numbers, secrets, names of
 persons) are replaced by keyed surrogates of the same type and format: digits stay digits in the same grouping, a card
 number that passes its check digit still does, an account number gets right check digits, private IP ranges stay
-private, given names are exchanged within their gender and script, surnames keep script and case. An entity has the
-same surrogate everywhere, also where it is written differently (grouping, case). Surrogates come from SHA-2 of key,
-type, canonical form and attempt; the distinct entities of the whole corpus are checked, and those whose surrogate
-another entity has, or which equals any original, get the next attempt. From attempt ``ATTEMPTS`` on the small formats
+private, given names are exchanged within their gender and script in keyed order (so a surrogate may be another's
+original name), surnames keep case, hyphens, apostrophes, gendered endings and script (Latin, Cyrillic, Greek, Armenian;
+others become Latin). An entity has the same surrogate everywhere, also where it is written differently (grouping, case).
+Surrogates come from SHA-2 of key, type, canonical form and attempt; the distinct entities of the whole corpus are
+checked, and those whose surrogate another entity has, or which equals any original, get the next attempt. Private IP
+addresses are permuted within their range, so that a range in full use has surrogates too. From attempt ``ATTEMPTS`` on the small formats
 are widened (more digits, letters or syllables; an IP address becomes one of IPv6), so that a free surrogate is found.
 
 Edge cases: a null text stays null, an empty one empty, with 0 entities. Rows that repeat are replaced alike. Texts
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quadloom import runtime
 
-KEY = "surrogates-1"
+KEY, KEY_CONF = "surrogates-1", "spark.quadloom.surrogateKey"
 #: Overrides up to this number go into the plan as a literal map; more are joined by row.
 LITERAL_OVERRIDES = 500
 ATTEMPTS = 12
@@ -37,28 +39,36 @@ GIVEN: dict[str, list[str]] = {
     "cyrillic-m": "Иван Алексей Сергей Дмитрий Андрей Михаил Николай Павел Владимир Юрий".split(),
     "greek-f": "Ελένη Μαρία Σοφία Κατερίνα Άννα".split(),
     "greek-m": "Γιώργος Νίκος Δημήτρης Κώστας Παναγιώτης".split(),
+    "asia-f": "Priya Ananya Lakshmi Mei Ling Yuki Sakura Fatima Aisha Leila Nadia Amina".split(),
+    "asia-m": "Arjun Rahul Sanjay Wei Jun Hiroshi Kenji Mohammed Ahmed Omar Hassan Yusuf".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora".split()
-#: Syllables of surnames, 16 to a script; a surname takes four.
+#: Endings of surnames that tell gender or descent; a surrogate keeps them.
+ENDINGS = "ская цкая ский цкий ова ева ёва ина ына ов ев ёв ин ын енко ová ova eva ska ski sky sson dóttir dottir όπουλος οπούλου ίδης ίδου άκης άκη".split()
+#: Syllables of surnames, 16 to a script; a surname takes five, and three before a kept ending.
 SYLLABLES = {
     "latin": "ba den fal gor hin ker lam mor nes pol ris sta tur vel win zar".split(),
     "cyrillic": "ба ден фал гор хин кер лам мор нес пол рис ста тур вел вин зар".split(),
     "greek": "βα δεν φαλ γορ χιν κερ λαμ μορ νες πολ ρισ στα τουρ βελ βιν ζαρ".split(),
+    "armenian": "բա դեն ֆալ գոր հին կեր լամ մոր նես պոլ րիս ստա տուր վել վին զար".split(),
 }
+_JOINTS = "['’-]"
+PRIVATE = r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)"
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Repeated groups are possessive: the others recurse, once for each part of a long text.
+EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++(?=\.[A-Za-z0-9-]))*+\.[A-Za-z]{2,}"
 SECRET_LEAD = r"""(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?"""
 SECRET = SECRET_LEAD + r"""[^\s"',;]{6,}|(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"""
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
+IP = r"(?<![\d.])(?<!(?i:version|release|build|section|chapter)[ .:]{1,2})(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
 PERSON = (rf"(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.?\s(?:(?:{'|'.join(sorted(sum(GIVEN.values(), []), key=len, reverse=True))})\s)?{_NAME}"
           rf"|(?:{'|'.join(sorted(sum(GIVEN.values(), []), key=len, reverse=True))})\s{_NAME})(?![\p{{L}}])")
 #: Everything starts where no letter or digit stands before; possessive and guarded, as the pattern meets every word.
-DETECT = r"(?<![\p{L}\p{N}])(?:" + "|".join([rf"(?=[A-Za-z0-9._%+-]++@){EMAIL}", PERSON, rf"(?=[TtSsPpAaGgKk0-9a-f])(?:{SECRET})", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=[+(\d])(?:{IP}|{CARD}|{SSN}|{PHONE})"]) + ")"
+DETECT = r"(?<![\p{L}\p{N}])(?:" + "|".join([rf"(?:(?<![A-Za-z0-9._%+-])|(?<=[^\x00-\x7F][._%+-]))(?=[A-Za-z0-9._%+-]++@){EMAIL}", PERSON, rf"(?=[TtSsPpAaGgKk0-9a-f])(?:{SECRET})", rf"(?=[A-Z]{{2}}\d){IBAN}", rf"(?=[+(\d])(?:{IP}|{CARD}|{SSN}|{PHONE})"]) + ")"
 #: Cheap: whatever DETECT finds, this finds too.
 CANDIDATE = r"[@0-9:=]|\p{Lu}[\p{L}'’-]*\.?\s\p{Lu}"
 
@@ -90,9 +100,11 @@ def _secret_value(e: Column) -> Column:
 
 
 def _words(e: Column) -> Column:
-    """The words of a person that the list of given names does not have, without a title."""
+    """A person's names that the list of given names does not have, without a title; Smith-Jones are two names, O'Brien
+    is O and Brien."""
     known = sum(GIVEN.values(), [])
-    return F.filter(F.split(e, r"\s"), lambda w: ~w.isin(known) & ~F.regexp_replace(w, r"\.$", "").isin(TITLES))
+    words = F.filter(F.split(e, r"\s"), lambda w: ~w.isin(known) & ~F.regexp_replace(w, r"\.$", "").isin(TITLES))
+    return F.filter(F.flatten(F.transform(words, lambda w: F.split(w, _JOINTS))), lambda w: F.length(w) > 1)
 
 
 def _form(kind: Column, e: Column, d: Column) -> Column:
@@ -156,12 +168,32 @@ def _iban(form: Column, h: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), bban)
 
 
-def _ip(form: Column, h: Column, wide: Column) -> Column:
+def _shuffled(prefix: Column, numbers: list[Column], bits: int, key: str, attempt: Column) -> tuple[Column, Column]:
+    """A keyed permutation of pairs of ``bits``-bit numbers (four Feistel rounds)."""
+    a, b = numbers
+    for r in range(4):
+        word = F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"ip{r}"), prefix, attempt.cast("string"), b.cast("string")).cast("binary"), 256)
+        a, b = b, a.bitwiseXOR(F.pmod(F.conv(F.substring(word, 1, 4), 16, 10).cast("int"), F.lit(1 << bits)))
+    return a, b
+
+
+def _ip(form: Column, h: Column, wide: Column, key: str, attempt: Column) -> Column:
+    """Public addresses become others; private ones are permuted within their own range, which may be in use as a whole."""
     o = [F.pmod(_num(h, 1 + 12 * i), F.lit(254)) + 1 for i in range(3)]
-    private = F.regexp_extract(form, r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)", 1)
+    private = F.regexp_extract(form, PRIVATE, 1)
     public = F.concat_ws(".", 11 + F.pmod(_num(h, 37), F.lit(110)), *o)
+    octet = [F.coalesce(F.try_element_at(F.split(form, r"\."), F.lit(i)).cast("int"), F.lit(0)) for i in (2, 3, 4)]
+
+    def two(prefix: Column) -> Column:
+        return _let(F.struct(*[c.alias(n) for c, n in zip(_shuffled(prefix, octet[1:], 8, key, attempt), "ab", strict=True)]), lambda v: F.concat_ws(".", v["a"], v["b"]))
+
+    def three(prefix: Column) -> Column:
+        halves = [octet[0] * 16 + F.floor(octet[1] / 16).cast("int"), F.pmod(octet[1], F.lit(16)) * 256 + octet[2]]
+        pair = F.struct(*[c.alias(n) for c, n in zip(_shuffled(prefix, halves, 12, key, attempt), "ab", strict=True)])
+        return _let(pair, lambda v: F.concat_ws(".", F.floor(v["a"] / 16), F.pmod(v["a"], F.lit(16)) * 16 + F.floor(v["b"] / 256), F.pmod(v["b"], F.lit(256))))
+
     six = F.concat_ws(":", F.when(private == "", F.lit("2001:db8")).otherwise(F.lit("fd00:0")), *[F.substring(h, 60 + 4 * i, 4) for i in range(6)])
-    return (F.when(wide, six).when(private == "", public).when(private.isin("10.", "127."), F.concat(private, F.concat_ws(".", *o))).otherwise(F.concat(private, F.concat_ws(".", *o[:2]))))
+    return F.when(wide, six).when(private == "", public).when(private.isin("10.", "127."), F.concat(private, three(private))).otherwise(F.concat(private, two(private)))
 
 
 def _letters(x: Column) -> Column:
@@ -176,12 +208,22 @@ def _email(form: Column, h: Column, key: str) -> Column:
 
 
 def _surname(form: Column, h: Column, wide: Column) -> Column:
+    """In lower case, in the form's script (Latin for scripts without syllables here) and with its ending."""
+    low = F.lower(form)
+    ending = F.regexp_extract(low, f"({'|'.join(ENDINGS)})$", 1)
+
     def build(script: str) -> Column:
         table = F.array(*map(F.lit, SYLLABLES[script]))
         part = [F.element_at(table, (F.pmod(F.conv(F.substring(h, 1 + 2 * i, 2), 16, 10).cast("int"), F.lit(16)) + 1).cast("int")) for i in range(15)]
-        return F.concat(*part[:5], F.when(wide, F.concat(*part[5:])).otherwise(F.lit("")))
+        return F.concat(*part[:3], F.when(wide, F.concat(*part[5:])).otherwise(F.lit("")), F.when(ending == "", F.concat(*part[3:5])).otherwise(ending))
 
-    return F.when(form.rlike(r"\p{IsCyrillic}"), build("cyrillic")).when(form.rlike(r"\p{IsGreek}"), build("greek")).otherwise(build("latin"))
+    return F.when(low.rlike(r"\p{IsCyrillic}"), build("cyrillic")).when(low.rlike(r"\p{IsGreek}"), build("greek")).when(low.rlike(r"\p{IsArmenian}"), build("armenian")).otherwise(build("latin"))
+
+
+def _recased(new: Column, old: Column) -> Column:
+    """Capitals where the old name has them; all of an old name in capitals."""
+    mixed = F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(old, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(mixed)
 
 
 def _let(value: Column, then) -> Column:
@@ -196,7 +238,7 @@ def canonical_surrogate(part: Column, attempt: Column, key: str) -> Column:
     def of(v: Column) -> Column:
         kind, form, h, pool = v["kind"], v["form"], v["h"], v["pool"]
         more = lambda x: F.when(wide, x).otherwise(F.lit(""))
-        return (F.when(kind == "email", _email(form, h, key)).when(kind == "secret", F.concat(_reformat(form, h), more(F.substring(h, 101, 16)))).when(kind == "iban", _iban(form, h)).when(kind == "ip", _ip(form, h, wide))
+        return (F.when(kind == "email", _email(form, h, key)).when(kind == "secret", F.concat(_reformat(form, h), more(F.substring(h, 101, 16)))).when(kind == "iban", _iban(form, h)).when(kind == "ip", _ip(form, h, wide, key, attempt))
                 .when(kind == "card", _card(form, pool)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(pool, 1, 8), more(F.substring(pool, 37, 12)))).when(kind == "name", _surname(form, h, wide))
                 .otherwise(F.concat((F.substring(pool, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(pool, F.lit(2), F.length(form) - 1), more(F.substring(pool, 37, 12)))))
 
@@ -226,9 +268,13 @@ def surrogates(entities: Column, key: str, attempts: Column | None) -> Column:
     def tries(part: Column) -> Column:
         return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, part), F.lit(0))
 
-    def name(w: Column) -> Column:
+    def one(w: Column) -> Column:
         new = _let(F.concat(F.lit("name:"), F.lower(w)), lambda part: _surname(w, _hash(key, part, tries(part)), tries(part) >= ATTEMPTS))
-        return _let(new, lambda n: F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(n)).otherwise(F.initcap(n)))
+        return F.when(F.length(w) > 1, _recased(new, w)).otherwise(w)
+
+    def name(w: Column) -> Column:
+        joints = F.concat(F.regexp_extract_all(w, F.lit(_JOINTS), F.lit(0)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.transform(F.split(w, _JOINTS), one), joints, lambda n, j: F.concat(n, j)), "")
 
     def word(w: Column) -> Column:
         return F.when(F.regexp_replace(w, r"\.$", "").isin(TITLES), w).when(w.isin(list(given)), F.try_element_at(names, w)).otherwise(name(w))
@@ -247,14 +293,16 @@ def surrogates(entities: Column, key: str, attempts: Column | None) -> Column:
 
 
 def resolve(parts: DataFrame, key: str) -> DataFrame:
-    """Distinct ``part``s -> part and attempt, such that no two of a type share a surrogate and none is an original."""
+    """Distinct ``part``s -> part and attempt, such that no two of a type share a surrogate, none is its own original and,
+    but for private addresses, none is any original."""
     kind = F.substring_index("part", ":", 1)
     form = F.regexp_replace("part", "^[a-z]+:", "")
+    free = ~((F.col("kind") == "ip") & F.col("form").rlike(PRIVATE))  # the others are permuted
     now = runtime.materialize(parts.select("part", kind.alias("kind"), form.alias("form"), F.lit(0).alias("attempt"), canonical_surrogate(F.col("part"), F.lit(0), key).alias("new")), "entities")
     while True:
         originals = now.select("kind", F.col("form").alias("new"))
         first = now.groupBy("kind", "new").agg(F.min("part").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-        bad = (now.join(originals, ["kind", "new"], "left_semi").select("part")
+        bad = (now.where(free).join(originals, ["kind", "new"], "left_semi").select("part").union(now.where("new = form").select("part"))
                .union(now.join(first, ["kind", "new"]).where("part <> keeper").select("part"))).distinct().withColumn("again", F.lit(True))
         bad = runtime.materialize(bad, "clashes")
         if bad.isEmpty():
@@ -263,8 +311,10 @@ def resolve(parts: DataFrame, key: str) -> DataFrame:
         now = runtime.materialize(now.withColumn("new", F.when(F.col("again"), canonical_surrogate(F.col("part"), F.col("attempt"), key)).otherwise(F.col("new"))).drop("again"), "entities")
 
 
-def replace(docs: DataFrame, *, text_col: str = "text", key: str = KEY, count_col: str = "pii_entities") -> DataFrame:
-    """All columns, with the text's entities replaced and their number added."""
+def replace(docs: DataFrame, *, text_col: str = "text", key: str | None = None, count_col: str = "pii_entities") -> DataFrame:
+    """All columns, with the text's entities replaced and their number added. ``key``: of the surrogates; else what the
+    session has in KEY_CONF, else KEY (for tests: who knows the key can test guesses)."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None) or KEY
     if count_col in docs.columns:
         raise ValueError(f"a column is named {count_col}")
     text = F.col(text_col)

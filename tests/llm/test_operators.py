@@ -190,6 +190,22 @@ def test_pii_masks_other_scripts_and_exhausted_formats(spark, monkeypatch):
     assert len(set(texts)) == 20 and not any("555-100" in t for t in texts)
 
 
+def test_pii_long_mails_scripts_and_full_ranges(spark):
+    rows = [(1, "x@" + "a." * 20_000 + "com and " + "a." * 20_000), (2, "Анна Петрова, Mr. O'Brien, Mrs. Smith-Jones and Mr. JONES, Mr. McDonald; Priya Raman called Wei Zhang"), (3, "Version 1.2.3.4 and v1.2.3.4 but 1.2.3.4")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].pii_entities == 1 and got[1].text.endswith("a." * 20_000) and len(got[1].text) < 41_000
+    two = got[2].text
+    assert re.search(r"[А-Я][а-я]+ [А-Я][а-я]+ова,", two) and re.search(r"Mr\. O'[A-Z][a-z]+, Mrs\. [A-Z][a-z]+-([A-Z][a-z]+) and Mr\. ([A-Z]+), Mr\. [A-Z][a-z][A-Z]", two)
+    assert re.search(r"-(\w+) and Mr\. (\w+)", two)[1].upper() == re.search(r"-(\w+) and Mr\. (\w+)", two)[2] and not re.search("Raman|Zhang|Brien|Smith", two)
+    assert re.fullmatch(r"Version 1\.2\.3\.4 and v1\.2\.3\.4 but (?!1\.2\.3\.4)[\d.]+", got[3].text)
+    parts = spark.range(65536).selectExpr("concat('ip:192.168.', id div 256, '.', id % 256) part")
+    done = pii.resolve(parts, "k").select("part", pii.canonical_surrogate(F.col("part"), F.col("attempt"), "k").alias("new")).toPandas()
+    assert done.new.nunique() == 65536 and not (done.part == "ip:" + done.new).any() and (done.new.str.startswith("192.168.")).mean() > 0.999
+    ten = spark.range(2000).selectExpr("concat('ip:10.', id % 256, '.', id div 7 % 256, '.', id div 3 % 256) part").distinct()
+    new = ten.select(pii.canonical_surrogate(F.col("part"), F.lit(0), "k").alias("new")).toPandas().new
+    assert new.is_unique and new.str.fullmatch(r"10(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}").all()
+
+
 def test_mixing_equals_its_oracle_and_water_fills(spark):
     import duckdb
 

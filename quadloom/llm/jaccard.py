@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from quadloom import runtime
 
 #: Entries of a task that are settled together, before they are sent.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Hashes beyond 2d + 1 that step 2 looks at.
 EXTRA = 3
 MINHASHES = 3
@@ -60,7 +60,7 @@ class _Words(dict):
     """Word -> 64-bit hash; bounded."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h

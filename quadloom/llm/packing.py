@@ -72,7 +72,7 @@ class ChunkIds(dict):
     ids are those of its chunks. Plain chunks go through the tokenizer's model word by word, all others through the
     whole tokenizer."""
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000, words: int = 700_000):
+    def __init__(self, tokenizer_json: str, limit: int = 100_000, words: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()

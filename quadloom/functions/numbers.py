@@ -31,6 +31,7 @@ class Pattern:
     frac_max: int
     frac_group: int
     exp_min: int  # 0: no exponent
+    exp_shown: int
     exp_sign: str
     before: str  # percent or permille before the digits
     after: str
@@ -43,7 +44,7 @@ def compile_pattern(pattern: str) -> Pattern:
     groups = m[3].split(",")
     frac = m[4] or ""
     return Pattern(m[1], m[3].count("0"), len(groups[-1]) if len(groups) > 1 else 0, len(groups[-2]) if len(groups) > 2 else len(groups[-1]) if len(groups) > 1 else 0,
-                   frac.count("0"), len(frac.replace(",", "")), len(frac.split(",")[0]) if "," in frac else 0, len(m[6] or "") and max(1, m[6].count("0")), m[5] or "", m[2], m[7])
+                   frac.count("0"), len(frac.replace(",", "")), len(frac.split(",")[0]) if "," in frac else 0, len(m[6] or "") and max(1, m[6].count("0")), len(m[6] or ""), m[5] or "", m[2], m[7])
 
 
 def pattern_regex(p: Pattern, decimal: str = ".", group: str = ",") -> str:
@@ -141,9 +142,10 @@ def show(x: Column, pattern: str, decimal: str = ".", group: str = ",") -> Colum
     if p.exp_min:
         e = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log10(v)).cast("int") - max(p.int_min, 1) + 1)
         v = v / F.pow(F.lit(10.0), e)
-        exp = F.concat(F.lit("E"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+" if p.exp_sign == "+" else "")), F.lpad(F.abs(e).cast("string"), p.exp_min, "0"))
-    text = F.bround(v.cast("decimal(38,18)"), p.frac_max).cast("decimal(38,18)").cast("string")
-    whole = F.regexp_replace(F.substring_index(text, ".", 1), "^0+", "")
+        exp = F.concat(F.lit("E"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+" if p.exp_sign == "+" else "")), F.lpad(F.abs(e).cast("string"), p.exp_shown, "0"))
+    # from 1e20 on a double has no digits behind the point; beyond 38 digits there is its canonical text alone
+    text = F.coalesce(F.bround(v.try_cast("decimal(38,18)"), p.frac_max).try_cast("decimal(38,18)").cast("string"), F.concat(v.try_cast("decimal(38,0)").cast("string"), F.lit(".0")))
+    whole = F.regexp_replace(F.substring_index(text, ".", 1), "^0+(?=.)", "")
     whole = F.when(F.length(whole) < p.int_min, F.lpad(whole, p.int_min, "0")).otherwise(whole)
     if p.primary:
         tail = F.right(whole, F.lit(p.primary))
@@ -156,4 +158,4 @@ def show(x: Column, pattern: str, decimal: str = ".", group: str = ",") -> Colum
         frac = F.regexp_replace(frac, rf"(\d{{{p.frac_group}}})(?=\d)", f"$1{group}")
     frac = F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit(decimal), frac))
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if p.sign == "+" else ""))
-    return F.concat(sign, F.lit(p.before), whole, frac, exp, F.lit(p.after))
+    return F.coalesce(F.concat(sign, F.lit(p.before), whole, frac, exp, F.lit(p.after)), canonical(x))

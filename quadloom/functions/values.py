@@ -133,7 +133,7 @@ def satisfies(text: Column, dt: Datatype) -> Column:
         ok = _bounded(F.lit(True), dates.instant(dates.check(text, base)[1], base), dt.bounds, lambda v: dates.instant(dates.check(F.lit(v), base)[1], base))
     elif base in DURATIONS and dt.bounds:
         ok = _bounded(F.lit(True), dates.duration_seconds(text), dt.bounds, lambda v: dates.duration_seconds(F.lit(v)))
-    if base not in (*NUMERIC, *DATES, "boolean", *MARKUP) and isinstance(dt.format, str):
+    if base not in (*NUMERIC, *DATES, *DURATIONS, "boolean", *MARKUP) and isinstance(dt.format, str):
         ok = ok & text.rlike(dt.format)
     if base not in NUMERIC:
         n = F.length(text)

@@ -3,6 +3,7 @@ Python. Blank nodes are labelled by table, row and role, so retried tasks give t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ def cells(df: DataFrame, table: Table) -> DataFrame:
         raw = F.col(f"_c{i}") if f"_c{i}" in df.columns else F.lit("")
         t = values.white_space(raw, c.datatype.base) if not c.separator else raw
         texts.append(F.when(t == "", F.lit(c.default)).otherwise(t).alias(f"t{i}"))
-    keep = [c for c in df.columns if not c.startswith("_c")]
+    keep = [c for c in df.columns if not c.startswith("_c") or c == "_cells"]
     staged = df.select(*keep, *texts)
     out = []
     for i, c in enumerate(physical):
@@ -230,6 +231,11 @@ def cell_issues(df: DataFrame, table: Table) -> DataFrame:
             found.append(F.when(~x["ok"], F.array(bad(x))))
         else:
             found.append(F.transform(F.filter(x["lex"], lambda v: ~v["ok"]), bad))
+    if "_cells" in df.columns:
+        width = len([c for c in df.columns if re.fullmatch(r"_c\d+", c)])
+        text = F.concat(F.lit("the row has "), F.col("_cells").cast("string"), F.lit(f" cells, the table {width}"))
+        bad_row = F.struct(F.lit("error").alias("type"), text.alias("message"), F.lit(table.url).alias("table"), F.col("_row").cast("bigint").alias("row"), F.lit(None).cast("string").alias("column"))
+        found.append(F.when(F.col("_cells") != width, F.array(bad_row)))
     if not found:
         return df.sparkSession.createDataFrame([], ISSUE)
     kind = "array<struct<" + ISSUE.replace(" string", ":string").replace(" bigint", ":bigint").replace(" ", "") + ">>"

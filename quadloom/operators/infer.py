@@ -6,7 +6,7 @@ import copy
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,9 +31,15 @@ def columns(quads: DataFrame) -> DataFrame:
     name = datatype_name(F.col("o_kind"), F.col("o_dt"))
     iri = F.when(F.col("o_kind") == "iri", F.col("o"))
     per = typed.groupBy("class", "p", "g", "s").agg(F.count_distinct(F.struct("o", "o_dt", "o_lang")).alias("n"), F.collect_set(name).alias("dts"), F.min(iri).alias("lo"), F.max(iri).alias("hi"),
-                                                    F.min(F.reverse(iri)).alias("rlo"), F.max(F.reverse(iri)).alias("rhi"), F.max(F.col("o_lang")).alias("lang"))
+                                                    F.min(F.reverse(iri)).alias("rlo"), F.max(F.reverse(iri)).alias("rhi"), F.max(F.col("o_lang")).alias("lang"),
+                                                    F.min(_separators(iri)).alias("smin"), F.max(_separators(iri)).alias("smax"))
     return per.groupBy("class", "p").agg((F.max("n") > 1).alias("multi"), F.array_distinct(F.flatten(F.collect_set("dts"))).alias("dts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                         F.min("rlo").alias("rlo"), F.max("rhi").alias("rhi"))
+                                         F.min("rlo").alias("rlo"), F.max("rhi").alias("rhi"), (F.min("smin") == F.max("smax")).alias("level"))
+
+
+def _separators(iri: Column) -> Column:
+    """How many characters of an IRI separate its parts: where all have equally many, none lies in what varies."""
+    return F.length(F.regexp_replace(iri, "[^/#?]", ""))
 
 
 def subjects(quads: DataFrame) -> DataFrame:
@@ -41,7 +47,7 @@ def subjects(quads: DataFrame) -> DataFrame:
     every = quads.select("g", "s", "s_kind").distinct()
     typed = every.join(classes(quads).withColumnsRenamed({"g": "cg", "s": "cs"}), (F.col("s") == F.col("cs")) & F.col("g").eqNullSafe(F.col("cg")), "left").withColumn("class", F.coalesce("class", F.lit("")))
     iri = F.when(F.col("s_kind") == "iri", F.col("s"))
-    return typed.groupBy("class").agg(F.min(iri).alias("lo"), F.max(iri).alias("hi"), F.min(F.reverse(iri)).alias("rlo"), F.max(F.reverse(iri)).alias("rhi"))
+    return typed.groupBy("class").agg(F.min(iri).alias("lo"), F.max(iri).alias("hi"), F.min(F.reverse(iri)).alias("rlo"), F.max(F.reverse(iri)).alias("rhi"), (F.min(_separators(iri)) == F.max(_separators(iri))).alias("level"))
 
 
 def labels(quads: DataFrame, lang: str = "en") -> DataFrame:
@@ -53,9 +59,9 @@ def labels(quads: DataFrame, lang: str = "en") -> DataFrame:
     return own.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("s").alias("iri"), F.col("o").alias("label"))
 
 
-def template(lo: str | None, hi: str | None, rlo: str | None, rhi: str | None, name: str) -> str | None:
+def template(lo: str | None, hi: str | None, rlo: str | None, rhi: str | None, name: str, level: bool | None = True) -> str | None:
     """prefix{name}suffix of what lies between two extremes in both reading directions; {+name} if the varying part may
-    hold a slash or nothing is common."""
+    hold a slash (``level``: whether all values have equally many) or nothing is common."""
     if lo is None or hi is None:
         return None
     if lo == hi:
@@ -65,7 +71,7 @@ def template(lo: str | None, hi: str | None, rlo: str | None, rhi: str | None, n
     prefix = prefix[: max(prefix.rfind("/"), prefix.rfind("#")) + 1]
     suffix = os.path.commonprefix([rlo or "", rhi or ""])[::-1]
     suffix = suffix[min((i for i in (suffix.find("/"), suffix.find("#")) if i >= 0), default=len(suffix)) :]
-    if len(prefix) < 8 or "://" not in prefix or prefix.endswith("://"):
+    if not level or len(prefix) < 8 or "://" not in prefix or prefix.endswith("://"):
         return f"{{+{name}}}"
     varying = [x[len(prefix) : len(x) - len(suffix) or None] for x in (lo, hi)]
     return f"{{+{name}}}" if any("/" in v or "#" in v or "?" in v for v in varying) else f"{prefix}{{{name}}}{suffix}"
@@ -95,7 +101,7 @@ def infer(quads: DataFrame, vocabulary: DataFrame | None = None, lang: str = "en
         if cls == "" and not rows:
             continue
         key = "subject_id"
-        about = template(e.lo, e.hi, e.rlo, e.rhi, key) or f"{{+{key}}}"
+        about = template(e.lo, e.hi, e.rlo, e.rhi, key, e.level) or f"{{+{key}}}"
         first: dict[str, Any] = {"name": key, "titles": key, "datatype": "anyURI", "aboutUrl": about}
         if cls:
             first |= {"propertyUrl": "rdf:type", "valueUrl": cls, "required": True}
@@ -106,7 +112,7 @@ def infer(quads: DataFrame, vocabulary: DataFrame | None = None, lang: str = "en
             dt = common_ancestor(sorted(r.dts))
             col: dict[str, Any] = {"name": name, "titles": names.get(r.p) or local(r.p), "datatype": dt, "propertyUrl": r.p, "aboutUrl": about}
             if dt == "anyURI" and r.lo is not None:
-                col["valueUrl"] = template(r.lo, r.hi, r.rlo, r.rhi, name)
+                col["valueUrl"] = template(r.lo, r.hi, r.rlo, r.rhi, name, r.level)
             if not r.multi:
                 table["tableSchema"]["columns"].append(col)
                 continue

@@ -83,8 +83,8 @@ def _matches(slot: Slot, table: Table) -> C:
     return ok
 
 
-def star_rows(quads: DataFrame, star: Star, table: Table) -> DataFrame:
-    """g, subject and o{i} per column: one shuffle on (g, s)."""
+def star_lists(quads: DataFrame, star: Star, table: Table) -> DataFrame:
+    """g, subject and the list l{i} of each column's objects: one shuffle on (g, s)."""
     own = quads
     predicates = {s.predicate for s in star.slots}
     if None not in predicates:
@@ -96,7 +96,7 @@ def star_rows(quads: DataFrame, star: Star, table: Table) -> DataFrame:
         own = own.where((F.col("s_kind") == "iri") & F.col("s").rlike(regex))
     lists = [F.collect_list(F.when(_matches(s, table), F.col("o"))).alias(f"l{s.index}") for s in star.slots]
     out = own.groupBy("g", "s").agg(*lists)
-    needed = [s for s in star.slots if s.column.required or s.column.name in table.primary_key]
+    needed = _needed(star, table)
     if needed:
         for s in needed:
             out = out.where(F.size(f"l{s.index}") > 0)
@@ -108,11 +108,17 @@ def star_rows(quads: DataFrame, star: Star, table: Table) -> DataFrame:
     fixed = [s for s in star.slots if s.constant is not None and s.predicate == TYPE]
     for s in fixed:
         out = out.where(F.size(f"l{s.index}") > 0)
-    for s in sorted(star.slots, key=lambda s: s not in needed):
-        out = out.withColumn(f"o{s.index}", F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
     return out
 
 
+def _needed(star: Star, table: Table) -> list[Slot]:
+    return [s for s in star.slots if s.column.required or s.column.name in table.primary_key]
+
+
+def _same(left: DataFrame, g: str, s: str) -> C:
+    return left["g"].eqNullSafe(F.col(g)) & (left["s"] == F.col(s))
+
+
 def bindings(quads: DataFrame, table: Table) -> DataFrame:
     """One row per solution: o{i}, and s{i}, the subject of each column's star."""
     stars = plan(table)
@@ -122,34 +128,45 @@ def bindings(quads: DataFrame, table: Table) -> DataFrame:
     def build(key: str) -> DataFrame:
         done.add(key)
         star = stars[key]
-        out = star_rows(quads, star, table)
-        for s in star.slots:
-            out = out.withColumn(f"s{s.index}", F.col("s"))
-        for s in star.slots:
-            if s.child and s.child not in done:
-                right = build(s.child).withColumnsRenamed({"s": "child_s", "g": "child_g"})
-                how = "inner" if any(x.column.required for x in stars[s.child].slots) else "left"
+        out = star_lists(quads, star, table)
+        needed = _needed(star, table)
+        links = [s for s in star.slots if s.child and s.child not in done]
+        done.update(s.child for s in links)
+        for s in links:
+            right = build(s.child).withColumnsRenamed({"s": "child_s", "g": "child_g"})
+            if s in needed or not _needed(stars[s.child], table):
+                out = out.withColumn(f"o{s.index}", F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
+                how = "inner" if _needed(stars[s.child], table) else "left"
                 out = out.join(right, (out[f"o{s.index}"] == right["child_s"]) & out["g"].eqNullSafe(right["child_g"]), how).drop("child_s", "child_g")
-        return out
+                continue
+            # an optional link counts only together with what its target must have; without any, the row stays
+            pairs = out.select(F.col("g").alias("link_g"), F.col("s").alias("link_s"), f"l{s.index}").dropDuplicates(["link_g", "link_s"]).select("link_g", "link_s", F.explode(f"l{s.index}").alias(f"o{s.index}"))
+            pairs = pairs.join(right, (pairs[f"o{s.index}"] == right["child_s"]) & pairs["link_g"].eqNullSafe(right["child_g"])).drop("child_s", "child_g")
+            out = out.drop(f"l{s.index}")
+            out = out.join(pairs, _same(out, "link_g", "link_s"), "left").drop("link_g", "link_s")
+        for s in sorted((s for s in star.slots if s not in links), key=lambda s: s not in needed):
+            out = out.withColumn(f"o{s.index}", F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
+        return out.withColumns({f"s{s.index}": F.col("s") for s in star.slots})
 
     roots = [k for k in stars if k not in children] or list(stars)[:1]
     out = None
     for key in [*roots, *stars]:
         if key in done:
             continue
+        joined = set(done)
         right = build(key)
         if out is None:
             out = right
             continue
         # subjects that no value links: they belong together where their templates' variables agree
-        shared = sorted(set(templates.variables(key)) & {v for k in done - {key} for v in templates.variables(k)})
-        left_key = next((k for k in done if k != key and set(shared) & set(templates.variables(k))), None)
+        common = lambda k: sorted(set(templates.variables(key)) & set(templates.variables(k)))
+        left_key = max((k for k in stars if k in joined), key=lambda k: len(common(k)))
         right = right.withColumnsRenamed({"s": "other_s", "g": "other_g"})
-        if shared and left_key is not None:
-            v = shared[0]
-            a = F.regexp_extract(out[f"s{stars[left_key].slots[0].index}"], templates.inverse(left_key, table.url, v) or "^$", 1)
-            b = F.regexp_extract(F.col("other_s"), templates.inverse(key, table.url, v) or "^$", 1)
-            out = out.withColumn("join_key", a).join(right.withColumn("other_key", b), (F.col("join_key") == F.col("other_key")) & F.col("g").eqNullSafe(F.col("other_g")), "inner").drop("join_key", "other_key", "other_s", "other_g")
+        if common(left_key):
+            part = lambda s, k: F.array(*[F.regexp_extract(s, templates.inverse(k, table.url, v) or "^$", 1) for v in common(left_key)])
+            out = out.withColumn("join_key", part(F.col(f"s{stars[left_key].slots[0].index}"), left_key))
+            right = right.withColumn("other_key", part(F.col("other_s"), key))
+            out = out.join(right, (F.col("join_key") == F.col("other_key")) & F.col("g").eqNullSafe(F.col("other_g")), "inner").drop("join_key", "other_key", "other_s", "other_g")
         else:
             out = out.join(right, F.col("g").eqNullSafe(F.col("other_g"))).drop("other_s", "other_g")
     return out

@@ -22,7 +22,9 @@ def format_of(path: str, default: str = "turtle") -> str:
 def _escaped(x: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    odd = F.regexp_extract_all(x, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"), F.lit(0))  # other control characters are rare
+    coded = F.aggregate(F.array_distinct(odd), x, lambda t, c: F.replace(t, c, F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))))
+    return F.when(x.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"), coded).otherwise(x)
 
 
 def _term(kind: Column, x: Column) -> Column:
@@ -93,14 +95,15 @@ def jsonld(quads: DataFrame) -> DataFrame:
                         continue
                     v = {"@id": x["o"]} if x["o_kind"] != "literal" else {"@value": x["o"]} | ({"@language": x["o_lang"]} if x["o_lang"] else {"@type": x["o_dt"]} if x["o_dt"] and x["o_dt"] != XSD + "string" else {})
                     obj.setdefault(x["p"], []).append(v)
-                out.append(json.dumps({"@id": g, "@graph": [obj]} if g is not None else obj, ensure_ascii=False, indent=2))
+                out.append(json.dumps({"@id": g, "@graph": [obj]} if g is not None else obj, ensure_ascii=False))
             yield pd.DataFrame({"value": out})
 
     return rows.mapInPandas(nodes, "value string")
 
 
 def write(quads: DataFrame, path: str, fmt: str | None = None) -> None:
-    """Part files of lines or subject blocks. Turtle and TriG parts each repeat the prefixes they may use."""
+    """Part files of lines or subject blocks; the folder is one document, so its parts share blank-node labels. Turtle
+    and TriG parts each repeat the prefixes they may use, JSON-LD parts are one array each."""
     fmt = fmt or format_of(path)
     if fmt in ("ntriples", "nquads"):
         lines(quads, fmt == "nquads").write.text(path)
@@ -119,7 +122,18 @@ def write(quads: DataFrame, path: str, fmt: str | None = None) -> None:
         runtime.ship(quads.sparkSession)
         turtle_blocks(quads, graphs=fmt == "trig").mapInPandas(with_head, "value string").write.text(path)
     elif fmt == "jsonld":
-        jsonld(quads).write.text(path)
+        def as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each part file is one JSON array, an object a line."""
+            yield pd.DataFrame({"value": ["["]})
+            held = None
+            for pdf in batches:
+                for value in pdf["value"]:
+                    if held is not None:
+                        yield pd.DataFrame({"value": [held + ","]})
+                    held = value
+            yield pd.DataFrame({"value": ["]"] if held is None else [held, "]"]})
+
+        jsonld(quads).mapInPandas(as_array, "value string").write.text(path)
     else:
         raise ValueError(f"cannot write {fmt}")
 

@@ -70,10 +70,8 @@ class Column:
     text_direction: str = "inherit"
 
     def title(self, lang: str = "und") -> str | None:
-        for k, v in self.titles.items():
-            if v and (k == lang or k.startswith(lang + "-") or lang.startswith(k + "-")):
-                return v[0]
-        return next((v[0] for v in self.titles.values() if v), None)
+        """The first title in exactly that language, or in none."""
+        return next((self.titles[k][0] for k in (lang, "und") if self.titles.get(k)), None)
 
 
 @dataclass(frozen=True)

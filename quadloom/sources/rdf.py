@@ -419,9 +419,9 @@ def parse_rdfxml(text: str, base: str = "", label: str = "r") -> list[Row]:
     return rows
 
 
-def parse(text: str, url: str = "", label: str = "b") -> list[Row]:
-    """By the URL's suffix: RDF/XML, JSON-LD, else Turtle, TriG, N-Triples or N-Quads."""
-    path = re.sub(r"[?#].*$", "", url).lower()
+def parse(text: str, url: str = "", label: str = "b", kind: str = "") -> list[Row]:
+    """By the suffix (the URL's, unless ``kind`` has it): RDF/XML, JSON-LD, else Turtle, TriG, N-Triples or N-Quads."""
+    path = kind or re.sub(r"[?#].*$", "", url).lower()
     if path.endswith((".rdf", ".xml")):
         return parse_rdfxml(text, url, label)
     if path.endswith(".jsonld"):
@@ -430,7 +430,8 @@ def parse(text: str, url: str = "", label: str = "b") -> list[Row]:
 
 
 def read_rdf(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
-    """Quads of one file, folder or pattern. Blank-node labels are scoped by file."""
+    """Quads of one file, folder or pattern. Blank-node labels are scoped by file; a folder with a format's suffix, as
+    written by serialize.write, is one document, and its parts share labels."""
     if re.search(r"\.(nt|nq)(\.gz)?$", path):
         return parse_nquads(spark.read.text(path))
     runtime.ship(spark)
@@ -438,8 +439,10 @@ def read_rdf(spark: SparkSession, path: str, base: str | None = None) -> DataFra
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for url, content in zip(pdf["path"], pdf["content"], strict=True):
-                label = f"f{abs(hash_text(url)):x}n"
-                yield pd.DataFrame(parse(bytes(content).decode("utf-8"), base or url, label), columns=QUAD_COLUMNS, dtype=object)
+                folder = re.match(r"(.*\.(ttl|trig|jsonld|rdf|xml))/part-[^/]*$", url)
+                label = f"f{abs(hash_text(folder[1] if folder else url)):x}n"
+                rows = parse(bytes(content).decode("utf-8"), base or (folder[1] if folder else url), label, "." + folder[2] if folder else "")
+                yield pd.DataFrame(rows, columns=QUAD_COLUMNS, dtype=object)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(own, QUAD)

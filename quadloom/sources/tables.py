@@ -2,67 +2,114 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
+from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.issues import Issues
 from quadloom.plans.descriptor import ENCODINGS, Column, Dialect, Table, name_columns
 
-CORRUPT = "_corrupt"
+LINE_ENDS = {"\n", "\r\n", "\r"}
 
 
 def number_rows(df: DataFrame, name: str = "_row") -> DataFrame:
-    """1, 2, ... in partition order, without a global sort: rows per partition are counted, their sums are the offsets."""
-    index = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    own = df.withColumn("_mid", F.monotonically_increasing_id())
-    sizes = own.groupBy(F.shiftright("_mid", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row per partition
-    offsets, at = [], 0
+    """1, 2, ... in partition order, without a global sort: rows per partition are counted, their sums are the offsets.
+    The offsets, a row for each partition, are joined; Spark broadcasts them only while they are small."""
+    spark = df.sparkSession
+    own = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
+    sizes = own.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, at = [], 0
     for r in sizes:
-        offsets += [F.lit(r.p), F.lit(at)]
+        starts.append((r["_part"], at))
         at += r.n
-    start = F.try_element_at(F.create_map(*offsets), F.shiftright("_mid", 33)) if offsets else F.lit(0)
-    return own.withColumn(name, (index + start + 1).cast("bigint")).drop("_mid")
+    if len(starts) < 2:  # the usual small table needs no join
+        return own.withColumn(name, F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_mid", "_part")
+    offsets = spark.createDataFrame(starts, "_part bigint, _start bigint")
+    return own.join(offsets, "_part").withColumn(name, F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start") + 1).drop("_mid", "_part", "_start")
 
 
-def _width_after(spark: SparkSession, path: str, dialect: Dialect) -> int:
-    """Cells of the first record after skipped rows."""
-    lines = [r.value for r in spark.read.text(path).limit(dialect.skip_rows + 20).collect()]
-    lines = [x for x in lines if not (dialect.comment_prefix and x.startswith(dialect.comment_prefix))][dialect.skip_rows :]
-    if not lines:
-        return 1
-    row = spark.range(1).select(F.from_csv(F.lit(lines[0]), ", ".join(f"c{i} string" for i in range(lines[0].count(dialect.delimiter) + 1)), {"sep": dialect.delimiter, "quote": dialect.quote_char or "\u0000"}).alias("r")).select("r.*").first()
-    return max(1, sum(v is not None for v in row) if dialect.quote_char and dialect.quote_char in lines[0] else len(row))
+def _literal(text: str) -> str:
+    return "\\Q" + text + "\\E"
 
 
-def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width: int | None = None, issues: Issues | None = None) -> DataFrame:
-    """All records as text: _c0.., and _line, the record's number in the file. Empty cells are ''. Blank lines are no records."""
-    opts = {"sep": dialect.delimiter, "quote": dialect.quote_char or "\u0000", "escape": '"' if dialect.double_quote else "\\", "encoding": ENCODINGS.get(dialect.encoding, "UTF-8"), "multiLine": True, "mode": "PERMISSIVE",
-            "ignoreLeadingWhiteSpace": dialect.trim in ("true", "start") or dialect.skip_initial_space, "ignoreTrailingWhiteSpace": dialect.trim in ("true", "end"), "header": False, "inferSchema": False}
+def _cell_count(line: C, dialect: Dialect) -> C:
+    if dialect.quote_char:
+        q = _literal(dialect.quote_char)
+        inner = f"(?:[^{re.escape(dialect.quote_char)}]|{q}{q})*+" if dialect.double_quote else f"(?:[^\\\\{re.escape(dialect.quote_char)}]|\\\\.)*+"
+        line = F.regexp_replace(line, f"{q}{inner}{q}", "")
+    return F.size(F.split(line, _literal(dialect.delimiter), -1))
+
+
+def _lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
+    """A file's lines, without comments (and blank ones where the dialect skips them)."""
+    ends = [x for x in dialect.line_terminators if x not in LINE_ENDS]
+    lines = (spark.read.option("lineSep", ends[0]) if ends else spark.read).text(path)
+    if ends:  # the reader knows one terminator
+        others = [*ends[1:], *(x for x in dialect.line_terminators if x in LINE_ENDS)]
+        if others:
+            lines = lines.select(F.explode(F.split("value", "|".join(map(_literal, sorted(others, key=len, reverse=True))), -1)).alias("value"))
+    if dialect.comment_prefix:
+        lines = lines.where(~F.col("value").startswith(dialect.comment_prefix))
+    return lines.where(F.trim("value") != "") if dialect.skip_blank_rows else lines
+
+
+def _options(dialect: Dialect) -> dict[str, str | bool]:
+    return {"sep": dialect.delimiter, "quote": dialect.quote_char or "\u0000", "escape": '"' if dialect.double_quote else "\\", "mode": "PERMISSIVE",
+            "ignoreLeadingWhiteSpace": dialect.trim in ("true", "start") or dialect.skip_initial_space, "ignoreTrailingWhiteSpace": dialect.trim in ("true", "end")}
+
+
+def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width: int | None = None, multiline: bool | None = None) -> DataFrame:
+    """All records as text: _c0.., _cells (how many the record has) and _line, the record's number in the file. Missing
+    and empty cells are ''; blank lines are records of one empty cell unless the dialect skips them.
+
+    Files are split among tasks and read line by line. Only where a quoted cell holds a line break (``multiline``; None:
+    found by one pass over the lines, an odd number of quotes) or the encoding is not UTF-8 a file is read as a whole."""
+    quote = dialect.quote_char
+    if ENCODINGS.get(dialect.encoding, "UTF-8") != "UTF-8":
+        multiline = True
+    elif multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))) if quote else F.lit(0)
+        multiline = bool(quote) and not _lines(spark, path, dialect).where(quotes % 2 == 1).isEmpty()
+    if multiline:
+        return _scan_whole(spark, path, dialect, width)
+    lines = _lines(spark, path, dialect).withColumn("_cells", _cell_count(F.col("value"), dialect))
+    numbered = number_rows(lines, "_line").where(F.col("_line") > dialect.skip_rows).withColumn("_line", F.col("_line") - dialect.skip_rows)
+    if width is None:
+        first = lines.limit(dialect.skip_rows + 20).collect()[dialect.skip_rows :]
+        width = next((r["_cells"] for r in first if r.value.strip()), 1)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    cells = numbered.withColumn("cells", F.from_csv("value", schema, {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(dialect).items()}))
+    skip = dialect.skip_columns
+    return cells.select(*[F.coalesce(F.col(f"cells._c{i + skip}"), F.lit("")).alias(f"_c{i}") for i in range(width - skip)], (F.col("_cells") - skip).alias("_cells"), "_line")
+
+
+def _scan_whole(spark: SparkSession, path: str, dialect: Dialect, width: int | None) -> DataFrame:
+    """Each file in one task; its reader drops blank lines and gives no number of cells."""
+    opts = _options(dialect) | {"encoding": ENCODINGS.get(dialect.encoding, "UTF-8"), "multiLine": True, "header": False, "inferSchema": False}
     if dialect.comment_prefix:
         if len(dialect.comment_prefix) > 1:
-            raise ValueError("a comment prefix has one character")
+            raise ValueError("where cells hold line breaks, a comment prefix has one character")
         opts["comment"] = dialect.comment_prefix
-    if dialect.line_terminators and set(dialect.line_terminators) - {"\n", "\r\n", "\r"}:
-        opts["lineSep"] = dialect.line_terminators[0]
+    if set(dialect.line_terminators) - LINE_ENDS:
+        opts["lineSep"] = next(x for x in dialect.line_terminators if x not in LINE_ENDS)
     reader = spark.read.options(**opts)
-    if width is None:  # the widest of the first records: lines before the header can be shorter
-        width = _width_after(spark, path, dialect) if dialect.skip_rows else len(reader.csv(path).columns)
-    schema = ", ".join(f"_c{i} string" for i in range(width)) + f", {CORRUPT} string"
-    df = reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-    df = df.select(*[F.coalesce(f"_c{i}", F.lit("")).alias(f"_c{i}") for i in range(width)], F.col(CORRUPT))
+    if width is None:  # lines before the header can be shorter
+        head = reader.schema(", ".join(f"_c{i} string" for i in range(200))).csv(path).limit(dialect.skip_rows + 1).collect() if dialect.skip_rows else []
+        width = max(1, max((i + 1 for i, v in enumerate(head[-1]) if v is not None), default=1)) if head else len(reader.csv(path).columns)
+    df = reader.schema(", ".join(f"_c{i} string" for i in range(width))).csv(path)
     df = number_rows(df, "_line").where(F.col("_line") > dialect.skip_rows).withColumn("_line", F.col("_line") - dialect.skip_rows)
-    if dialect.skip_columns:
-        df = df.select(*[F.col(f"_c{i + dialect.skip_columns}").alias(f"_c{i}") for i in range(width - dialect.skip_columns)], CORRUPT, "_line")
-    return df
+    skip = dialect.skip_columns
+    return df.select(*[F.coalesce(f"_c{i + skip}", F.lit("")).alias(f"_c{i}") for i in range(width - skip)], F.lit(width - skip).alias("_cells"), "_line")
 
 
 def read_csv(spark: SparkSession, path: str, table: Table, issues: Issues | None = None, lang: str = "und") -> tuple[DataFrame, Table]:
     """A table's body with _row, and the table with the columns that the header adds or names."""
     issues = issues or Issues()
-    df = scan_csv(spark, path, table.dialect, issues=issues)
-    width = len([c for c in df.columns if c.startswith("_c") and c != CORRUPT])
+    df = scan_csv(spark, path, table.dialect)
+    width = len([c for c in df.columns if re.fullmatch(r"_c\d+", c)])
     head_rows = table.dialect.header_rows
     header = [[r[i] for i in range(width)] for r in df.where(F.col("_line") <= head_rows).orderBy("_line").limit(head_rows).collect()] if head_rows else []
     with issues.at(table=table.url):
@@ -101,9 +148,7 @@ def apply_header(table: Table, header: list[list[str]], width: int, issues: Issu
 def from_frame(df: DataFrame, columns: list[str], order: list[str] | None = None) -> DataFrame:
     """A DataFrame's columns as text with _row: in the order of ``order`` if given, else in partition order."""
     if order:
-        from pyspark.sql.window import Window
-
-        rows = df.withColumn("_row", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+        rows = number_rows(df.orderBy(*order))  # a range-partitioned sort; all its partitions are in order
     else:
         rows = number_rows(df)
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_c{i}") for i, c in enumerate(columns)], "_row")

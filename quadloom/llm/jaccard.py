@@ -10,7 +10,7 @@ Method: an inverted index over set prefixes with block skipping, and answers der
    its bucket) are computed, and a set that differs in few shingles is coded by these differences from its pivot.
 4. The index holds prefixes, rarest shingle first, of sets that share a shingle with another component. Short lists are
    joined block by block: entries stand by set size, and blocks whose positions cannot reach the needed overlap are
-   skipped. Long lists take pivots from outside their largest component in rounds of growing number until every list
+   skipped, and so are pairs that the parities of their hash cells keep apart. Long lists take pivots from outside their largest component in rounds of growing number until every list
    lies within one component or all of its pairs are decided; there is no cap.
 5. A coded set's answer is derived: its overlap with a set is that of the set it is coded from, corrected by the
    differing shingles alone, so a group of near copies ships one whole set and its members' differences.
@@ -239,7 +239,15 @@ def _second_pass(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
         yield _batch({"cls": ids.tolist(), "seen": counts.tolist()}, fields)
 
 
-SETS = "c1 bigint, c2 bigint, n bigint, tokens array<bigint>, mins array<bigint>"
+BITS = ["b0", "b1", "b2", "b3"]
+SETS = "c1 bigint, c2 bigint, n bigint, tokens array<bigint>, mins array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS)
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of 64 times len(BITS) hash cells, whether a set has an odd number of shingles in each. Where the cells of two sets
+    differ, some shingle is in one set alone, so the cells bound the overlap from above."""
+    odd = np.bincount(((s >> np.uint64(13)) % np.uint64(64 * len(BITS))).astype(np.int64), minlength=64 * len(BITS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -251,7 +259,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
-        cs, sets, mins = [], [], []
+        cs, sets, mins, bits = [], [], [], [np.zeros((0, len(BITS)), np.int64)]
         for t1, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if t1 in seen:
                 continue
@@ -260,8 +268,9 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             if len(s):
                 cs.append(_class_of(s))
                 sets.append(s.view(np.int64))
+                bits.append(parities(s)[None])
                 mins.append(np.array([((s ^ (s >> np.uint64(29 + i))) * (_P + np.uint64(2 * i))).min() for i in range(MINHASHES)]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cs], pa.int64()), pa.array([c[1] for c in cs], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists(mins)], ["c1", "c2", "n", "tokens", "mins"])
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cs], pa.int64()), pa.array([c[1] for c in cs], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists(mins), *map(pa.array, np.concatenate(bits).T)], ["c1", "c2", "n", "tokens", "mins", *BITS])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -315,7 +324,7 @@ def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int, code: bool)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_()), listed(added), listed(dropped)], ["a", "b", "linked", "added", "dropped"])
 
 
-def list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of one index list, sorted by n, that lie in different components and can be linked."""
     out = []
     rest = n - pos  # with the shared shingle, what can still agree
@@ -328,13 +337,14 @@ def list_pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarra
             if min(int(block_rest[b]), int(rest[i])) < overlap_needed(int(n[i]), max(int(block_n[b]), least), num, den):
                 continue  # no position of this block leaves enough
             j = np.arange(max(lo, b * BLOCK), min(i, (b + 1) * BLOCK))
-            j = j[(comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) >= overlap_needed(n[j], n[i], num, den))]
+            need = overlap_needed(n[j], n[i], num, den)
+            j = j[(comp[j] != comp[i]) & (np.minimum(rest[j], rest[i]) >= need) & (np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= n[j] + n[i] - 2 * need)]
             out += [(int(node[x]), int(node[i])) for x in j]
     return out
 
 
 def _short_lists(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, comp, node, n, pos), whole tokens in order."""
+    """Rows (token, comp, node, n, pos, parities), whole tokens in order."""
     held = None
 
     def emit(x: dict) -> list[tuple[int, int]]:
@@ -342,7 +352,7 @@ def _short_lists(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
         cuts = np.flatnonzero(np.diff(x["token"])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(x["token"])], strict=True):
             if hi - lo > 1:
-                pairs += list_pairs(*(x[c][lo:hi] for c in ("comp", "node", "n", "pos")), num, den)
+                pairs += list_pairs(*(x[c][lo:hi] for c in ("comp", "node", "n", "pos")), np.stack([x[b][lo:hi] for b in BITS], 1).view(np.uint64), num, den)
         return list(set(pairs))
 
     def table(pairs):
@@ -446,10 +456,19 @@ class _Join:
         return rows.join(self.comp.withColumnRenamed("node", col), col, "left").withColumn("comp", F.coalesce("comp", col))
 
 
+def _sizes_fit(l1: str, l2: str, num: int, den: int) -> str:
+    """Whether sizes and parities of two sets leave a link possible."""
+    apart = " + ".join(f"bit_count({l1}.{b} ^ {l2}.{b})" for b in BITS)
+    return f"{den} * least({l1}.n, {l2}.n) >= {num} * greatest({l1}.n, {l2}.n) and {apart} <= {l1}.n + {l2}.n - 2 * {_overlap(l1, l2, num, den)}"
+
+
+def _overlap(l1: str, l2: str, num: int, den: int) -> str:
+    return f"(({num} * ({l1}.n + {l2}.n) + {num + den - 1}) div {num + den})"
+
+
 def _bound(l1: str, l2: str, num: int, den: int) -> str:
-    """Length and position filter of two index entries."""
-    need = f"(({num} * ({l1}.n + {l2}.n) + {num + den - 1}) div {num + den})"
-    return f"{den} * least({l1}.n, {l2}.n) >= {num} * greatest({l1}.n, {l2}.n) and least({l1}.n - {l1}.pos, {l2}.n - {l2}.pos) >= {need}"
+    """As _sizes_fit, and the position filter of two index entries."""
+    return f"{_sizes_fit(l1, l2, num, den)} and least({l1}.n - {l1}.pos, {l2}.n - {l2}.pos) >= {_overlap(l1, l2, num, den)}"
 
 
 def _index(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -494,9 +513,9 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     runtime.release(spark)
     state = _Join(num, den, sets)
 
-    keys = sets.select("node", "n", F.posexplode("mins").alias("band", "key"))
-    pivots = keys.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    star = keys.join(pivots, ["band", "key"]).where(f"node <> p.node and {den} * least(n, p.n) >= {num} * greatest(n, p.n)").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    keys = sets.select("node", "n", *BITS, F.posexplode("mins").alias("band", "key"))
+    pivots = keys.groupBy("band", "key").agg(F.min(F.struct("node", "n", *BITS)).alias("p"), F.count("*").alias("size")).where("size > 1")
+    star = keys.alias("x").join(pivots, ["band", "key"]).where("x.node <> p.node and " + _sizes_fit("x", "p", num, den)).select(F.col("p.node").alias("a"), F.col("x.node").alias("b"))
     state.verify(star, code=True)
 
     now = runtime.materialize(_index(sets, num, den), "lists")
@@ -508,12 +527,13 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                 .groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("size"), F.max("mr").alias("mr"), F.min("mn").alias("mn")).where("comps > 1"))
         # an entry whose position leaves too little for the list's best partner can match nothing there
         open_ = groups.join(tops.select("token", F.col("top.comp").alias("top_comp"), "size", "mr", "mn"), "token").where(f"least(rest, mr) >= {_need(num, den)}")
-        open_ = runtime.materialize(open_.select("token", "node", "n", "pos", "comp", "top_comp", "size"), "open-lists")
-        short = open_.where(F.col("size") <= SHORT_LIST).select("token", "comp", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "node")
+        open_ = open_.select("token", "node", "n", "pos", "comp", "top_comp", "size").join(sets.select("node", *BITS), "node")
+        open_ = runtime.materialize(open_, "open-lists")
+        short = open_.where(F.col("size") <= SHORT_LIST).select("token", "comp", "node", "n", "pos", *BITS).repartition("token").sortWithinPartitions("token", "n", "node")
         pairs = short.mapInArrow(lambda it: _short_lists(it, num, den), "a bigint, b bigint")
         long = open_.where(F.col("size") > SHORT_LIST)
         outside = long.where("comp <> top_comp").withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")))
-        heads = runtime.materialize(outside.where(F.col("r") <= take).select("token", "node", "n", "pos", "comp"), "heads")
+        heads = runtime.materialize(outside.where(F.col("r") <= take).select("token", "node", "n", "pos", "comp", *BITS), "heads")
         pairs = pairs.union(long.alias("x").join(heads.alias("y"), "token").where("x.comp <> y.comp and " + _bound("x", "y", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
         state.verify(pairs)
         old, now = now, runtime.materialize(long.select("token", "node", "n", "pos").join(heads.select("token", "node"), ["token", "node"], "left_anti"), "lists")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quadloom import runtime
 from quadloom.functions import numbers
-from quadloom.functions.terms import CSVW, PREFIXES, QUAD_COLUMNS, RDF, XSD
+from quadloom.functions.terms import CSVW, PREFIXES, RDF, XSD
 from quadloom.issues import counts
 from quadloom.operators import c2r, infer, r2c, serialize
 from quadloom.plans.descriptor import Loader, Table, TableGroup
@@ -211,17 +211,74 @@ def turtle_roundtrip(spark, sf_dir):
 
 @query(SUPPLIER_SQL)
 def jsonld_roundtrip(spark, sf_dir):
-    own = serialize.jsonld(quads(rows(spark, sf_dir, "supplier", SUPPLIER_CELLS), SUPPLIER))
-    runtime.ship(spark)
+    path = runtime.scratch_path(spark, "supplier") + ".jsonld"
+    serialize.write(quads(rows(spark, sf_dir, "supplier", SUPPLIER_CELLS), SUPPLIER), path)
+    return rdf.read_rdf(spark, path).select(*SHOWN)
+
+
+@query(f"SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, '{B}g' AS g FROM supplier")
+def trig_roundtrip(spark, sf_dir):
+    """Blank nodes in a named graph, written as several parts, are still the same nodes."""
+    made = quads(rows(spark, sf_dir, "supplier", ["s_name", "s_nationkey"], "s_suppkey"), described("supplier.csv", [{"name": "s_name"}, {"name": "s_nationkey", "datatype": "integer"}]))
+    path = runtime.scratch_path(spark, "supplier") + ".trig"
+    # each predicate in blocks of its own, so that a node's triples lie in different parts
+    halves = [made.where(F.col("p").endswith(c)).withColumn("g", F.lit(B + "g")) for c in ("s_name", "s_nationkey")]
+    for i, half in enumerate(halves):
+        serialize.write(half, f"{path}.tmp{i}", "trig")
+    lines = spark.read.text(f"{path}.tmp0").union(spark.read.text(f"{path}.tmp1"))
+    lines.write.text(path)
+    read = rdf.read_rdf(spark, path)
+    name, nation = (read.where(F.col("p").endswith(c)).select("s", "g", F.col("o").alias(c)) for c in ("s_name", "s_nationkey"))
+    return name.join(nation, ["s", "g"]).select("s_name", "s_nationkey", "g")
+
+
+def _lines(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = runtime.scratch_path(spark, name)
+    lines.write.text(path)
+    return path
+
+
+def _plain(path: str, names: list[str], **dialect: Any) -> Table:
+    return table_of({**described(path, [{"name": n} for n in names]), "dialect": {"header": False, **dialect}})
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) SELECT 2 * i - 1 AS row, r_regionkey::VARCHAR AS k, r_name AS v FROM r UNION ALL SELECT 2 * i, '', '' FROM r")
+def csv_blank_lines(spark, sf_dir):
+    lines = runtime.table(spark, sf_dir, "region").orderBy("r_regionkey").coalesce(1).select(F.explode(F.array(F.concat_ws(",", "r_regionkey", "r_name"), F.lit(""))).alias("value"))
+    path = _lines(spark, lines, "blank")
+    return tables.read_csv(spark, path, _plain(path, ["k", "v"]))[0].select(F.col("_row").alias("row"), F.col("_c0").alias("k"), F.col("_c1").alias("v"))
+
 
-    def parse(batches):
-        import pandas as pd
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS row FROM nation)
+SELECT row, 'the row has ' || CASE n_nationkey % 3 WHEN 1 THEN 1 ELSE 3 END || ' cells, the table 2' AS message FROM r WHERE n_nationkey % 3 <> 0""")
+def csv_ragged(spark, sf_dir):
+    cells = F.when(F.col("n_nationkey") % 3 == 0, F.concat_ws(",", "n_nationkey", "n_name")).when(F.col("n_nationkey") % 3 == 1, F.col("n_nationkey").cast("string")).otherwise(F.concat_ws(",", "n_nationkey", "n_name", F.lit("x")))
+    path = _lines(spark, runtime.table(spark, sf_dir, "nation").orderBy("n_nationkey").coalesce(1).select(cells.alias("value")), "ragged")
+    return c2r.cell_issues(*tables.read_csv(spark, path, _plain(path, ["k", "v"]))).select("row", "message")
 
-        for pdf in batches:
-            for text in pdf["value"]:
-                yield pd.DataFrame(rdf.parse_jsonld(text), columns=QUAD_COLUMNS, dtype=object)
 
-    return own.mapInPandas(parse, rdf.QUAD).select(*SHOWN)
+@query("SELECT '_col.1' AS name, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT '_col.2', n_name FROM nation")
+def csv_headerless(spark, sf_dir):
+    path = _lines(spark, runtime.table(spark, sf_dir, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value")), "headerless")
+    df, full = tables.read_csv(spark, path, table_of({"url": path, "dialect": {"header": False}}))
+    cells = F.array(*[F.struct(F.lit(c.name).alias("name"), F.col(f"_c{i}").alias("value")) for i, c in enumerate(full.columns)])
+    return df.select(F.inline(cells))
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, n_name || 'é' AS v FROM nation")
+def csv_encoding(spark, sf_dir):
+    path = runtime.scratch_path(spark, "latin1")
+    runtime.table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("é"))).write.option("encoding", "ISO-8859-1").csv(path)
+    return tables.read_csv(spark, path, _plain(path, ["k", "v"], encoding="latin1"))[0].select(F.col("_c0").alias("k"), F.col("_c1").alias("v"))
+
+
+@query("SELECT count(*) AS n, 1::BIGINT AS lo, count(*) AS hi, count(*) AS kinds FROM orders")
+def csv_row_numbers(spark, sf_dir):
+    """Several files with comment lines of a long prefix: rows are numbered 1 to n over all of them."""
+    lines = runtime.table(spark, sf_dir, "orders").repartition(3).select(F.explode(F.array(F.lit("// a note"), F.col("o_orderkey").cast("string"))).alias("value"))
+    path = _lines(spark, lines, "numbers")
+    rows_ = tables.read_csv(spark, path, _plain(path, ["k"], commentPrefix="//"))[0]
+    return rows_.agg(F.count("*").alias("n"), F.min("_row").alias("lo"), F.max("_row").alias("hi"), F.count_distinct("_row").alias("kinds"))
 
 
 @query(f"SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, {NUM.format('s_acctbal')} AS s_acctbal FROM supplier")
@@ -247,6 +304,27 @@ def r2c_chain(spark, sf_dir):
     return r2c.table_rows(q, table_of(t))
 
 
+@query("""SELECT n_name, CASE WHEN r_name IS NULL THEN '' ELSE n_regionkey::VARCHAR END AS region, coalesce(r_name, '') AS r_name
+FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey""")
+def r2c_optional_chain(spark, sf_dir):
+    """An optional link to a star with a required column: rows without it stay, with both cells empty."""
+    made = described("geo.csv", [{"name": "n", "suppressOutput": True}, {"name": "n_name"}, {"name": "region", "propertyUrl": B + "inRegion", "valueUrl": B + "region/{region}"}], aboutUrl=B + "nation/{n}")
+    other = described("geo.csv", [{"name": "region", "suppressOutput": True}, {"name": "r_name"}], aboutUrl=B + "region/{region}")
+    q = quads(rows(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"]), made).unionByName(quads(rows(spark, sf_dir, "region", ["r_regionkey", "r_name"]).where("_c0 < 3"), other))
+    t = described("geo.csv", [{"name": "n_name", "required": True, "aboutUrl": B + "nation/{n}"}, {"name": "region", "propertyUrl": B + "inRegion", "valueUrl": B + "region/{region}", "aboutUrl": B + "nation/{n}"},
+                              {"name": "r_name", "required": True, "aboutUrl": B + "region/{region}"}])
+    return r2c.table_rows(q, table_of(t))
+
+
+@query("SELECT o_orderpriority, o_orderstatus FROM orders")
+def r2c_two_variables(spark, sf_dir):
+    """Two stars without a link belong together where all variables that their templates share agree."""
+    keys = ["o_orderkey div 100", "o_orderkey % 100"]
+    made = [described("o.csv", [{"name": "a", "suppressOutput": True}, {"name": "b", "suppressOutput": True}, {"name": c}], aboutUrl=B + kind + "/{a}/{b}") for kind, c in (("first", "o_orderpriority"), ("second", "o_orderstatus"))]
+    q = quads(rows(spark, sf_dir, "orders", [*keys, "o_orderpriority"]), made[0]).unionByName(quads(rows(spark, sf_dir, "orders", [*keys, "o_orderstatus"]), made[1]))
+    return r2c.table_rows(q, table_of(described("o.csv", [{"name": "o_orderpriority", "required": True, "aboutUrl": B + "first/{a}/{b}"}, {"name": "o_orderstatus", "required": True, "aboutUrl": B + "second/{a}/{b}"}])))
+
+
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def r2c_typed_root(spark, sf_dir):
     q = quads(rows(spark, sf_dir, "customer", ["c_custkey", "c_name"]), TYPED_CUSTOMER)

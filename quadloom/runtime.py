@@ -7,6 +7,7 @@ import hashlib
 import io
 import itertools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is
+    unset. On a cluster the setting is needed: no machine's own folder will do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="quadloom-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -76,3 +76,21 @@ def test_terms(spark):
                                         ("NaN", Datatype("double", bounds={"maxExclusive": "5"}), True), ("2020-01-01", Datatype("date", bounds={"minInclusive": "2020-01-01"}), True), ("P1Y", Datatype("dayTimeDuration"), False), ("Y", Datatype("boolean", format="Y|N"), True), ("true", Datatype("boolean", format="Y|N"), False)])
 def test_facets(spark, text, dt, ok):
     assert one(spark, values.check(F.lit(text), dt)[0]) == (ok,)
+
+
+def test_numbers_beyond_the_decimal_range_and_hash_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from quadloom.functions import numbers
+
+    show = lambda x, p: spark.range(1).select(numbers.show(F.lit(x).cast("double"), p).alias("v")).first().v
+    assert show(0.0, "#") == "0" and show(0.1, "#.0") == "0.1" and show(0.0, "#0.###E#0") == "0E00" and show(101.0, "#0.###E#0") == "1.01E02"
+    assert show(1e21, "#,##0.0").startswith("1,000,000,000,000,000,000,000.0") and show(1e300, "0.0") == "1e+300"
+
+
+def test_a_slash_in_a_middle_value_makes_a_reserved_variable(spark):
+    from quadloom.operators import infer
+
+    rows = [("iri", f"http://ex.org/x/{k}", "http://ex.org/p", "literal", "v", None, None, None) for k in ("a", "b/c", "d")]
+    q = spark.createDataFrame(rows, "s_kind string, s string, p string, o_kind string, o string, o_dt string, o_lang string, g string")
+    assert infer.infer(q)["tables"][0]["tableSchema"]["columns"][0]["aboutUrl"] == "{+subject_id}"

@@ -8,7 +8,10 @@ store that pyarrow knows (local, HDFS, S3, GCS) can hold them.
 Edge cases: a null payload is empty; a null url leaves its header out; control characters in a url are percent-encoded.
 Of rows with equal payloads, those with the smallest page_id are responses (several, if that very id repeats), the
 others revisits; a null page_id is never the smallest, and if all are null all are responses. Records may be of any
-length: the normaliser holds one record at a time. A stream that ends early raises EOFError. No rows, no files.
+length: the normaliser holds one record at a time and inflates by the megabyte. A stream that ends early raises EOFError,
+a record without a valid Content-Length ValueError. Records of other types than response and revisit are normalised and
+indexed, but are no rows; a record of another writer may lack a payload digest (it is computed) and has no page_id; of a
+revisit without the digest of its payload the digest is null. Other columns are not read. No rows, no files.
 """
 
 from __future__ import annotations
@@ -60,8 +63,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def split_record(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    return fields, rest[: int(fields["content-length"])]
+    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    return fields, rest[: _length(head)]
+
+
+def _length(head: bytes) -> int:
+    m = re.search(rb"\r\ncontent-length:\s*(\d+)\s*(?:\r\n|$)", head, re.I)
+    if not m:
+        raise ValueError("a WARC record has no Content-Length")
+    return int(m[1])
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, roll: int, level: int) -> Iterator[pa.RecordBatch]:
@@ -98,23 +108,22 @@ def stream_records(read) -> Iterator[bytes]:
     inflate, buf, need, ended = zlib.decompressobj(31), bytearray(), None, True
     while chunk := read(1 << 18):
         while chunk:
-            buf += inflate.decompress(chunk)
-            chunk, ended = inflate.unused_data, inflate.eof
+            buf += inflate.decompress(chunk, 1 << 20)  # a small chunk can hold much
+            chunk, ended = inflate.unconsumed_tail or inflate.unused_data, inflate.eof
             if ended:
                 inflate = zlib.decompressobj(31)
-        at = 0
-        while True:
-            if need is None:
-                end = buf.find(b"\r\n\r\n", at)
-                if end < 0:
+            at = 0
+            while True:
+                if need is None:
+                    end = buf.find(b"\r\n\r\n", at)
+                    if end < 0:
+                        break
+                    need = end - at + 4 + _length(bytes(buf[at:end])) + 4
+                if len(buf) - at < need:
                     break
-                m = re.search(rb"\r\ncontent-length:\s*(\d+)", bytes(buf[at:end]), re.I)
-                need = end - at + 4 + int(m[1]) + 4
-            if len(buf) - at < need:
-                break
-            yield bytes(buf[at : at + need])
-            at, need = at + need, None
-        del buf[:at]
+                yield bytes(buf[at : at + need])
+                at, need = at + need, None
+            del buf[:at]
     if buf or not ended:
         raise EOFError("the archive ends early")
 
@@ -135,7 +144,7 @@ def _normalised(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Re
                     pack = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = pack.compress(data) + pack.flush()
                     out.write(member)
-                    index.write(json.dumps({"offset": offset, "length": len(member), "type": fields["warc-type"], "id": fields["warc-record-id"], "digest": fields.get("warc-payload-digest")}).encode() + b"\n")
+                    index.write(json.dumps({"offset": offset, "length": len(member), "type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "digest": fields.get("warc-payload-digest")}).encode() + b"\n")
                     offset, n = offset + len(member), n + 1
             if n != records:
                 raise EOFError(f"{path}: {n} records of {records}")
@@ -147,9 +156,9 @@ def _normalised(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Re
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
 
-def _page(uri: str) -> int | None:
-    tail = uri.strip("<>").removeprefix(ID)
-    return int(tail) if tail else None
+def _page(uri: str | None) -> int | None:
+    m = re.fullmatch(re.escape(ID) + r"(-?\d+)", (uri or "").strip("<>"))
+    return int(m[1]) if m else None
 
 
 def _read(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
@@ -164,15 +173,19 @@ def _read(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.
             with fs.open_input_file(name) as f:
                 rows, held = [], 0
                 for x in index:
-                    fields, block = split_record(zlib.decompress(f.read_at(x["length"], x["offset"]), 31))
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(re.search(rb"(?i)content-length:\s*(\d+)", http)[1])
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-                        raise ValueError(f"{path}: the record at {x['offset']} is damaged")
-                    rows.append((_page(fields["warc-record-id"]), size, digest, kind, _page(fields["warc-refers-to"]) if kind == "revisit" else None, fields.get("warc-target-uri"), payload if keep_payload else None))
-                    held += len(payload) * keep_payload + 200
-                    if held > 4 << 20 or x is index[-1]:
+                    if x["type"] in ("response", "revisit"):
+                        fields, block = split_record(zlib.decompress(f.read_at(x["length"], x["offset"]), 31))
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                        told = re.search(rb"(?i)content-length:\s*(\d+)", http)
+                        kind, digest = x["type"], fields.get("warc-payload-digest")
+                        own = digest is not None and digest.startswith("sha1:")
+                        size = int(told[1]) if told else len(payload)
+                        if kind == "response" and own and (len(payload) != size or base32_sha1(payload) != digest[5:]):
+                            raise ValueError(f"{path}: the record at {x['offset']} is damaged")
+                        digest = digest[5:] if own else base32_sha1(payload) if kind == "response" else None
+                        rows.append((_page(fields.get("warc-record-id")), size, digest, kind, _page(fields.get("warc-refers-to")) if kind == "revisit" else None, fields.get("warc-target-uri"), payload if keep_payload else None))
+                        held += len(payload) * keep_payload + 200
+                    if rows and (held > 4 << 20 or x is index[-1]):
                         n = 7 if keep_payload else 6
                         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(n)], names[:n])
                         rows, held = [], 0
@@ -210,15 +223,24 @@ def read_records(archives: DataFrame, *, keep_payload: bool = False) -> DataFram
     return own.mapInArrow(lambda it: _read(it, keep_payload), RECORDS + (", payload binary" if keep_payload else ""))
 
 
-def delete_files(spark: SparkSession, paths: list[str]) -> None:
-    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for p in paths:
-        path(p).getFileSystem(conf).delete(path(p), False)
+def delete_files(archives: DataFrame) -> int:
+    """Executors remove the archives' files; returns their number."""
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, name = _open(path)
+                with contextlib.suppress(FileNotFoundError):  # a task that runs again
+                    fs.delete_file(name)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return archives.select("path").mapInArrow(remove, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = runtime.scratch_path(spark, "warc")
     files = write_archives(decide(runtime.table(spark, sf_dir, "pages")), folder)
     normal = normalise(files)
-    delete_files(spark, [r.path for r in files.select("path").toLocalIterator()])  # one path per 32 MB of records
+    delete_files(files)
     return read_records(normal)

@@ -44,7 +44,7 @@ def _byte_letters() -> list[str]:
 
 _LETTERS = _byte_letters()
 #: As the vocabulary file's own pre-tokenizer splits.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters below U+0250 have no combining marks among them, so NFC leaves them alone.
 _POINTS = frozenset(".,;:!?")
 _PLAIN = re.compile("[!-\x7e\xa1-\u024f]+")
@@ -80,6 +80,12 @@ class ChunkIds(dict):
         spec = json.loads(tokenizer_json)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         own = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        if own:  # the same splits and replacements as here, else every chunk takes the whole tokenizer
+            split, level = spec["pre_tokenizer"]["pretokenizers"]
+            swap = spec["normalizer"]["normalizers"][1]
+            own = (split["pattern"].get("Regex") == _WORDS.pattern and split.get("behavior") == "Removed" and split.get("invert") is True and not level.get("add_prefix_space")
+                   and swap["pattern"].get("Regex") == r"\s+" and swap["content"] == " ")
+            own = own and all("<|" in t["content"] for t in spec.get("added_tokens") or [])
         self.words = WordIds(self.tokenizer.model, words) if own else None
 
     def __missing__(self, chunk: str) -> bytes:

@@ -36,9 +36,10 @@ PER_LANG = 400
 PIECE = 200_000
 #: Share of pieces of the calibrating documents, PIECE_CHARS long, that may be rejected in their own language.
 REJECT_RATE, PIECE_CHARS = 0.001, 100
-#: Numbers that \\w holds beside letters and \\d, such as fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: Numbers that \w holds beside letters and \d, such as fractions and Roman numerals.
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKS = dict.fromkeys(map(ord, _NUMBERS), " ")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +55,10 @@ class Model:
 
 
 def normal(text: str | None) -> str:
-    return _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    if not low.isascii() and not _NUMBERS.isdisjoint(low):
+        low = low.translate(_BLANKS)
+    return _NO_LETTERS.sub(" ", low).strip()
 
 
 def _codes(text: str) -> np.ndarray:

@@ -314,6 +314,26 @@ def test_toxicity_separates():
         toxicity.fit([], good, 0.5)
 
 
+def test_toxicity_of_a_small_language_with_dictionaries_of_its_own():
+    rng = random.Random(9)
+
+    def text(other, toxic):
+        words = prose(rng, 100).split()
+        if other:
+            words = ["".join(rng.choices(["gek", "üm", "ört", "ßal", "zuv", "näh"], k=rng.randrange(1, 4))) for _ in words]
+        for _ in range(rng.randrange(3, 7) if toxic else 0):
+            words.insert(rng.randrange(len(words)), "wompelir" + rng.choice("bcdfghjklmnp") if other else rng.choice(["rotterdamned", "stinkhornish"]))
+        return " ".join(words)
+
+    bad, good = [text(i % 8 == 0, True) for i in range(240)], [text(i % 8 == 0, False) for i in range(480)]
+    m = toxicity.fit(bad, good, 0.3)
+    assert len(m.pairs) == 2
+    c = m.compressors()
+    for other in (True, False):
+        assert np.mean([toxicity.probability(text(other, True), m, c) >= 0.5 for _ in range(40)]) >= 0.9
+        assert np.mean([toxicity.probability(text(other, False), m, c) >= 0.5 for _ in range(40)]) <= 0.1
+
+
 @pytest.mark.xfail(strict=True, reason="two dictionaries trained by zstandard do not see that words which ordinary texts have too are more frequent; see the README")
 def test_toxicity_of_a_small_language_whose_ordinary_texts_have_the_words_too():
     rng = random.Random(8)

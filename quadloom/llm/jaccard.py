@@ -10,8 +10,9 @@ Method: an inverted index over set prefixes with block skipping, and answers der
    its bucket) are computed, and a set that differs in few shingles is coded by these differences from its pivot.
 4. The index holds prefixes, rarest shingle first, of sets that share a shingle with another component. Short lists are
    joined block by block: entries stand by set size, and blocks whose positions cannot reach the needed overlap are
-   skipped, and so are pairs that the parities of their hash cells keep apart. Long lists take pivots from outside their largest component in rounds of growing number until every list
-   lies within one component or all of its pairs are decided; there is no cap.
+   skipped, and so are pairs that the parities of their hash cells keep apart. Before them, long lists take pivots, those
+   of their largest component first, in rounds of growing number until every list lies within one component or all of
+   its pairs are decided; there is no cap.
 5. A coded set's answer is derived: its overlap with a set is that of the set it is coded from, corrected by the
    differing shingles alone, so a group of near copies ships one whole set and its members' differences.
 
@@ -518,29 +519,36 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     star = keys.alias("x").join(pivots, ["band", "key"]).where("x.node <> p.node and " + _sizes_fit("x", "p", num, den)).select(F.col("p.node").alias("a"), F.col("x.node").alias("b"))
     state.verify(star, code=True)
 
-    now = runtime.materialize(_index(sets, num, den), "lists")
+    lists = runtime.materialize(_index(sets, num, den), "lists")
     runtime.release(spark)
-    take = PIVOTS
-    while not now.isEmpty():
-        groups = state.with_comp(now).withColumn("rest", F.col("n") - F.col("pos"))
-        tops = (groups.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("rest").alias("mr"), F.min("n").alias("mn"))
-                .groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("size"), F.max("mr").alias("mr"), F.min("mn").alias("mn")).where("comps > 1"))
-        # an entry whose position leaves too little for the list's best partner can match nothing there
-        open_ = groups.join(tops.select("token", F.col("top.comp").alias("top_comp"), "size", "mr", "mn"), "token").where(f"least(rest, mr) >= {_need(num, den)}")
-        open_ = open_.select("token", "node", "n", "pos", "comp", "top_comp", "size").join(sets.select("node", *BITS), "node")
-        open_ = runtime.materialize(open_, "open-lists")
-        short = open_.where(F.col("size") <= SHORT_LIST).select("token", "comp", "node", "n", "pos", *BITS).repartition("token").sortWithinPartitions("token", "n", "node")
-        pairs = short.mapInArrow(lambda it: _short_lists(it, num, den), "a bigint, b bigint")
-        long = open_.where(F.col("size") > SHORT_LIST)
-        outside = long.where("comp <> top_comp").withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")))
-        heads = runtime.materialize(outside.where(F.col("r") <= take).select("token", "node", "n", "pos", "comp", *BITS), "heads")
-        pairs = pairs.union(long.alias("x").join(heads.alias("y"), "token").where("x.comp <> y.comp and " + _bound("x", "y", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        state.verify(pairs)
-        old, now = now, runtime.materialize(long.select("token", "node", "n", "pos").join(heads.select("token", "node"), ["token", "node"], "left_anti"), "lists")
-        for used in (old, open_, heads):
-            runtime.drop_table(used)
-        take *= 8
-        runtime.release(spark)
+    # long lists first: most of a large group's sets are one component before short lists give all of their pairs
+    tokens = runtime.materialize(lists.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > SHORT_LIST).select("token"), "long")
+    parts = [lists] if tokens.isEmpty() else [runtime.materialize(lists.join(tokens, "token", how), "now") for how in ("left_semi", "left_anti")]
+    for now in parts:
+        take = max(1, PIVOTS // 8)
+        while not now.isEmpty():
+            groups = state.with_comp(now).withColumn("rest", F.col("n") - F.col("pos"))
+            tops = (groups.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("rest").alias("mr"), F.min("n").alias("mn"))
+                    .groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("size"), F.max("mr").alias("mr"), F.min("mn").alias("mn")).where("comps > 1"))
+            # an entry whose position leaves too little for the list's best partner can match nothing there
+            open_ = groups.join(tops.select("token", F.col("top.comp").alias("top_comp"), "size", "mr", "mn"), "token").where(f"least(rest, mr) >= {_need(num, den)}")
+            open_ = open_.select("token", "node", "n", "pos", "comp", "top_comp", "size").join(sets.select("node", *BITS), "node")
+            open_ = runtime.materialize(open_, "open-lists")
+            short = open_.where(F.col("size") <= SHORT_LIST).select("token", "comp", "node", "n", "pos", *BITS).repartition("token").sortWithinPartitions("token", "n", "node")
+            pairs = short.mapInArrow(lambda it: _short_lists(it, num, den), "a bigint, b bigint")
+            long = open_.where(F.col("size") > SHORT_LIST)
+            # pivots of the largest component meet the sets outside it alone, and soon bring most of them in
+            by = Window.partitionBy("token").orderBy(F.expr("comp = top_comp").desc(), F.xxhash64("node"), "node")
+            heads = long.withColumn("r", F.row_number().over(by)).where(F.col("r") <= take)
+            heads = runtime.materialize(heads.select("token", "node", "n", "pos", "comp", *BITS), "heads")
+            pairs = pairs.union(long.alias("x").join(heads.alias("y"), "token").where("x.comp <> y.comp and " + _bound("x", "y", num, den)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+            state.verify(pairs)
+            old, now = now, runtime.materialize(long.select("token", "node", "n", "pos").join(heads.select("token", "node"), ["token", "node"], "left_anti"), "now")
+            for used in (old, open_, heads):
+                runtime.drop_table(used)
+            take *= 8
+            runtime.release(spark)
+    runtime.drop_table(lists)
 
     members = None
     if state.comp is not None:

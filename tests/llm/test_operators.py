@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quadloom import runtime
 from quadloom.llm import jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -81,6 +82,28 @@ def test_long_lists_take_pivots(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, 4, 85, 100)
 
 
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """A group is joined by pairs in proportion to its size, though many of its sets share no min-hash."""
+    rng = random.Random(4)
+    base, rows, compared = prose(rng, 200).split(), [], []
+    for i in range(800):
+        w = list(base)
+        for j in rng.sample(range(199), rng.randint(1, 4)):
+            w[j] = f"z{rng.randint(0, 99999)}"
+        rows.append((i, " ".join(w)))
+    write = runtime.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        compared.extend([out.count()] if name == "compared" else [])
+        return out
+
+    monkeypatch.setattr(runtime, "materialize", counted)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=5, num=4, den=5).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components(rows, 5, 4, 5)
+    assert 0 < sum(compared) < 10 * len(rows)
+
+
 def test_deduplicate_and_empty_tables(spark, docs):
     kept = [r.doc_id for r in jaccard.deduplicate(docs).collect()]
     assert kept.count(3) == 1 and 60 not in kept and 62 in kept and None in kept

@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +339,28 @@ def test_toxicity_separates():
         toxicity.fit([], good, 0.5)
 
 
+def test_toxicity_compresses_windows_kind_by_kind():
+    """Rows of a batch are scored in the order of kinds, so that a kind's tables are read while they are in the cache."""
+    rng, calls = random.Random(6), []
+    kinds = [lambda n: prose(rng, n), lambda n: " ".join(rng.choice(["wort", "haus", "baum", "zug"]) for _ in range(n))]
+    texts = [None, *(kinds[i % 2](1 + 7 * i) for i in range(20)), ""]
+
+    def compressor(name):
+        return lambda w: calls.append(name) or bytes(sum(w) % 7 if name[0] == "a" else 3)
+
+    table = np.ones(1 << 22, bool)
+    parts = np.array([toxicity._profile(k(400).encode()) for k in kinds]), [(compressor(f"a{i}"), compressor(f"b{i}"), table) for i in range(2)]
+    sent = SimpleNamespace(value=SimpleNamespace(compressors=lambda: parts, weights=np.linspace(-0.1, 0.1, 15)))
+
+    def scored(ids, texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        return [r for out in toxicity._scored(iter([batch]), sent) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+    together = scored(range(len(texts)), texts)
+    assert sum(a != b for a, b in zip(calls, calls[1:], strict=False)) == 3
+    assert together == [r for i, t in enumerate(texts) for r in scored([i], [t])]
+
+
 def test_toxicity_of_a_small_language_with_dictionaries_of_its_own():
     rng = random.Random(9)
 

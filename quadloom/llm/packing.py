@@ -50,6 +50,18 @@ _POINTS = frozenset(".,;:!?")
 _PLAIN = re.compile("[!-\x7e\xa1-\u024f]+")
 
 
+def _whole_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """Of texts that need no look at their chunks: all plain characters whose lower case is one, and spaces; and the
+    splits of _WORDS for such a text, by classes that list their characters."""
+    plain = [c for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x250))) if len(c.lower()) == 1 and _PLAIN.fullmatch(c.lower())]
+    letters, numbers = (re.escape("".join(c for c in plain if regex.fullmatch(p, c))) for p in (r"\p{L}", r"\p{N}"))
+    splits = _WORDS.pattern.replace(r"[\p{L}]+", f"[{letters}]+").replace(r"[\p{N}]", f"[{numbers}]").replace(r"[^\s\p{L}\p{N}]+", f"[^ \t\n\r{letters}{numbers}]+")
+    return re.compile(f"[ \t\n\r{re.escape(''.join(plain))}]*"), re.compile(splits)
+
+
+_WHOLE, _WHOLE_WORDS = _whole_patterns()
+
+
 class WordIds(dict):
     """Lower-case word -> ids as bytes, by the tokenizer's BPE model; bounded."""
 
@@ -119,6 +131,8 @@ _SPACE = re.compile("[ \t\n\r]+")
 def text_ids(text: str | None, chunks: ChunkIds, end_id: int = END_ID) -> bytes:
     """Ids of the text and the end id, as little-endian 32-bit integers."""
     text = text or ""
+    if chunks.words is not None and "<|" not in text and _WHOLE.fullmatch(text):
+        return b"".join(map(chunks.words.__getitem__, _WHOLE_WORDS.findall(text.lower()))) + np.array([end_id], "<u4").tobytes()
     # str.split() also splits at 1c-1f, which the tokenizer takes for ordinary characters
     parts = [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
     return b"".join(map(chunks.__getitem__, parts)) + np.array([end_id], "<u4").tobytes()

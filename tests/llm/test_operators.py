@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -139,6 +140,21 @@ def test_packing_cuts_and_fills(spark, docs):
         assert sum(cut) == n and max(cut) <= 2048 and len(cut) <= n // 2048 + 3
 
 
+def test_plain_texts_are_split_as_the_tokenizer_splits_them():
+    """Plain texts go to the model word by word, without a cache of their chunks; any text has the tokenizer's ids."""
+    rng, chunks = random.Random(8), packing.ChunkIds(Path(tokenizer_path()).read_text())
+    parts = [*WORDS, "Don't", "'sun'", "we'LL", "x12.5!?", "½", "²3", "Éa", "ÿ", "ßs", "ŋŊ", "ǅ", "\xad", "[^]-\\\\", "a_b", "--", "\xb7", "l'ÂGE", "'", "#", "<", "|", *map(chr, range(0x21, 0x7F)), *(chr(c) for c in range(0xA1, 0x250) if max(chr(c).lower()) < "\u0250" and len(chr(c).lower()) == 1)]
+
+    def text(parts):
+        return "".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t\r", "  "]) for _ in range(rng.randint(0, 40))).replace("<|", "< |")
+
+    def same(t):
+        return np.frombuffer(packing.text_ids(t, chunks), "<u4").tolist() == [*chunks.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
+
+    assert all(map(same, (text(parts) for _ in range(1500)))) and not len(chunks)
+    assert all(map(same, (text([*parts, "İ", "Ⱥ", "Ɓ", "Ω", "e\u0301", "<|endoftext|>", "\x1c", "\xa0", "日本"]) for _ in range(500)))) and len(chunks)
+
+
 def test_transport_streams():
     rng = np.random.default_rng(0)
     for n in (0, 1, 576, 577, 28800, 28801, 200_000):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, toxicity, warc
+from quadloom.llm import annulus, bpe, divergence, jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -19,5 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_stable_projection_neighbours": neighbours.op8_stable_projection_neighbours,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_transport_streams": mpegts.op10_transport_streams,
+    "op11_group_block_divergence": divergence.op11_group_block_divergence,
+    "op12_backtracking_bpe": bpe.op12_backtracking_bpe,
+    "op13_annulus_clustering": annulus.op13_annulus_clustering,
+}
+ORACLES: dict[str, str] = {
+    "op4_hierarchical_mixing": mixing.ORACLE,
+    "op11_group_block_divergence": divergence.ORACLE,
+    "op13_annulus_clustering": annulus.ORACLE,
 }
-ORACLES: dict[str, str] = {"op4_hierarchical_mixing": mixing.ORACLE}

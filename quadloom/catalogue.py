@@ -531,3 +531,6 @@ def stream_c2r(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     cells = stream.select(F.col("event_id").cast("string").alias("_c0"), F.col("event_type").alias("_c1"), F.col("event_id").alias("_row"))
     return windows.materialised(windows.stream_quads(cells, t), "stream").select(*SHOWN)
+
+
+from quadloom import stream_queries  # noqa: E402, F401  (adds its queries)

@@ -5,17 +5,22 @@ Stars whose subject is another column's value are joined on it. Required columns
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadloom import runtime
 from quadloom.functions import templates, values
 from quadloom.functions.terms import RDF, XSD
+from quadloom.issues import Issues
 from quadloom.plans.descriptor import Column, Table, TableGroup
 
 TYPE = RDF + "type"
+#: A subject with more quads than this in one star is converted by joins.
+HUB = 100_000
 
 
 @dataclass
@@ -26,6 +31,7 @@ class Slot:
     column: Column
     predicate: str | None  # None: any predicate that the template gives
     constant: str | None = None  # a fixed object
+    text: str | None = None  # the fixed object's text as a literal
     child: str | None = None  # the star that starts at the object
 
 
@@ -59,7 +65,8 @@ def plan(table: Table) -> dict[str, Star]:
         key = c.about_url or ""
         prop = _fold(c.property_url, table, c, i) if c.property_url else None
         predicate = f"{table.url}#{c.name}" if prop is None else _constant_iri(prop, table)
-        stars.setdefault(key, Star(key)).slots.append(Slot(i, c, predicate, _constant_iri(_fold(c.value_url, table, c, i), table) if c.value_url else None))
+        value = _fold(c.value_url, table, c, i) if c.value_url else None
+        stars.setdefault(key, Star(key)).slots.append(Slot(i, c, predicate, _constant_iri(value, table) if value is not None else None, value))
     for star in stars.values():
         for slot in star.slots:
             if slot.column.value_url and slot.column.value_url in stars and slot.column.value_url != star.key:
@@ -67,24 +74,54 @@ def plan(table: Table) -> dict[str, Star]:
     return stars
 
 
-def _matches(slot: Slot, table: Table) -> C:
+def is_type(slot: Slot) -> bool:
+    """Whether the column says that the subject is of a fixed class."""
+    return slot.constant is not None and slot.predicate == TYPE
+
+
+def needed(star: Star, table: Table) -> list[Slot]:
+    return [s for s in star.slots if s.column.required or s.column.name in table.primary_key]
+
+
+def matches(slot: Slot, table: Table) -> C:
     """Whether a quad is a value of the column."""
     c = slot.column
     ok = F.col("p") == slot.predicate if slot.predicate else F.lit(True)
     if c.value_url:
-        ok = ok & F.col("o_kind").isin("iri", "bnode") if slot.constant is None else ok & (F.col("o_kind") == "iri") & (F.col("o") == slot.constant)
+        if slot.constant is None:
+            ok = ok & F.col("o_kind").isin("iri", "bnode")
+        else:  # the constant itself, or a literal of the column's datatype or language with the template's text
+            same = (F.col("o_kind") == "iri") & (F.col("o") == slot.constant)
+            if not is_type(slot):
+                same = same | (F.col("o_kind") == "literal") & (F.col("o") == slot.text) & _typed(c)
+            ok = ok & same
         if slot.constant is None and slot.child is None:
             ok = ok & F.col("o").rlike(templates.like(c.value_url, table.url)[0])
     else:
         ok = ok & values.satisfies(F.col("o"), c.datatype)
         if c.lang != "und" and c.datatype.uri == XSD + "string":
-            low = c.lang.lower()
-            ok = ok & F.coalesce((F.lower("o_lang") == low) | F.lower("o_lang").startswith(low + "-"), F.lit(False))
+            ok = ok & _language(c.lang)
     return ok
 
 
-def star_lists(quads: DataFrame, star: Star, table: Table) -> DataFrame:
-    """g, subject and the list l{i} of each column's objects: one shuffle on (g, s)."""
+def _language(lang: str) -> C:
+    low = lang.lower()
+    return F.coalesce((F.lower("o_lang") == low) | F.lower("o_lang").startswith(low + "-"), F.lit(False))
+
+
+def _typed(column: Column) -> C:
+    if column.datatype.uri == XSD + "string":
+        return _language(column.lang) if column.lang != "und" else F.col("o_lang").isNull() & (F.coalesce("o_dt", F.lit(XSD + "string")) == XSD + "string")
+    return F.coalesce(F.col("o_dt") == column.datatype.uri, F.lit(False))
+
+
+def in_graphs(quads: DataFrame) -> DataFrame:
+    """The default graph has the name '', so that graphs compare as plain text."""
+    return quads.withColumn("g", F.coalesce("g", F.lit("")))
+
+
+def of_star(quads: DataFrame, star: Star, table: Table) -> DataFrame:
+    """The quads that can belong to a star, by predicate and subject."""
     own = quads
     predicates = {s.predicate for s in star.slots}
     if None not in predicates:
@@ -94,81 +131,188 @@ def star_lists(quads: DataFrame, star: Star, table: Table) -> DataFrame:
         if prefix:
             own = own.where(F.col("s").startswith(prefix))
         own = own.where((F.col("s_kind") == "iri") & F.col("s").rlike(regex))
-    lists = [F.collect_list(F.when(_matches(s, table), F.col("o"))).alias(f"l{s.index}") for s in star.slots]
+    return own
+
+
+def _reduced(own: DataFrame, star: Star, table: Table) -> DataFrame:
+    """Quads of subjects that have the star's constants: a class, or a value that a needed column fixes. The semi-join stands
+    below the aggregate and shares its partitioning; small seeds are broadcast, larger ones filter the scan at run time."""
+    for slot in star.slots:
+        if is_type(slot) or slot.constant is not None and slot in needed(star, table):
+            seeds = own.where(matches(slot, table)).select(F.col("g").alias("seed_g"), F.col("s").alias("seed_s"))
+            own = own.join(seeds, (F.col("s") == F.col("seed_s")) & (F.col("g") == F.col("seed_g")), "left_semi")
+    return own
+
+
+def star_lists(quads: DataFrame, star: Star, table: Table) -> DataFrame:
+    """g, subject and the list l{i} of each column's objects: one shuffle on (g, s)."""
+    return _lists(_reduced(of_star(quads, star, table), star, table), star, table)
+
+
+def _lists(own: DataFrame, star: Star, table: Table) -> DataFrame:
+    lists = [F.collect_list(F.when(matches(s, table), F.col("o"))).alias(f"l{s.index}") for s in star.slots]
     out = own.groupBy("g", "s").agg(*lists)
-    needed = _needed(star, table)
-    if needed:
-        for s in needed:
-            out = out.where(F.size(f"l{s.index}") > 0)
-    else:  # all optional: a subject counts once any column has a value
-        some = F.lit(False)
-        for s in star.slots:
-            some = some | (F.size(f"l{s.index}") > 0)
-        out = out.where(some)
-    fixed = [s for s in star.slots if s.constant is not None and s.predicate == TYPE]
-    for s in fixed:
+    must = [s for s in star.slots if s in needed(star, table) or is_type(s)]
+    if not needed(star, table):  # all optional: a subject counts once any column has a value
+        out = out.where(_any([F.size(f"l{s.index}") > 0 for s in star.slots]))
+    for s in must:
         out = out.where(F.size(f"l{s.index}") > 0)
     return out
 
 
-def _needed(star: Star, table: Table) -> list[Slot]:
-    return [s for s in star.slots if s.column.required or s.column.name in table.primary_key]
+def _any(tests: list[C]) -> C:
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
 
+class Hubs:
+    """The subjects of a star that have more than ``limit`` quads, and their values as rows: no list holds them, and no task
+    has all of one. Their columns are crossed over a grid: a left row goes to one line and all columns of it, a value of the
+    next column to one column and all lines, so that each pair meets once, in one of GRID x GRID tasks."""
+
+    GRID = 8
+
+    def __init__(self, own: DataFrame, star: Star, table: Table, limit: int):
+        self.star, self.table = star, table
+        keys = own.groupBy("g", "s").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g", "s")
+        self.keys = runtime.materialize(keys, "hubs")
+        self.found = not self.keys.isEmpty()
+        self.own = own
+
+    def _join(self, quads: DataFrame, how: str) -> DataFrame:
+        keys = self.keys.withColumnsRenamed({"g": "hub_g", "s": "hub_s"})  # written: small ones are broadcast, others are not
+        return quads.join(keys, (F.col("s") == F.col("hub_s")) & (F.col("g") == F.col("hub_g")), how)
+
+    def others(self) -> DataFrame:
+        return self._join(self.own, "left_anti")
+
+    def values(self, slot: Slot) -> DataFrame:
+        return self._join(self.own, "left_semi").where(matches(slot, self.table)).select("g", "s", F.col("o").alias(f"o{slot.index}"))
+
+    def rows(self, left_out: list[Slot]) -> DataFrame:
+        """g, s and l{i} with at most one value each, a row for each solution; columns ``left_out`` stay empty."""
+        must = [s for s in self.star.slots if s in needed(self.star, self.table) or is_type(s)]
+        some = _any([matches(s, self.table) for s in self.star.slots])
+        out = self._join(self.own, "left_semi").where(some).select("g", "s").distinct()
+        line, column = F.lit("line"), F.lit("column")
+        cells = F.sequence(F.lit(0), F.lit(self.GRID - 1))
+        for slot in self.star.slots:
+            o = f"o{slot.index}"
+            if slot in left_out:
+                out = out.withColumn(o, F.lit(None).cast("string"))
+                continue
+            own = self.values(slot).withColumnsRenamed({"g": "own_g", "s": "own_s"})
+            bound = [c for c in out.columns if c not in ("g", "s")]
+            left = out.withColumn("line", F.pmod(F.xxhash64(line, *bound), F.lit(self.GRID)).cast("int")).withColumn("column", F.explode(cells))
+            right = own.withColumn("own_column", F.pmod(F.xxhash64(column, o), F.lit(self.GRID)).cast("int")).withColumn("own_line", F.explode(cells))
+            met = left.join(right, (left["g"] == right["own_g"]) & (left["s"] == right["own_s"]) & (left["line"] == right["own_line"]) & (left["column"] == right["own_column"]))
+            met = met.select("g", "s", *bound, o)
+            if slot not in must:
+                with_value = own.select("own_g", "own_s").distinct()
+                without = out.join(with_value, (out["g"] == with_value["own_g"]) & (out["s"] == with_value["own_s"]), "left_anti")
+                met = met.unionByName(without.withColumn(o, F.lit(None).cast("string")))
+            out = met
+        one = lambda o: F.when(o.isNull(), F.array().cast("array<string>")).otherwise(F.array(o))
+        return out.select("g", "s", *[one(F.col(f"o{s.index}")).alias(f"l{s.index}") for s in self.star.slots])
+
+
+def shared_variables(stars: dict[str, Star], joined: set[str], key: str) -> tuple[str, list[str]]:
+    """The joined star whose template shares most variables with that of ``key``, and these variables."""
+    common = lambda k: sorted(set(templates.variables(key)) & set(templates.variables(k)))
+    found = max((k for k in stars if k in joined), key=lambda k: len(common(k)))
+    return found, common(found)
+
+
+def variable_parts(subject: C, key: str, names: list[str], table: Table) -> C:
+    return F.array(*[F.regexp_extract(subject, templates.inverse(key, table.url, v) or "^$", 1) for v in names])
+
+
+def star_order(stars: dict[str, Star], table: Table) -> list[str]:
+    """Where the table begins: at the star of its primary key, then at stars that no value links, then (in cycles) anywhere."""
+    children = {s.child for star in stars.values() for s in star.slots if s.child}
+    keyed = [k for k, star in stars.items() if any(s.column.name in table.primary_key for s in star.slots)]
+    free = [k for k in stars if k not in children]
+    return list(dict.fromkeys([*keyed[:1], *free, *stars]))
 
-def _same(left: DataFrame, g: str, s: str) -> C:
-    return left["g"].eqNullSafe(F.col(g)) & (left["s"] == F.col(s))
 
+def subject_of(stars: dict[str, Star], key: str) -> str:
+    return f"s{stars[key].slots[0].index}"
 
-def bindings(quads: DataFrame, table: Table) -> DataFrame:
-    """One row per solution: o{i}, and s{i}, the subject of each column's star."""
+
+def bindings(quads: DataFrame, table: Table, hubs: int | None = None, product: bool = False) -> DataFrame:
+    """One row per solution: o{i}, and s{i}, the subject of each column's star; g, the graph ('' the default one).
+
+    Subjects with more than ``hubs`` quads are looked for and converted by joins (None: all are lists). Stars that neither a
+    link nor a shared variable joins are an error, unless their ``product`` is asked for."""
     stars = plan(table)
-    children = {s.child for star in stars.values() for s in star.slots if s.child}
+    quads = in_graphs(quads)
     done: set[str] = set()
+    joined: set[str] = set()  # stars of trees that are complete
+    back: list[tuple[Slot, bool]] = []  # links to stars that the tree holds already
 
     def build(key: str) -> DataFrame:
         done.add(key)
         star = stars[key]
-        out = star_lists(quads, star, table)
-        needed = _needed(star, table)
+        must = needed(star, table)
         links = [s for s in star.slots if s.child and s.child not in done]
+        closing = [s for s in star.slots if s.child and s.child in done and s.child not in joined]
         done.update(s.child for s in links)
+        loose = [s for s in links if s not in must and needed(stars[s.child], table)]
+        own = _reduced(of_star(quads, star, table), star, table)
+        hub = Hubs(own, star, table, hubs) if hubs is not None else None
+        if hub is not None and not hub.found:
+            hub = None
+        lists = _lists(hub.others() if hub else own, star, table)
+        out = lists.unionByName(hub.rows([*loose, *closing])) if hub else lists
         for s in links:
             right = build(s.child).withColumnsRenamed({"s": "child_s", "g": "child_g"})
-            if s in needed or not _needed(stars[s.child], table):
-                out = out.withColumn(f"o{s.index}", F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
-                how = "inner" if _needed(stars[s.child], table) else "left"
-                out = out.join(right, (out[f"o{s.index}"] == right["child_s"]) & out["g"].eqNullSafe(right["child_g"]), how).drop("child_s", "child_g")
+            o = f"o{s.index}"
+            if s not in loose:
+                out = out.withColumn(o, F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
+                how = "inner" if needed(stars[s.child], table) else "left"
+                out = out.join(right, (out[o] == right["child_s"]) & (out["g"] == right["child_g"]), how).drop("child_s", "child_g")
                 continue
             # an optional link counts only together with what its target must have; without any, the row stays
-            pairs = out.select(F.col("g").alias("link_g"), F.col("s").alias("link_s"), f"l{s.index}").dropDuplicates(["link_g", "link_s"]).select("link_g", "link_s", F.explode(f"l{s.index}").alias(f"o{s.index}"))
-            pairs = pairs.join(right, (pairs[f"o{s.index}"] == right["child_s"]) & pairs["link_g"].eqNullSafe(right["child_g"])).drop("child_s", "child_g")
+            pairs = lists.select("g", "s", F.explode(f"l{s.index}").alias(o))
+            pairs = (pairs.unionByName(hub.values(s)) if hub else pairs).withColumnsRenamed({"g": "link_g", "s": "link_s"})
+            pairs = pairs.join(right, (pairs[o] == right["child_s"]) & (pairs["link_g"] == right["child_g"])).drop("child_s", "child_g")
             out = out.drop(f"l{s.index}")
-            out = out.join(pairs, _same(out, "link_g", "link_s"), "left").drop("link_g", "link_s")
-        for s in sorted((s for s in star.slots if s not in links), key=lambda s: s not in needed):
+            out = out.join(pairs, (out["g"] == pairs["link_g"]) & (out["s"] == pairs["link_s"]), "left").drop("link_g", "link_s")
+        for s in closing:
+            back.append((s, s in must))
+        for s in sorted((s for s in star.slots if s not in links and s not in closing), key=lambda s: s not in must):
             out = out.withColumn(f"o{s.index}", F.explode_outer(f"l{s.index}")).drop(f"l{s.index}")
         return out.withColumns({f"s{s.index}": F.col("s") for s in star.slots})
 
-    roots = [k for k in stars if k not in children] or list(stars)[:1]
     out = None
-    for key in [*roots, *stars]:
+    for key in star_order(stars, table):
         if key in done:
             continue
-        joined = set(done)
         right = build(key)
         if out is None:
-            out = right
+            out, joined = right, set(done)
             continue
-        # subjects that no value links: they belong together where their templates' variables agree
-        common = lambda k: sorted(set(templates.variables(key)) & set(templates.variables(k)))
-        left_key = max((k for k in stars if k in joined), key=lambda k: len(common(k)))
         right = right.withColumnsRenamed({"s": "other_s", "g": "other_g"})
-        if common(left_key):
-            part = lambda s, k: F.array(*[F.regexp_extract(s, templates.inverse(k, table.url, v) or "^$", 1) for v in common(left_key)])
-            out = out.withColumn("join_key", part(F.col(f"s{stars[left_key].slots[0].index}"), left_key))
-            right = right.withColumn("other_key", part(F.col("other_s"), key))
-            out = out.join(right, (F.col("join_key") == F.col("other_key")) & F.col("g").eqNullSafe(F.col("other_g")), "inner").drop("join_key", "other_key", "other_s", "other_g")
+        same = F.col("g") == F.col("other_g")
+        link = next((s for s in stars[key].slots if s.child in joined), None)
+        if link:  # it points at a star that the table begins with: that star's rows stay without it, unless the link is needed
+            on = F.col(subject_of(stars, link.child)) == F.col(f"o{link.index}")
+            out = out.join(right, same & on, "inner" if link in needed(stars[key], table) else "left")
         else:
-            out = out.join(right, F.col("g").eqNullSafe(F.col("other_g"))).drop("other_s", "other_g")
+            # subjects that no value links: they belong together where their templates' variables agree
+            left_key, shared = shared_variables(stars, joined, key)
+            if not shared and not product:
+                raise ValueError(f"nothing joins {key} to the other subjects of {table.url}")
+            on = variable_parts(F.col(subject_of(stars, left_key)), left_key, shared, table) == variable_parts(F.col("other_s"), key, shared, table) if shared else F.lit(True)
+            out = out.join(right, same & on, "inner")
+        out, joined = out.drop("other_s", "other_g"), set(done)
+    for s, must in back:  # the value is the subject that it leads back to
+        target = F.col(subject_of(stars, s.child))
+        if must:
+            out = out.where(F.array_contains(f"l{s.index}", target))
+        out = out.withColumn(f"o{s.index}", target).drop(f"l{s.index}")
     return out
 
 
@@ -184,9 +328,13 @@ def output_names(table: Table, lang: str = "und") -> list[str]:
     return out
 
 
-def table_rows(quads: DataFrame, table: Table, lang: str = "und") -> DataFrame:
+def table_rows(quads: DataFrame, table: Table, lang: str = "und", hubs: int | None = None, product: bool = False) -> DataFrame:
     """The table's text rows. Quads must be a set (sources.rdf.as_set)."""
-    found = bindings(quads, table)
+    return render(bindings(quads, table, hubs, product), table, lang)
+
+
+def render(found: DataFrame, table: Table, lang: str = "und", extra: Sequence[C] = ()) -> DataFrame:
+    """Solutions as text rows, with columns ``extra`` behind them."""
     cols = []
     physical = [(i, c) for i, c in enumerate(table.columns) if not c.virtual]
     for (i, c), title in zip(physical, output_names(table, lang), strict=True):
@@ -202,7 +350,7 @@ def table_rows(quads: DataFrame, table: Table, lang: str = "und") -> DataFrame:
         else:
             text = values.render(text, c.datatype)
         cols.append(F.coalesce(text, F.lit(null)).alias(title))
-    return found.select(*cols)
+    return found.select(*cols, *extra)
 
 
 def _untemplate(iri: C, template: str, table: Table, name: str) -> C:
@@ -213,6 +361,19 @@ def _untemplate(iri: C, template: str, table: Table, name: str) -> C:
     return F.when(iri.isNull(), iri).when(iri.rlike(regex), F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)).otherwise(iri)
 
 
-def convert(quads: DataFrame, group: TableGroup) -> dict[str, DataFrame]:
+def tables_with_rows(group: TableGroup, issues: Issues | None = None) -> list[Table]:
+    """The group's tables that are extracted; those without columns and those suppressed are skipped with a warning."""
+    out = []
+    for t in group.tables:
+        empty = all(c.virtual for c in t.columns)
+        if not empty and not t.suppress:
+            out.append(t)
+        elif issues:
+            with issues.at(table=t.url):
+                issues.warn("the table is skipped: " + ("it has no columns" if empty else "its output is suppressed"))
+    return out
+
+
+def convert(quads: DataFrame, group: TableGroup, issues: Issues | None = None, hubs: int | None = HUB) -> dict[str, DataFrame]:
     """Table URL -> rows, for all tables that are not suppressed and have columns."""
-    return {t.url: table_rows(quads, t, group.lang) for t in group.tables if not t.suppress and any(not c.virtual for c in t.columns)}
+    return {t.url: table_rows(quads, t, group.lang, hubs) for t in tables_with_rows(group, issues)}

@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.window import Window, WindowSpec
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -62,11 +63,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that materialize() wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for f in {os.path.dirname(f) for f in df.inputFiles()}:
         if "/quadloom/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, f)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, none if it does not exist."""
+    fs, hadoop = _file_system(spark, path)
+    return sorted(str(f.getPath()) for f in fs.listStatus(hadoop) if f.isDirectory()) if fs.exists(hadoop) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _file_system(spark, path)
+    fs.delete(hadoop, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -75,6 +95,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def running_window(order: str) -> WindowSpec:
+    """All rows up to the current one, for tables of a row per file or task."""
+    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     """The wanted column names, each with a number behind it where a column has that name already."""
     used, out = {c.lower() for c in taken}, []

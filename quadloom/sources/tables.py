@@ -8,9 +8,12 @@ from dataclasses import replace
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quadloom import runtime
 from quadloom.issues import Issues
 from quadloom.plans.descriptor import ENCODINGS, Column, Dialect, Table, name_columns
+from quadloom.sources import records
 
 LINE_ENDS = {"\n", "\r\n", "\r"}
 
@@ -37,20 +40,32 @@ def _literal(text: str) -> str:
 
 def _cell_count(line: C, dialect: Dialect) -> C:
     if dialect.quote_char:
-        q = _literal(dialect.quote_char)
-        inner = f"(?:[^{re.escape(dialect.quote_char)}]|{q}{q})*+" if dialect.double_quote else f"(?:[^\\\\{re.escape(dialect.quote_char)}]|\\\\.)*+"
-        line = F.regexp_replace(line, f"{q}{inner}{q}", "")
+        line = F.regexp_replace(line, "(?s)" + records.quoted(dialect)[1], "")
     return F.size(F.split(line, _literal(dialect.delimiter), -1))
 
 
+def _separator(dialect: Dialect) -> tuple[str | None, list[str]]:
+    """The line end that Spark's reader is given (None: its own ones), and other ones to split at."""
+    own = [x for x in dialect.line_terminators if x not in LINE_ENDS]
+    return (own[0], [*own[1:], *(x for x in dialect.line_terminators if x in LINE_ENDS)]) if own else (None, [])
+
+
+def _text(dialect: Dialect) -> C:
+    """A line's text: the reader takes bytes, in which line ends of these encodings are what they are in ASCII."""
+    encoding = ENCODINGS.get(dialect.encoding, "UTF-8")
+    return F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+
+
 def _lines(spark: SparkSession, path: str, dialect: Dialect) -> DataFrame:
     """A file's lines, without comments (and blank ones where the dialect skips them)."""
-    ends = [x for x in dialect.line_terminators if x not in LINE_ENDS]
-    lines = (spark.read.option("lineSep", ends[0]) if ends else spark.read).text(path)
-    if ends:  # the reader knows one terminator
-        others = [*ends[1:], *(x for x in dialect.line_terminators if x in LINE_ENDS)]
-        if others:
-            lines = lines.select(F.explode(F.split("value", "|".join(map(_literal, sorted(others, key=len, reverse=True))), -1)).alias("value"))
+    end, others = _separator(dialect)
+    lines = (spark.read.option("lineSep", end) if end else spark.read).text(path).select(_text(dialect).alias("value"))
+    if others:
+        lines = lines.select(F.explode(F.split("value", "|".join(map(_literal, sorted(others, key=len, reverse=True))), -1)).alias("value"))
+    return _kept(lines, dialect)
+
+
+def _kept(lines: DataFrame, dialect: Dialect) -> DataFrame:
     if dialect.comment_prefix:
         lines = lines.where(~F.col("value").startswith(dialect.comment_prefix))
     return lines.where(F.trim("value") != "") if dialect.skip_blank_rows else lines
@@ -65,20 +80,29 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width
     """All records as text: _c0.., _cells (how many the record has) and _line, the record's number in the file. Missing
     and empty cells are ''; blank lines are records of one empty cell unless the dialect skips them.
 
-    Files are split among tasks and read line by line. Only where a quoted cell holds a line break (``multiline``; None:
-    found by one pass over the lines, an odd number of quotes) or the encoding is not UTF-8 a file is read as a whole."""
-    quote = dialect.quote_char
-    if ENCODINGS.get(dialect.encoding, "UTF-8") != "UTF-8":
-        multiline = True
-    elif multiline is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))) if quote else F.lit(0)
-        multiline = bool(quote) and not _lines(spark, path, dialect).where(quotes % 2 == 1).isEmpty()
-    if multiline:
+    Files are split among tasks and read line by line. Where a quoted cell holds a line break (``multiline``; None: found by
+    one pass over the lines) records are put together by sources.records, still from splits. Only files of two-byte encodings
+    are read as a whole: their line ends are no single bytes."""
+    if ENCODINGS.get(dialect.encoding, "UTF-8").startswith("UTF-16"):
         return _scan_whole(spark, path, dialect, width)
-    lines = _lines(spark, path, dialect).withColumn("_cells", _cell_count(F.col("value"), dialect))
-    numbered = number_rows(lines, "_line").where(F.col("_line") > dialect.skip_rows).withColumn("_line", F.col("_line") - dialect.skip_rows)
+    if multiline is None:
+        multiline = bool(dialect.quote_char) and not _lines(spark, path, dialect).where(records.line_states(F.col("value"), dialect)[0]).isEmpty()
+    if multiline:
+        end, others = _separator(dialect)
+        found = records.whole_records(spark, path, dialect, _text(dialect), end or "\n")
+        # the reader splits at \n; the rest of \r\n stands at the record's end
+        text = F.regexp_replace("value", "\r$", "") if end is None else F.col("value")
+        lines = _kept(found.withColumn("value", text), dialect)
+        if dialect.comment_prefix or dialect.skip_blank_rows:  # places that records left out have not
+            lines = _renumbered(lines)
+        numbered = lines.withColumn("_line", F.col("_at") + 1).drop("_at").withColumn("_cells", _cell_count(F.col("value"), dialect))
+        lines = numbered
+    else:
+        lines = _lines(spark, path, dialect).withColumn("_cells", _cell_count(F.col("value"), dialect))
+        numbered = number_rows(lines, "_line")
+    numbered = numbered.where(F.col("_line") > dialect.skip_rows).withColumn("_line", F.col("_line") - dialect.skip_rows)
     if width is None:
-        first = lines.limit(dialect.skip_rows + 20).collect()[dialect.skip_rows :]
+        first = (numbered.where("_line <= 20").orderBy("_line").collect() if multiline else lines.limit(dialect.skip_rows + 20).collect()[dialect.skip_rows :])
         width = next((r["_cells"] for r in first if r.value.strip()), 1)
     schema = ", ".join(f"_c{i} string" for i in range(width))
     cells = numbered.withColumn("cells", F.from_csv("value", schema, {k: str(v).lower() if isinstance(v, bool) else v for k, v in _options(dialect).items()}))
@@ -86,12 +110,22 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width
     return cells.select(*[F.coalesce(F.col(f"cells._c{i + skip}"), F.lit("")).alias(f"_c{i}") for i in range(width - skip)], (F.col("_cells") - skip).alias("_cells"), "_line")
 
 
+def _renumbered(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """_at without gaps: the rows of each block of places are counted; their sums are a row for each block."""
+    own = lines.withColumn("_block", F.expr(f"_at div {block}"))
+    sizes = own.groupBy("_block").agg(F.count("*").alias("n"))
+    starts = sizes.select("_block", (F.sum("n").over(runtime.running_window("_block")) - F.col("n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("_at")) - 1
+    return own.withColumn("_at", inside).join(starts, "_block").withColumn("_at", F.col("_at") + F.col("_start")).drop("_block", "_start")
+
+
 def _scan_whole(spark: SparkSession, path: str, dialect: Dialect, width: int | None) -> DataFrame:
-    """Each file in one task; its reader drops blank lines and gives no number of cells."""
-    opts = _options(dialect) | {"encoding": ENCODINGS.get(dialect.encoding, "UTF-8"), "multiLine": True, "header": False, "inferSchema": False}
+    """Each file in one task, for encodings whose line ends are no single bytes; its reader drops blank lines and gives no
+    number of cells."""
+    opts = _options(dialect) | {"encoding": ENCODINGS[dialect.encoding], "multiLine": True, "header": False, "inferSchema": False}
     if dialect.comment_prefix:
         if len(dialect.comment_prefix) > 1:
-            raise ValueError("where cells hold line breaks, a comment prefix has one character")
+            raise ValueError("in a two-byte encoding, a comment prefix has one character")
         opts["comment"] = dialect.comment_prefix
     if set(dialect.line_terminators) - LINE_ENDS:
         opts["lineSep"] = next(x for x in dialect.line_terminators if x not in LINE_ENDS)

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from quadloom import runtime
-from quadloom.functions.terms import QUAD
-from quadloom.operators import c2r, r2c
-from quadloom.plans.descriptor import Table, TableGroup
+from quadloom.operators import c2r
+from quadloom.plans.descriptor import Table
 
 
 def stream_quads(rows: DataFrame, table: Table, ordinal: int = 0, options: c2r.Options = c2r.Options(minimal=True)) -> DataFrame:
@@ -37,20 +33,3 @@ def materialised(stream: DataFrame, name: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-
-def convert_stream(quads: DataFrame, group: TableGroup, emit: Callable[[str, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Incremental table rows: subjects that a micro-batch touches are converted from all of their quads so far, which are
-    kept in the shared folder; ``emit(url, rows, batch)`` takes them. A replayed batch overwrites its own part."""
-    spark = quads.sparkSession
-    store = runtime.scratch_path(spark, "quad-store")
-
-    def step(batch: DataFrame, number: int) -> None:
-        own = spark.createDataFrame([], QUAD) if batch.isEmpty() else batch
-        own.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        every = spark.read.schema(QUAD).parquet(f"{store}/batch=*").dropDuplicates()
-        touched = spark.read.schema(QUAD).parquet(f"{store}/batch={number}").select("s").distinct()
-        for url, rows in r2c.convert(every.join(touched, "s", "left_semi").select(*every.columns), group).items():
-            emit(url, rows, number)
-
-    return quads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

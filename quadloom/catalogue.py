@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadloom import runtime
 from quadloom.functions import numbers
@@ -340,6 +341,70 @@ def r2c_all_optional_seed(spark, sf_dir):
     return r2c.table_rows(q, table_of(described("docs.csv", [{"name": "quality", "datatype": "integer"}, {"name": "lang"}], aboutUrl=B + "d/{d}")))
 
 
+@query("""WITH v AS (SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'hub' ELSE l_orderkey::VARCHAR END AS s, l_orderkey * 10 + l_linenumber AS n FROM lineitem),
+f AS (SELECT DISTINCT CASE WHEN l_orderkey % 2 = 0 THEN 'hub' ELSE l_orderkey::VARCHAR END AS s, l_returnflag AS r, l_linestatus AS t FROM lineitem WHERE l_linenumber <> 3),
+r AS (SELECT DISTINCT s, r FROM f), t AS (SELECT DISTINCT s, t FROM f WHERE t = 'O')
+SELECT n::VARCHAR AS n, r, coalesce(t, '') AS t FROM v JOIN r USING (s) LEFT JOIN t USING (s)""")
+def r2c_hub(spark, sf_dir):
+    """One subject has half of all values: its columns are crossed over a grid of tasks, without a list."""
+    made = described("h.csv", [{"name": "s", "suppressOutput": True}, {"name": "n", "datatype": "integer"}], aboutUrl=B + "h/{s}")
+    flag = lambda c: described("h.csv", [{"name": "s", "suppressOutput": True}, {"name": c}], aboutUrl=B + "h/{s}")
+    s = "case when l_orderkey % 2 = 0 then 'hub' else string(l_orderkey) end"
+    others = [quads(rows(spark, sf_dir, "lineitem", [s, f"case when l_linenumber <> 3 {more} then {c} else '' end"]), flag(n)) for n, c, more in (("r", "l_returnflag", ""), ("t", "l_linestatus", "and l_linestatus = 'O'"))]
+    q = quads(rows(spark, sf_dir, "lineitem", [s, "l_orderkey * 10 + l_linenumber"]), made).unionByName(others[0]).unionByName(others[1])
+    t = described("h.csv", [{"name": "n", "required": True, "datatype": "integer"}, {"name": "r", "required": True}, {"name": "t"}], aboutUrl=B + "h/{s}")
+    return r2c.table_rows(rdf.as_set(q), table_of(t), hubs=1000)
+
+
+@query("SELECT o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
+def r2c_constant_literal(spark, sf_dir):
+    """A needed column with a constant: subjects without that literal leave before their values are collected."""
+    cells = ["o_orderkey", "o_orderpriority", "o_orderstatus"]
+    q = quads(rows(spark, sf_dir, "orders", cells), described("c.csv", [{"name": "k", "suppressOutput": True}, {"name": "o_orderpriority"}, {"name": "o_orderstatus"}], aboutUrl=B + "o/{k}"))
+    t = described("c.csv", [{"name": "o_orderpriority"}, {"name": "o_orderstatus", "required": True, "valueUrl": "O"}], aboutUrl=B + "o/{k}")
+    return r2c.table_rows(q, table_of(t)).withColumn("o_orderstatus", F.regexp_extract("o_orderstatus", "([^/]*)$", 1))
+
+
+@query("SELECT r_name, coalesce(n_name, '') AS n_name FROM region LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_regionkey = r_regionkey")
+def r2c_key_root(spark, sf_dir):
+    """The table begins at the star of its primary key, though another star's values point at it: regions without nations stay."""
+    made = described("geo.csv", [{"name": "n", "suppressOutput": True}, {"name": "n_name"}, {"name": "region", "propertyUrl": B + "inRegion", "valueUrl": B + "region/{region}"}], aboutUrl=B + "nation/{n}")
+    other = described("geo.csv", [{"name": "region", "suppressOutput": True}, {"name": "r_name"}], aboutUrl=B + "region/{region}")
+    q = quads(rows(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"]).where("_c2 < 3"), made).unionByName(quads(rows(spark, sf_dir, "region", ["r_regionkey", "r_name"]), other))
+    cols = [{"name": "n_name", "aboutUrl": B + "nation/{n}"}, {"name": "r_name", "aboutUrl": B + "region/{region}"},
+            {"name": "link", "virtual": True, "propertyUrl": B + "inRegion", "valueUrl": B + "region/{region}", "aboutUrl": B + "nation/{n}"}]
+    return r2c.table_rows(q, table_of(described("geo.csv", cols, primaryKey=["r_name"]))).select("r_name", "n_name")
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON b.n_nationkey = CASE WHEN a.n_nationkey % 2 = 0 THEN 24 - a.n_nationkey ELSE (a.n_nationkey + 2) % 25 END WHERE a.n_nationkey % 2 = 0")
+def r2c_cycle(spark, sf_dir):
+    """Two stars that point at each other: the second link leads back to the first's subject."""
+    key, other = "n_nationkey", "case when n_nationkey % 2 = 0 then 24 - n_nationkey else (n_nationkey + 2) % 25 end"
+    made = lambda kind, to: described("c.csv", [{"name": "x", "suppressOutput": True}, {"name": kind}, {"name": "to", "propertyUrl": B + "to" + to, "valueUrl": B + to + "/{to}"}], aboutUrl=B + kind + "/{x}")
+    own = lambda kind, to: quads(rows(spark, sf_dir, "nation", [key, "n_name", other]), made(kind, to))
+    cols = [{"name": "a", "required": True, "aboutUrl": B + "a/{i}"}, {"name": "b", "required": True, "aboutUrl": B + "b/{j}"},
+            {"name": "ab", "virtual": True, "required": True, "propertyUrl": B + "tob", "valueUrl": B + "b/{j}", "aboutUrl": B + "a/{i}"}, {"name": "ba", "virtual": True, "required": True, "propertyUrl": B + "toa", "valueUrl": B + "a/{i}", "aboutUrl": B + "b/{j}"}]
+    return r2c.table_rows(own("a", "b").unionByName(own("b", "a")), table_of(described("c.csv", cols)))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), w AS (SELECT n, o_orderkey::VARCHAR AS k, CASE n % 4 WHEN 0 THEN o_orderpriority || chr(10) || 'and "more", ' || o_orderstatus WHEN 1 THEN '' WHEN 2 THEN o_orderstatus ELSE chr(10) || chr(10) || 'x' END AS v FROM r)
+SELECT 2 * n - 1 AS row, k, v, CASE WHEN n % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS cells FROM w UNION ALL SELECT 2 * n, '', '', 1 FROM w""")
+def csv_quoted_breaks(spark, sf_dir):
+    """Cells with line breaks, quotes and delimiters, blank lines, rows with a cell too many, in files of many splits."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    n, q = F.row_number().over(Window.orderBy("o_orderkey")), '"'
+    v = F.expr(f"""case n % 4 when 0 then concat('{q}', o_orderpriority, '\n', 'and {q}{q}more{q}{q}, ', o_orderstatus, '{q}') when 1 then '' when 2 then o_orderstatus else '{q}\n\nx{q}' end""")
+    lines = runtime.table(spark, sf_dir, "orders").select("*", n.alias("n")).select("n", F.concat(F.concat_ws(",", F.col("o_orderkey").cast("string"), v), F.when(F.col("n") % 5 == 0, ",more").otherwise(""), F.lit("\n")).alias("value"))
+    path = _lines(spark, lines.orderBy("n").coalesce(1).select("value"), "breaks")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df, t = tables.read_csv(spark, path, _plain(path, ["k", "v"]))
+        out = df.select(F.col("_row").alias("row"), F.col("_c0").alias("k"), F.col("_c1").alias("v"), F.col("_cells").cast("bigint").alias("cells"))
+        return runtime.materialize(out, "breaks-read")  # while the splits are small
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_shipdate::DATE::VARCHAR AS d FROM lineitem), a AS (SELECT DISTINCT k, n FROM l), b AS (SELECT DISTINCT k, d FROM l)
 SELECT n::VARCHAR AS n, d FROM a JOIN b USING (k)""")
 def r2c_multivalue_cross(spark, sf_dir):

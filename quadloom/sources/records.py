@@ -38,12 +38,16 @@ def _opening(dialect: Dialect) -> str:
     return f"(^|{re.escape(dialect.delimiter)}){space}"
 
 
+def without_quoted(text: C, dialect: Dialect) -> C:
+    """The text without its whole quoted cells; a quote inside another cell is a character like others."""
+    return F.regexp_replace(text, f"(?s){_opening(dialect)}{quoted(dialect)[1]}", "$1")
+
+
 def line_states(line: C, dialect: Dialect) -> tuple[C, C, C]:
     """Whether the line, begun outside or inside a quoted cell, ends inside one; and whether one begun inside leaves it."""
     q = re.escape(dialect.quote_char)
-    inner, cell = quoted(dialect)
-    opening = _opening(dialect)
-    open_after = lambda text: F.regexp_replace(text, f"(?s){opening}{cell}", "$1").rlike(f"(?s){opening}{q}")
+    inner, opening = quoted(dialect)[0], _opening(dialect)
+    open_after = lambda text: without_quoted(text, dialect).rlike(f"(?s){opening}{q}")
     outside = open_after(line)
     if dialect.comment_prefix:
         outside = outside & ~line.startswith(dialect.comment_prefix)

@@ -40,7 +40,7 @@ def _literal(text: str) -> str:
 
 def _cell_count(line: C, dialect: Dialect) -> C:
     if dialect.quote_char:
-        line = F.regexp_replace(line, "(?s)" + records.quoted(dialect)[1], "")
+        line = records.without_quoted(line, dialect)
     return F.size(F.split(line, _literal(dialect.delimiter), -1))
 
 

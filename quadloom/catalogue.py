@@ -387,6 +387,15 @@ def r2c_cycle(spark, sf_dir):
     return r2c.table_rows(own("a", "b").unionByName(own("b", "a")), table_of(described("c.csv", cols)))
 
 
+@query(f"""SELECT '{B}o/' || o_orderkey AS subject, 'v' AS "column", 'P' || (o_orderkey % 40) || 'D' AS value, CASE WHEN o_orderkey % 40 > 20 THEN 'the value is left out: it does not meet the facets of duration' ELSE 'the value is shown as it is: it is no duration of the format' END AS message
+FROM orders WHERE o_orderkey % 40 > 9""")
+def r2c_issues(spark, sf_dir):
+    """Durations outside their bounds are left out, those outside their format are shown as they are; both are reported."""
+    q = quads(rows(spark, sf_dir, "orders", ["o_orderkey", "concat('P', o_orderkey % 40, 'D')"]), described("o.csv", [{"name": "k", "suppressOutput": True}, {"name": "v", "datatype": "duration"}], aboutUrl=B + "o/{k}"))
+    t = table_of(described("o.csv", [{"name": "v", "datatype": {"base": "duration", "format": "^P[0-9]D$", "maxInclusive": "P20D"}}], aboutUrl=B + "o/{k}"))
+    return r2c.extraction_issues(q, t).select("subject", "column", "value", "message")
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders), w AS (SELECT n, o_orderkey::VARCHAR AS k, CASE n % 4 WHEN 0 THEN o_orderpriority || chr(10) || 'and "more", ' || o_orderstatus WHEN 1 THEN '' WHEN 2 THEN o_orderstatus ELSE chr(10) || chr(10) || 'x' END AS v FROM r)
 SELECT 2 * n - 1 AS row, k, v, CASE WHEN n % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS cells FROM w UNION ALL SELECT 2 * n, '', '', 1 FROM w""")
 def csv_quoted_breaks(spark, sf_dir):

@@ -4,27 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
-import re
 import sys
 
 from pyspark.sql import SparkSession
 
+from quadloom import api
 from quadloom.issues import Issues, ValidationError, counts
-from quadloom.operators import c2r, infer, r2c, serialize
-from quadloom.plans.descriptor import Loader, Table, TableGroup
+from quadloom.operators import serialize
 from quadloom.sources import rdf, resolve, tables
 
 
-def _group(source: str, rules: list[tuple[str, str]], issues: Issues) -> TableGroup:
-    """A descriptor's group, or that of the metadata found beside a CSV file, or an empty one."""
-    if source.endswith(".json"):
-        return Loader(source, lambda u: resolve.read_text(u, rules), issues).load(resolve.read_text(source, rules))
-    found = resolve.discover(source, lambda u: resolve.read_text(u, rules), issues=issues)
-    if found:
-        return Loader(found[0], lambda u: resolve.read_text(u, rules), issues).load(found[1])
-    return TableGroup((Table(url=source, has_schema=False),))
-
-
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quadloom")
     sub = p.add_subparsers(dest="command", required=True)
@@ -32,33 +21,36 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(names[0], aliases=list(names[1:]))
         s.add_argument("input")
         s.add_argument("--path-override", nargs=2, action="append", default=[], metavar=("FROM", "TO"))
+        s.add_argument("--base-iri", default="")
+        s.add_argument("--log-level", choices=("error", "warn", "debug"), default="warn")
         if names[0] != "validate":
             s.add_argument("--output", "-o", required=True)
         if names[0] == "csvw2rdf":
             s.add_argument("--format", choices=sorted(serialize.FORMATS))
             s.add_argument("--minimal", action="store_true")
+            s.add_argument("--keep-template-iris", action="store_true")
         if names[0] == "rdf2csvw":
             s.add_argument("--descriptor")
+            s.add_argument("--no-vocab-metadata", action="store_true")
     a = p.parse_args(argv)
     spark, issues = SparkSession.builder.getOrCreate(), Issues()
-    rules = [tuple(x) for x in a.path_override]
-
-    def read(t: Table):
-        return tables.read_csv(spark, resolve.override(re.sub(r"[?#].*$", "", t.url), rules), t, issues)
-
+    rules = tuple(tuple(x) for x in a.path_override)
+    level = {"error": api.ERROR, "warn": api.WARN, "debug": api.DEBUG}[a.log_level]
+    options = api.ConversionOptions(base_iri=a.base_iri, path_overrides=rules, log_level=level, log=lambda _, text: print(text, file=sys.stderr), minimal=getattr(a, "minimal", False),
+                                    template_iris=not getattr(a, "keep_template_iris", False), descriptor=getattr(a, "descriptor", None), use_vocab_metadata=not getattr(a, "no_vocab_metadata", False))
     if a.command in ("csvw2rdf", "c2r"):
-        serialize.write(c2r.convert(spark, _group(a.input, rules, issues), read, c2r.Options(minimal=a.minimal)), a.output, a.format or serialize.format_of(a.output))
+        serialize.write(api.to_quads(spark, a.input, options, issues), a.output, a.format or serialize.format_of(a.output))
     elif a.command in ("rdf2csvw", "r2c"):
-        quads = rdf.as_set(rdf.read_rdf(spark, resolve.override(a.input, rules))).persist()
-        text = resolve.read_text(a.descriptor, rules) if a.descriptor else json.dumps(infer.infer(quads))
-        group = Loader(a.descriptor or "", lambda u: resolve.read_text(u, rules), issues).load(text)
-        for url, rows in r2c.convert(quads, group).items():
-            table = next(t for t in group.tables if t.url == url)
-            tables.write_csv(rows, f"{a.output}/{re.sub('[?#].*$', '', url).rpartition('/')[2]}", table.dialect)
+        quads = rdf.as_set(rdf.read_rdf(spark, resolve.override(a.input, list(rules)), a.base_iri or None)).persist()
+        found, described, made = api.to_tables(quads, options, issues)
+        for url, rows in found.items():
+            name, _ = api.table_header(described[url])
+            tables.write_csv(rows, f"{a.output}/{name.rpartition('/')[2]}", described[url].dialect)
+        text = json.dumps(made) if made else options.reader()(a.descriptor)
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{a.output}/descriptor.json")
     else:
         try:
-            found = c2r.validate(spark, _group(a.input, rules, issues), read, issues)
+            found = api.validate(spark, a.input, options, issues)
         except ValidationError:
             found = issues.frame(spark)
         for line in found.toJSON().toLocalIterator():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def check(text: Column, base: str, pattern: str | None = None) -> tuple[Column,
     if base != "time":
         ok = ok & day.try_cast("date").isNotNull()
     if base != "date":
-        ok = ok & (two("H", "00") <= "24") & (two("m", "00") <= "59") & (two("s", "00") <= "60")
+        inside = (two("H", "00") <= "23") & (two("m", "00") <= "59") & (two("s", "00") <= "59")
+        ok = ok & (inside | (clock == "24:00:00"))
     body = day if base == "date" else clock if base == "time" else F.concat(day, F.lit("T"), clock)
     return F.coalesce(ok, F.lit(False)), F.concat(body, zone)
 
@@ -111,3 +113,25 @@ def duration_seconds(text: Column) -> Column:
     part = lambda x, u: F.coalesce(F.regexp_extract(x, rf"(\d+(?:\.\d+)?){u}", 1).try_cast("double"), F.lit(0.0))
     total = (part(date, "Y") * 365.25 + part(date, "M") * 30.4375 + part(date, "D")) * 86400 + part(time, "H") * 3600 + part(time, "M") * 60 + part(time, "S")
     return F.when(text.startswith("-"), -total).otherwise(total)
+
+
+def seconds_of_duration(text: str) -> float:
+    """A descriptor's duration in the measure of duration_seconds()."""
+    m = re.fullmatch(r"(-?)P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?", text)
+    if not m or not any(m.groups()[1:]):
+        raise ValueError(text)
+    years, months, days, hours, minutes, seconds = (float(x or 0) for x in m.groups()[1:])
+    total = (years * 365.25 + months * 30.4375 + days) * 86400 + hours * 3600 + minutes * 60 + seconds
+    return -total if m[1] else total
+
+
+def seconds_of_date(text: str) -> float:
+    """A descriptor's date or time as seconds; without a zone it counts as UTC."""
+    clock = re.fullmatch(r"(\d\d:\d\d:\d\d(?:\.\d+)?)(Z|[+-]\d\d:\d\d)?", text)
+    day = re.fullmatch(r"(\d{4}-\d\d-\d\d)(Z|[+-]\d\d:\d\d)?", text)
+    if clock:
+        text = "2000-01-01T" + text
+    elif day:
+        text = day[1] + "T00:00:00" + (day[2] or "")
+    found = datetime.fromisoformat(text.replace("T24:00:00", "T00:00:00"))
+    return (found if found.tzinfo else found.replace(tzinfo=UTC)).timestamp() + (86400 if "T24:" in text else 0)

@@ -85,31 +85,44 @@ def scale(text: Column) -> Column:
 
 
 def canonical(x: Column) -> Column:
-    """A double's shortest text: plain between 1e-6 and 1e21, else with an exponent; -0 keeps its sign."""
-    text = F.abs(x).cast("string")
-    mant = F.regexp_extract(text, r"^([0-9.]+)", 1)
-    whole, frac = F.substring_index(mant, ".", 1), F.when(mant.contains("."), F.regexp_replace(F.substring_index(mant, ".", -1), "0+$", "")).otherwise(F.lit(""))
-    shift = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-
-    def laid(v: Column) -> Column:
-        digits, e = v["d"], v["e"]  # 0.ddd * 10^e
-        n = F.length(digits)
-        plain_ = (F.when(e <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e), digits)).when(n <= e, F.rpad(digits, e, F.lit("0")))
-                  .otherwise(F.concat(F.substring(digits, F.lit(1), e), F.lit("."), F.substring(digits, e + 1, n))))
-        exp = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit("")), F.when(e > 1, F.lit("e+")).otherwise(F.lit("e-")), F.abs(e - 1).cast("string"))
-        return F.when(digits == "", F.lit("0")).when((e > -6) & (e <= 21), plain_).otherwise(exp)
-
-    raw = F.concat(whole, frac)
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
-    parts = F.struct(F.regexp_replace(F.regexp_replace(raw, "^0+", ""), "0+$", "").alias("d"), (F.length(whole) + shift - lead).alias("e"))
-    body = F.element_at(F.transform(F.array(parts), laid), 1)
-    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), F.lit("-")).otherwise(F.lit(""))
-    usual = ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)) | (x == 0)  # the engine's own text, but for a trailing .0
-    return F.when(usual, F.regexp_replace(x.cast("string"), r"\.0$", "")).when(F.isnan(x), F.lit("NaN")).when(F.abs(x) == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, body))
+    """A double's shortest text: plain between 1e-6 and 1e21, else with an exponent; -0 keeps its sign. No array function, so
+    that it stays in generated code."""
+    size, own = F.abs(x), x.cast("string")
+    text = size.cast("string")  # the shortest digits, below 1e-3 and from 1e7 on with an exponent
+    plain_ = lambda digits: F.regexp_replace(text.try_cast(f"decimal(38,{digits})").cast("string"), r"\.?0*$", "")
+    exp = F.regexp_replace(F.regexp_replace(text, r"(?:\.0)?E-", "e-"), r"(?:\.0)?E", "e+")
+    body = F.when((size >= 1e7) & (size < 1e21), plain_(17)).when((size >= 1e-6) & (size < 1e7), plain_(25)).otherwise(exp)
+    sign = F.when(own.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    usual = ((size >= 1e-3) & (size < 1e7)) | (x == 0)  # the engine's own text, but for a trailing .0
+    return F.when(usual, F.regexp_replace(own, r"\.0$", "")).when(F.isnan(x), F.lit("NaN")).when(size == float("inf"), F.concat(sign, F.lit("INF"))).otherwise(F.concat(sign, body))
+
+
+#: A number of at most 15 digits without exponent: its digits are its canonical text but for zeros at the end.
+SIMPLE = r"^(?!-?0\.000000)(?!-0(?:\.0*)?$)-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{0,15})?$"
 
 
 def check(text: Column, base: str, pattern: str | None = None, decimal: str = ".", group: str | None = None) -> tuple[Column, Column, Column]:
     """(is valid, canonical text, double value) of a number's text."""
+    if pattern or decimal != ".":
+        return _checked(text, base, pattern, decimal, group)
+    # most cells: nothing to be taken apart, and whole-stage code instead of array functions
+    simple = text.rlike(SIMPLE) & (F.length(text) <= 16)
+    ok, lex, value = _checked(text, base, None, decimal, group)
+    dotted = text.contains(".")
+    low, high = EXTENTS.get(base, (None, None))
+    plain_ok = F.lit(True)
+    if base in INTEGERS:
+        plain_ok = ~dotted
+        if low is not None and low > -(10**15):
+            plain_ok = plain_ok & F.coalesce(text.try_cast("bigint") >= low, F.lit(False))
+        if high is not None and high < 10**15:
+            plain_ok = plain_ok & F.coalesce(text.try_cast("bigint") <= high, F.lit(False))
+    short = F.when(dotted, F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
+    return F.when(simple, plain_ok).otherwise(ok), F.when(simple, short).otherwise(lex), F.when(simple, text.try_cast("double")).otherwise(value)
+
+
+def _checked(text: Column, base: str, pattern: str | None, decimal: str, group: str | None) -> tuple[Column, Column, Column]:
+    """check() for any text."""
     special = text.isin(SPECIAL) if base in ("double", "float", "number") else F.lit(False)
     bare = plain(text, decimal, group or ("," if pattern else None))
     ok = bare.rlike(f"^(?:{PLAIN[base]})$") & text.rlike("^[%‰]?[^%‰]*$|^[^%‰]*[%‰]$")

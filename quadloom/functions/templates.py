@@ -65,14 +65,14 @@ def variables(template: str) -> list[str]:
 
 def encode(value: Column, reserved: bool) -> Column:
     """Percent-encoding of all but unreserved (and, if asked, reserved) characters."""
-    form = F.url_encode(value)
+    form, given = F.url_encode(value), value
     for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
         form = F.replace(form, F.lit(a), F.lit(b))
     if reserved:
         for c in ":/?#[]@!$&'()*+,;=":
             form = F.replace(form, F.lit(f"%{ord(c):02X}"), F.lit(c))
         form = F.regexp_replace(form, "%25([0-9A-Fa-f]{2})", "%$1")  # what was encoded stays so
-    return form
+    return F.when(given.rlike("^[A-Za-z0-9._~-]*$"), given).otherwise(form)
 
 
 def _item(lead: str, reserved: bool):
@@ -157,11 +157,9 @@ def _decoded(text: str) -> str:
 
 
 def decode_column(iri: Column) -> Column:
-    """Percent-encoded characters beyond ASCII back to themselves, run by run."""
-    runs = F.regexp_extract_all(iri, F.lit("(?:%[89A-Fa-f][0-9A-Fa-f])+"), F.lit(0))
-    pieces = F.split(iri, "(?:%[89A-Fa-f][0-9A-Fa-f])+", -1)
-    woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(runs)), runs, lambda p, r: F.concat(p, F.coalesce(F.try_url_decode(r), r))), ""), F.element_at(pieces, -1))
-    return F.when(iri.rlike("%[89A-Fa-f]"), woven).otherwise(iri)
+    """Percent-encoded characters beyond ASCII back to themselves; what is ASCII is guarded by one more encoding."""
+    guarded = F.replace(F.regexp_replace(iri, "%(?![89A-Fa-f][0-9A-Fa-f])", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.when(iri.rlike("%[89A-Fa-f]"), F.coalesce(F.try_url_decode(guarded), iri)).otherwise(iri)
 
 
 def to_iri(template: str, table_url: str, values: dict[str, Column], lists: frozenset[str] | set[str] = frozenset(), pretty: bool = True) -> Column:

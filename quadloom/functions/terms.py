@@ -31,6 +31,7 @@ PREFIXES = {
 }
 RDF, RDFS, XSD, CSVW, SKOS = (PREFIXES[k] for k in ("rdf", "rdfs", "xsd", "csvw", "skos"))
 
+# The datatypes' names, the URIs that do not follow from them, and their derivation.
 INTEGERS = ["integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte", "nonPositiveInteger", "negativeInteger"]
 NUMERIC = [*INTEGERS, "decimal", "double", "float", "number"]
 DATES = ["date", "dateTime", "datetime", "time", "dateTimeStamp"]

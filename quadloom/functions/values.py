@@ -39,7 +39,7 @@ def white_space(text: Column, base: str) -> Column:
         return text
     if base == "normalizedString":
         return F.regexp_replace(text, r"[\t\r\n]", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(text.rlike(r"\s"), F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(text)
 
 
 def size(text: Column, base: str) -> Column:
@@ -141,3 +141,23 @@ def satisfies(text: Column, dt: Datatype) -> Column:
             if limit is not None:
                 ok = ok & test
     return F.coalesce(ok, F.lit(False))
+
+
+def displayable(text: Column, dt: Datatype) -> Column:
+    """Whether a term's text can be shown in the datatype's format; what cannot be is shown as it is."""
+    base = dt.base
+    fmt = dt.format if isinstance(dt.format, str) else None
+    ok = F.lit(True)
+    if base == "boolean":
+        ok = text.isin("true", "1", "false", "0")
+    elif base in NUMERIC:
+        ok = text.isin(numbers.SPECIAL) | text.try_cast("double").isNotNull()
+    elif base in DATES:
+        ok = dates.check(text, base)[0]
+    elif base in PARTIAL_DATES:
+        ok = text.rlike(f"^(?:{dates.PARTIAL[base]})$")
+    elif base in DURATIONS:
+        ok = text.rlike(f"^(?:{dates.DURATION[base]})$")
+        if fmt:
+            ok = ok & text.rlike(fmt)
+    return F.coalesce(ok, F.lit(False))

@@ -115,6 +115,8 @@ def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options =
         if c.separator is not None:
             lists.add(c.name)
     row_node, plain_subject = F.concat(F.lit(f"_:t{ordinal}r"), row), F.concat(F.lit(f"_:t{ordinal}r"), row, F.lit("s"))
+    staged = Staged(own, options.pretty_iris)
+    predicates: list[str] = []
     single: list[C] = []  # structs, null where absent
     many: list[C] = []  # arrays of structs
     none = F.lit(None).cast("struct<" + QUAD.replace(" string", ":string").replace(" ", "") + ">")
@@ -123,9 +125,10 @@ def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options =
             continue
         number = F.lit(str(j + options.first_column))
         names = base | {"_name": F.lit(c.name), "_column": number, "_sourceColumn": F.lit(str(j + options.first_column + table.dialect.skip_columns))}
-        iri = lambda t, names=names: templates.to_iri(t, table.url, names, lists, options.pretty_iris)
+        iri = lambda t, names=names, j=j: staged.iri(t, j, lambda pretty: templates.to_iri(t, table.url, names, lists, pretty))
         s_kind, s = ("iri", iri(c.about_url)) if c.about_url else ("bnode", plain_subject)
         p = iri(c.property_url) if c.property_url else F.lit(f"{table.url}#{c.name}")
+        predicates.append(c.property_url if c.property_url else f"{table.url}#{c.name}")
         if c.virtual:
             if not c.value_url:
                 continue
@@ -161,11 +164,37 @@ def row_quads(df: DataFrame, table: Table, ordinal: int = 0, options: Options =
             else:
                 many.append(F.transform(F.col(f"x{i}.lex"), _item_title(row_node, dt, lang)))
     empty = F.array().cast("array<struct<" + QUAD.replace(" string", ":string").replace(" ", "") + ">>")
+    own = staged.frame()
+    # a row's quads are a set; columns that give one quad each, with fixed predicates that all differ, cannot repeat one
+    if options.minimal and not many and single and len(set(predicates)) == len(predicates) and not any(templates.variables(x) for x in predicates):
+        return own.select(F.inline(F.array(*single))).where("s is not null").select(*QUAD_COLUMNS)
     everything = F.concat(F.array(*single) if single else empty, *[F.coalesce(m, empty) for m in many])
-    # a row's quads are a set
     return own.select(F.inline(F.array_distinct(F.filter(everything, lambda q: q.isNotNull())))).select(*QUAD_COLUMNS)
 
 
+class Staged:
+    """IRIs from templates as columns of their own: computed once a row, however many quads hold them."""
+
+    def __init__(self, df: DataFrame, pretty: bool):
+        self.df, self.pretty = df, pretty
+        self.names: dict[tuple[str, int], str] = {}
+        self.raw: dict[str, C] = {}
+
+    def iri(self, template: str, column: int, make: Callable[[bool], C]) -> C:
+        found = templates.variables(template)
+        if not found:
+            return make(self.pretty)
+        key = template, column if {"_name", "_column", "_sourceColumn"} & set(found) else -1
+        if key not in self.names:
+            self.names[key] = f"iri{len(self.names)}"
+            self.raw[self.names[key]] = make(False)
+        return F.col(self.names[key])
+
+    def frame(self) -> DataFrame:
+        out = self.df.withColumns(self.raw)
+        return out.withColumns({n: templates.decode_column(F.col(n)) for n in self.raw}) if self.pretty else out
+
+
 def table_node(table: Table, ordinal: int) -> tuple[str, str]:
     return ("iri", table.id) if table.id else ("bnode", f"_:t{ordinal}")
 

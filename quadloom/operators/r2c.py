@@ -361,6 +361,30 @@ def _untemplate(iri: C, template: str, table: Table, name: str) -> C:
     return F.when(iri.isNull(), iri).when(iri.rlike(regex), F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)).otherwise(iri)
 
 
+EXTRACTION_ISSUE = "type string, message string, table string, graph string, subject string, column string, value string"
+
+
+def extraction_issues(quads: DataFrame, table: Table) -> DataFrame:
+    """Warnings of the table's extraction, where they come from: values that their column's facets leave out, and values that
+    are shown as they are since its format has no place for them. One pass over the star's quads, without a shuffle."""
+    out = None
+    for star in plan(table).values():
+        found = []
+        for slot in star.slots:
+            c = slot.column
+            if c.value_url or c.suppress:
+                continue
+            own = (F.col("p") == slot.predicate) & (F.col("o_kind") == "literal")
+            inside = values.satisfies(F.col("o"), c.datatype)
+            issue = lambda text, c=c: F.struct(F.lit("warning").alias("type"), F.lit(text).alias("message"), F.lit(table.url).alias("table"), F.col("g").alias("graph"), F.col("s").alias("subject"), F.lit(c.name).alias("column"), F.col("o").alias("value"))
+            found.append(F.when(own & ~inside, issue(f"the value is left out: it does not meet the facets of {c.datatype.base}")))
+            found.append(F.when(own & inside & ~values.displayable(F.col("o"), c.datatype), issue(f"the value is shown as it is: it is no {c.datatype.base} of the format")))
+        if found:
+            own = of_star(quads, star, table).select(F.inline(F.array_compact(F.array(*found))))
+            out = own if out is None else out.unionByName(own)
+    return quads.sparkSession.createDataFrame([], EXTRACTION_ISSUE) if out is None else out
+
+
 def tables_with_rows(group: TableGroup, issues: Issues | None = None) -> list[Table]:
     """The group's tables that are extracted; those without columns and those suppressed are skipped with a warning."""
     out = []

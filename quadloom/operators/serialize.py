@@ -27,22 +27,34 @@ def _escaped(x: Column) -> Column:
     return F.when(x.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"), coded).otherwise(x)
 
 
+#: Characters that an IRI reference must not hold.
+_NOT_IN_IRIS = "[\\x00-\\x20<>\"{}|^`\\\\]"
+
+
+def _iri(x: Column) -> Column:
+    """The IRI in angle brackets; characters that it must not hold are escaped."""
+    odd = F.array_distinct(F.regexp_extract_all(x, F.lit(_NOT_IN_IRIS), F.lit(0)))
+    first = F.when(x.contains("\\"), F.replace(x, F.lit("\\"), F.lit("\\u005C"))).otherwise(x)  # escapes hold backslashes
+    coded = F.aggregate(F.filter(odd, lambda c: c != "\\"), first, lambda t, c: F.replace(t, c, F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))))
+    return F.concat(F.lit("<"), F.when(x.rlike(_NOT_IN_IRIS), coded).otherwise(x), F.lit(">"))
+
+
 def _term(kind: Column, x: Column) -> Column:
-    return F.when(kind == "iri", F.concat(F.lit("<"), x, F.lit(">"))).otherwise(F.when(x.startswith("_:"), x).otherwise(F.concat(F.lit("_:"), x)))
+    return F.when(kind == "iri", _iri(x)).otherwise(F.when(x.startswith("_:"), x).otherwise(F.concat(F.lit("_:"), x)))
 
 
 def _object() -> Column:
     text = F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'))
-    literal = F.when(F.col("o_lang").isNotNull(), F.concat(text, F.lit("@"), "o_lang")).when(F.coalesce("o_dt", F.lit(XSD + "string")) == XSD + "string", text).otherwise(F.concat(text, F.lit("^^<"), "o_dt", F.lit(">")))
+    literal = F.when(F.col("o_lang").isNotNull(), F.concat(text, F.lit("@"), "o_lang")).when(F.coalesce("o_dt", F.lit(XSD + "string")) == XSD + "string", text).otherwise(F.concat(text, F.lit("^^"), _iri(F.col("o_dt"))))
     return F.when(F.col("o_kind") == "literal", literal).otherwise(_term(F.col("o_kind"), F.col("o")))
 
 
 def lines(quads: DataFrame, graphs: bool = True) -> DataFrame:
     """One N-Quads (or N-Triples) line per quad."""
-    parts = [_term(F.col("s_kind"), F.col("s")), F.concat(F.lit("<"), "p", F.lit(">")), _object()]
+    parts = [_term(F.col("s_kind"), F.col("s")), _iri(F.col("p")), _object()]
     if graphs:
         g = F.col("g")
-        parts.append(F.when(g.isNotNull(), F.when(g.startswith("_:"), g).otherwise(F.concat(F.lit("<"), g, F.lit(">")))))
+        parts.append(F.when(g.isNotNull(), F.when(g.startswith("_:"), g).otherwise(_iri(g))))
     return quads.select(F.concat_ws(" ", *parts, F.lit(".")).alias("value"))
 
 
@@ -52,7 +64,7 @@ def turtle_blocks(quads: DataFrame, prefixes: dict[str, str] | None = None, grap
     object_text = _object()
 
     def qname(x: Column) -> Column:
-        out = F.concat(F.lit("<"), x, F.lit(">"))
+        out = _iri(x)
         local = F.regexp_extract(x, r"[^#/]*$", 0)
         ns = F.substring(x, F.lit(1), F.length(x) - F.length(local))
         names = F.create_map(*[F.lit(v) for k, n in reversed(table.items()) for v in (n, k)]) if len(set(table.values())) == len(table) else F.create_map(*[F.lit(v) for n, k in {n: k for k, n in reversed(table.items())}.items() for v in (n, k)])

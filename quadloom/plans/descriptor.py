@@ -17,6 +17,7 @@ from quadloom.issues import Issues
 CONTEXT = "http://www.w3.org/ns/csvw"
 INHERITED = ["aboutUrl", "datatype", "default", "lang", "null", "ordered", "propertyUrl", "required", "separator", "textDirection", "valueUrl"]
 DIRECTIONS = ("ltr", "rtl", "auto", "inherit")
+# Names of encodings, and the properties that objects may have.
 ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "ucs2": "UTF-16LE", "ucs-2": "UTF-16LE", "utf16le": "UTF-16LE", "utf-16le": "UTF-16LE", "latin1": "ISO-8859-1", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "utf-16": "UTF-16"}
 #: Own properties of each kind of object, beside the inherited ones.
 KEYS = {
@@ -366,14 +367,14 @@ class Loader:
                 bounds[to] = str(v[k])
         if {"minInclusive", "minExclusive"} <= set(bounds) or {"maxInclusive", "maxExclusive"} <= set(bounds):
             issues.error("inclusive and exclusive bounds together")
-        if base in NUMERIC:
-            low, high = [], []
+        measure = float if base in NUMERIC else dates.seconds_of_duration if base in DURATIONS else dates.seconds_of_date if base in DATES else None
+        if measure:
             try:
-                low = [float(x) for k, x in bounds.items() if k.startswith("min")]
-                high = [float(x) for k, x in bounds.items() if k.startswith("max")]
+                low = [measure(x) for k, x in bounds.items() if k.startswith("min")]
+                high = [measure(x) for k, x in bounds.items() if k.startswith("max")]
             except ValueError:
-                issues.warn("a bound is not a number")
-                bounds = {}
+                issues.warn(f"a bound is not a {'number' if base in NUMERIC else base}")
+                low, high, bounds = [], [], {}
             if low and high and (low[0] > high[0] or low[0] == high[0] and any(k.endswith("Exclusive") for k in bounds)):
                 issues.error("the bounds leave no value")
         return Datatype(base, own, self._format(v.get("format"), base), n, lo, hi, bounds)

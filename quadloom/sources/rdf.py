@@ -55,7 +55,7 @@ def parse_nquads(lines: DataFrame, col: str = "value") -> DataFrame:
     dt, lang = F.regexp_extract(o, r'"\^\^<([^>]*)>$', 1), F.regexp_extract(o, r'"@([A-Za-z0-9-]+)$', 1)
     literal = o.startswith('"')
     return t.select(_kind(s).alias("s_kind"), _node(s).alias("s"), _node(p).alias("p"), _kind(o).alias("o_kind"), F.when(literal, _unescape(body)).otherwise(_node(o)).alias("o"),
-                    F.when(literal, F.when(lang != "", F.lit(RDF + "langString")).when(dt != "", dt).otherwise(F.lit(XSD + "string"))).alias("o_dt"), F.when(literal & (lang != ""), lang).alias("o_lang"), F.when(g != "", _node(g)).alias("g"))
+                    F.when(literal, F.when(lang != "", F.lit(RDF + "langString")).when(dt != "", _unescape(dt)).otherwise(F.lit(XSD + "string"))).alias("o_dt"), F.when(literal & (lang != ""), lang).alias("o_lang"), F.when(g != "", _node(g)).alias("g"))
 
 
 class Turtle:

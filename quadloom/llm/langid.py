@@ -34,8 +34,9 @@ ORDER = 4
 #: Labelled documents per language for fitting: the documented bound. Every fifth calibrates.
 PER_LANG = 400
 PIECE = 200_000
-#: Share of pieces of the calibrating documents, PIECE_CHARS long, that may be rejected in their own language.
-REJECT_RATE, PIECE_CHARS = 0.001, 100
+#: Share of pieces of the calibrating documents that may be rejected in their own language, for pieces of each length, and
+#: what is added to their largest entropies: other documents vary more than the pieces of a few.
+REJECT_RATE, PIECE_CHARS, REJECT_MARGIN = 0.001, (12, 25, 50, 100, 200, 400, 800, 1600), 0.08
 #: Numbers that \w holds beside letters and \d, such as fractions and Roman numerals.
 _NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 _BLANKS = dict.fromkeys(map(ord, _NUMBERS), " ")
@@ -51,7 +52,7 @@ class Model:
     gamma: tuple[np.ndarray, ...]  # per order of the context, (contexts + 1) x langs
     floor: np.ndarray  # the uniform share below order 1
     temperature: float
-    limits: np.ndarray  # cross-entropy beyond which a text is rejected
+    limits: np.ndarray  # cross-entropy beyond which a text of each length in PIECE_CHARS is rejected: lengths by languages
 
 
 def normal(text: str | None) -> str:
@@ -128,7 +129,7 @@ def fit(texts: dict[str, list[str]]) -> Model:
                 gamma[n - 1][at[ok], j] = share[ok]
             else:
                 floor[j] = share[0] / (len(grams[0]) + 1)
-    m = Model(langs, tuple(grams), tuple(alpha), tuple(gamma), floor, 1.0, np.full(len(langs), np.inf))
+    m = Model(langs, tuple(grams), tuple(alpha), tuple(gamma), floor, 1.0, np.full((len(PIECE_CHARS), len(langs)), np.inf))
     ents, gold, sizes = [], [], []
     for j, k in enumerate(langs):
         e, n = entropies(held[k] or normed[k][:5], m)
@@ -136,11 +137,14 @@ def fit(texts: dict[str, list[str]]) -> Model:
         sizes.append(n)
         gold += [j] * len(n)
     e, n, y = np.vstack(ents), np.concatenate(sizes), np.array(gold)
-    limits = np.full(len(langs), np.inf)
+    limits = np.full((len(PIECE_CHARS), len(langs)), np.inf)
     for j, k in enumerate(langs):
-        pieces = [t[i : i + PIECE_CHARS] for t in held[k] or normed[k][:5] for i in range(0, len(t), PIECE_CHARS)]
-        own = np.sort(entropies(pieces, m)[0][:, j])
-        limits[j] = own[min(len(own) - 1, int(np.ceil((1 - REJECT_RATE) * (len(own) + 1))) - 1)]
+        text = " ".join(held[k] or normed[k][:5])
+        for r, size in enumerate(PIECE_CHARS):
+            pieces = [text[i : i + size] for i in range(0, max(1, len(text) - size + 1), size)]
+            own = np.sort(entropies([x for x in pieces if x.strip()] or [text], m)[0][:, j])
+            limits[r, j] = own[min(len(own) - 1, int(np.ceil((1 - REJECT_RATE) * (len(own) + 1))) - 1)] * (1 + REJECT_MARGIN)
+    limits = np.maximum.accumulate(limits[::-1], axis=0)[::-1]  # a longer text varies less
     # short samples of the held documents, as long ones are never in doubt
     best = min((0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0), key=lambda t: -np.log(_softmax(e, np.minimum(n, 20), t)[np.arange(len(y)), y] + 1e-12).sum())
     return Model(langs, m.grams, m.alpha, m.gamma, floor, best, limits)
@@ -215,7 +219,8 @@ def predict(texts: list[str | None], m: Model) -> list[tuple[str, float, float |
             out.append(("und", 0.0, None, True))
             continue
         j = int(best[k])
-        out.append((m.langs[j], float(p[k, j]), float(e[k, j]), bool(e[k, j] > m.limits[j])))
+        limit = np.interp(np.log2(max(n[k], 1)), np.log2(PIECE_CHARS), m.limits[:, j])
+        out.append((m.langs[j], float(p[k, j]), float(e[k, j]), bool(e[k, j] > limit)))
         k += 1
     return out
 
@@ -238,16 +243,27 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _predicted(it, sent), COLUMNS)
 
 
+def sample_ids(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id") -> DataFrame:
+    """i and lang of at most ``per_lang`` documents of each language, those with the smallest id hashes. A language's number
+    of documents gives a hash below which some more than that lie, all but surely: only these are ordered, so that a task
+    sends few rows of a language on, however many tasks there are."""
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("i"), F.col("lang").cast("string").alias("lang"))
+    sizes = runtime.materialize(own.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")  # a row for each language
+    enough = per_lang + 12 * per_lang**0.5 + 40
+    place = F.xxhash64("i").cast("double") / 2.0**64 + 0.5  # from 0 to 1
+    near = own.join(sizes, "lang").where(place * F.col("n") <= enough).select("i", "lang").distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
+    return near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("i", "lang")
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id") -> Model:
-    """Fits on at most ``per_lang`` documents of each language, those with the smallest id hashes, in one task. The ids
-    are found in one pass: a limit per language holds before the shuffle."""
+    """Fits on the documents of sample_ids(), in one task: their texts come to it from parallel scans."""
     runtime.ship(docs.sparkSession)
     runtime.small_batches(docs.sparkSession)
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col(id_col).alias("i"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    ids = runtime.materialize(own.select("i", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("i", "lang").distinct(), "language-ids")
+    ids = runtime.materialize(sample_ids(docs, per_lang, id_col), "language-ids")
     few = ids.limit(50 * PER_LANG + 1).count() <= 50 * PER_LANG  # of 50 languages
-    rows = own.join(F.broadcast(ids) if few else ids, ["i", "lang"]).select("lang", "text")
+    rows = own.join(F.broadcast(ids) if few else ids, ["i", "lang"]).select("lang", "text").repartition(1)
 
     def learn(got: list[tuple]) -> Model:
         texts: dict[str, list[str]] = {}
@@ -255,7 +271,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id") ->
             texts.setdefault(lang, []).append(text)
         texts = {k: v[: 2 * per_lang] for k, v in texts.items()}  # a repeated id comes with all its texts
         if not any(normal(t) for v in texts.values() for t in v):
-            return Model((), (), (), (), np.zeros(0), 1.0, np.zeros(0))
+            return Model((), (), (), (), np.zeros(0), 1.0, np.zeros((len(PIECE_CHARS), 0)))
         return fit(texts)
 
     return sampling.fit_in_task(rows, learn)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom import runtime
-from quadloom.llm import jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, toxicity, warc
+from quadloom.llm import jaccard, langid, mixing, mpegts, neighbours, packing, pii, quality, sampling, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
@@ -353,6 +353,12 @@ def test_toxicity_separates():
     assert 0 <= toxicity.probability(None, m, c) <= 1
     with pytest.raises(ValueError):
         toxicity.fit([], good, 0.5)
+    # no window is left out: gains are those of each window compressed by itself
+    for text in (*bad[118:], *good[118:], None, "", "x"):
+        data = b" " + toxicity._norm(text).encode() + b" "
+        a, b = c[1][toxicity._kind(data, c[0])]
+        parts = [data[i : i + toxicity.WINDOW] for i in range(0, max(1, len(data) - toxicity.STEP), toxicity.STEP)]
+        assert toxicity._gains([text], c)[0].tolist() == [len(a(w)) - len(b(w)) for w in parts]
 
 
 def test_toxicity_compresses_windows_kind_by_kind():
@@ -364,8 +370,7 @@ def test_toxicity_compresses_windows_kind_by_kind():
     def compressor(name):
         return lambda w: calls.append(name) or bytes(sum(w) % 7 if name[0] == "a" else 3)
 
-    table = np.ones(1 << 22, bool)
-    parts = np.array([toxicity._profile(k(400).encode()) for k in kinds]), [(compressor(f"a{i}"), compressor(f"b{i}"), table) for i in range(2)]
+    parts = np.array([toxicity._profile(k(400).encode()) for k in kinds]), [(compressor(f"a{i}"), compressor(f"b{i}")) for i in range(2)]
     sent = SimpleNamespace(value=SimpleNamespace(compressors=lambda: parts, weights=np.linspace(-0.1, 0.1, 15)))
 
     def scored(ids, texts):
@@ -487,6 +492,25 @@ def test_languages_without_letters_and_rejection(spark):
     assert [g[0] for g in got[:3]] == ["und", "und", "en"] and not got[2][3] and got[3][3]
 
 
+def test_unlearned_languages_are_rejected_and_learned_ones_not(spark):
+    """Texts of the tables: with one language left out of training, its texts are rejected, of the others under 1 %."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 60")
+    train = docs.where((sampling.fold("doc_id", 4) != 2) & (F.col("lang") != "de"))
+    rows = langid.identify(docs.where((sampling.fold("doc_id", 4) == 2) | (F.col("lang") == "de")).select("doc_id", "text"), langid.train(train)).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    other, own = [r.rejected for r in rows if r.lang == "de"], [r.rejected for r in rows if r.lang != "de"]
+    assert np.mean(other) > 0.9 and np.mean(own) < 0.01
+
+
+def test_language_samples_are_the_smallest_hashes_however_they_lie(spark):
+    rows = [(i, "en" if i % 9 else "de", f"text number {i}") for i in range(900)] + [(None, "en", "no id"), (5, None, "no language"), (6, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for parts in (1, 7):
+        got = langid.sample_ids(df.repartition(parts), 50).collect()
+        for lang in ("en", "de"):
+            want = df.where(f"lang = '{lang}' and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()
+            assert {r.i for r in got if r.lang == lang} == {r.doc_id for r in want if r.doc_id is not None} | ({None} if any(r.doc_id is None for r in want) else set())
+
+
 def test_kneser_ney_counts_equal_dictionaries():
     """Numbers of highest n-grams and of distinct lower ones, which continuation counts rest on, against plain sets."""
     rng = random.Random(10)

@@ -5,7 +5,10 @@ persons) are replaced by keyed surrogates of the same type and format: digits st
 number that passes its check digit still does, an account number gets right check digits, private IP ranges stay
 private, given names are exchanged within their gender and script in keyed order (so a surrogate may be another's
 original name), surnames keep case, hyphens, apostrophes, gendered endings and script (Latin, Cyrillic, Greek, Armenian;
-others become Latin). An entity has the same surrogate everywhere, also where it is written differently (grouping, case).
+others become Latin), so that "Петров" and "Петрова" stay a pair. An entity has the same surrogate everywhere, also where it
+is written differently (grouping, case), and a name that a document has as a person's is replaced wherever it stands alone in
+that document. Domains are reserved ones (example.com and its like, or under .example), public IPv4 addresses come from the
+range for benchmarks (198.18.0.0/15) or are IPv6 addresses for documentation.
 Surrogates come from SHA-2 of key, type, canonical form and attempt; the distinct entities of the whole corpus are
 checked, and those whose surrogate another entity has, or which equals any original, get the next attempt. Private IP
 addresses are permuted within their range, so that a range in full use has surrogates too. From attempt ``ATTEMPTS`` on the small formats
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from quadloom import runtime
 
-KEY, KEY_CONF = "surrogates-1", "spark.quadloom.surrogateKey"
+KEY_CONF = "spark.quadloom.surrogateKey"
+#: The query's and the pipeline's key, where the session has none. Who knows a key can test guesses: real data need another.
+QUERY_KEY = "surrogates-1"
 #: Overrides up to this number go into the plan as a literal map; more are joined by row.
 LITERAL_OVERRIDES = 500
 ATTEMPTS = 12
@@ -53,6 +58,10 @@ SYLLABLES = {
     "armenian": "բա դեն ֆալ գոր հին կեր լամ մոր նես պոլ րիս ստա տուր վել վին զար".split(),
 }
 _JOINTS = "['’-]"
+#: Feminine endings and the masculine ones that a pair's stem is found by.
+PAIRS = [("(ов|ев|ёв|ин|ын|ov|ev)[аa]$", "$1"), ("(ск|цк)ая$", "$1ий"), ("ska$", "ski"), ("οπούλου$", "όπουλος"), ("ίδου$", "ίδης")]
+#: A name as it stands alone: a possessive s is not of it.
+ALONE = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*+(?:['’-]\p{Lu}\p{L}*+)*+(?![\p{L}\p{N}])"
 PRIVATE = r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)"
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -99,6 +108,14 @@ def _secret_value(e: Column) -> Column:
     return F.regexp_replace(e, "^" + SECRET_LEAD, "")
 
 
+def _stem(w: Column) -> Column:
+    """A surname in lower case, a feminine one as the masculine of its pair."""
+    out = F.lower(w)
+    for feminine, masculine in PAIRS:
+        out = F.regexp_replace(out, feminine, masculine)
+    return out
+
+
 def _words(e: Column) -> Column:
     """A person's names that the list of given names does not have, without a title; Smith-Jones are two names, O'Brien
     is O and Brien."""
@@ -115,7 +132,7 @@ def _form(kind: Column, e: Column, d: Column) -> Column:
 def _parts(e: Column) -> Column:
     """An entity's canonical parts as 'type:form'."""
     def of(kind: Column) -> Column:
-        return F.when(kind == "person", F.transform(_words(e), lambda w: F.concat(F.lit("name:"), F.lower(w)))).otherwise(F.array(F.concat(kind, F.lit(":"), _form(kind, e, _digits(e)))))
+        return F.when(kind == "person", F.transform(_words(e), lambda w: F.concat(F.lit("name:"), _stem(w)))).otherwise(F.array(F.concat(kind, F.lit(":"), _form(kind, e, _digits(e)))))
 
     return _let(_kind(e), of)
 
@@ -178,10 +195,10 @@ def _shuffled(prefix: Column, numbers: list[Column], bits: int, key: str, attemp
 
 
 def _ip(form: Column, h: Column, wide: Column, key: str, attempt: Column) -> Column:
-    """Public addresses become others; private ones are permuted within their own range, which may be in use as a whole."""
-    o = [F.pmod(_num(h, 1 + 12 * i), F.lit(254)) + 1 for i in range(3)]
+    """Public addresses become ones for benchmarks (for documentation, of IPv6, from the third attempt on: the range is small);
+    private ones are permuted within their own range, which may be in use as a whole."""
     private = F.regexp_extract(form, PRIVATE, 1)
-    public = F.concat_ws(".", 11 + F.pmod(_num(h, 37), F.lit(110)), *o)
+    public = F.concat_ws(".", F.lit("198"), 18 + F.pmod(_num(h, 37), F.lit(2)), F.pmod(_num(h, 1), F.lit(256)), F.pmod(_num(h, 13), F.lit(256)))
     octet = [F.coalesce(F.try_element_at(F.split(form, r"\."), F.lit(i)).cast("int"), F.lit(0)) for i in (2, 3, 4)]
 
     def two(prefix: Column) -> Column:
@@ -193,7 +210,7 @@ def _ip(form: Column, h: Column, wide: Column, key: str, attempt: Column) -> Col
         return _let(pair, lambda v: F.concat_ws(".", F.floor(v["a"] / 16), F.pmod(v["a"], F.lit(16)) * 16 + F.floor(v["b"] / 256), F.pmod(v["b"], F.lit(256))))
 
     six = F.concat_ws(":", F.when(private == "", F.lit("2001:db8")).otherwise(F.lit("fd00:0")), *[F.substring(h, 60 + 4 * i, 4) for i in range(6)])
-    return F.when(wide, six).when(private == "", public).when(private.isin("10.", "127."), F.concat(private, three(private))).otherwise(F.concat(private, two(private)))
+    return F.when(wide | (private == "") & (attempt > 2), six).when(private == "", public).when(private.isin("10.", "127."), F.concat(private, three(private))).otherwise(F.concat(private, two(private)))
 
 
 def _letters(x: Column) -> Column:
@@ -204,7 +221,9 @@ def _email(form: Column, h: Column, key: str) -> Column:
     local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
     new = F.concat(_letters(F.substring(h, 1, 10)), F.when(local.rlike(r"[._+-]"), F.regexp_extract(local, r"([._+-])", 1)).otherwise(F.lit("")), F.when(local.rlike(r"\d"), F.substring(_pool(h), 13, 4)).otherwise(_letters(F.substring(h, 20, 4))))
     site = F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain).cast("binary"), 256)
-    return F.concat(new, F.lit("@"), _letters(F.substring(site, 1, 10)), F.lit(".example."), F.substring_index(domain, ".", -1))
+    tail = F.regexp_extract(domain, r"((?:\.(?:co|ac|gov|org|com|net|edu))?\.[^.]+)$", 1)
+    reserved = F.when(tail.isin(".com", ".net", ".org"), F.concat(F.lit(".example"), tail)).otherwise(F.concat(tail, F.lit(".example")))
+    return F.concat(new, F.lit("@"), _letters(F.substring(site, 1, 10)), reserved)
 
 
 def _surname(form: Column, h: Column, wide: Column) -> Column:
@@ -260,24 +279,46 @@ def _place_all(surface: Column, chars: Column) -> Column:
     return F.aggregate(F.split(surface, ""), start, step, lambda a: a["s"])
 
 
-def surrogates(entities: Column, key: str, attempts: Column | None) -> Column:
-    """The surface forms that take the place of an array of entities."""
-    given = _given_map(key)
-    names = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+def _tries(attempts: Column | None):
+    return lambda part: F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, part), F.lit(0))
+
 
-    def tries(part: Column) -> Column:
-        return F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, part), F.lit(0))
+def name_words(key: str, attempts: Column | None):
+    """word -> its surrogate, for the words of a person's name."""
+    given, tries = _given_map(key), _tries(attempts)
+    names = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
 
     def one(w: Column) -> Column:
-        new = _let(F.concat(F.lit("name:"), F.lower(w)), lambda part: _surname(w, _hash(key, part, tries(part)), tries(part) >= ATTEMPTS))
+        new = _let(F.concat(F.lit("name:"), _stem(w)), lambda part: _surname(w, _hash(key, part, tries(part)), tries(part) >= ATTEMPTS))
         return F.when(F.length(w) > 1, _recased(new, w)).otherwise(w)
 
     def name(w: Column) -> Column:
         joints = F.concat(F.regexp_extract_all(w, F.lit(_JOINTS), F.lit(0)), F.array(F.lit("")))
         return F.array_join(F.zip_with(F.transform(F.split(w, _JOINTS), one), joints, lambda n, j: F.concat(n, j)), "")
 
-    def word(w: Column) -> Column:
-        return F.when(F.regexp_replace(w, r"\.$", "").isin(TITLES), w).when(w.isin(list(given)), F.try_element_at(names, w)).otherwise(name(w))
+    return lambda w: F.when(F.regexp_replace(w, r"\.$", "").isin(TITLES), w).when(w.isin(list(given)), F.try_element_at(names, w)).when(
+        (w == F.upper(w)) & F.initcap(w).isin(list(given)), F.upper(F.try_element_at(names, F.initcap(w)))).otherwise(name(w))
+
+
+def persons_names(entities: Column) -> Column:
+    """The names, in lower case, of the persons among an array of entities: whole ones and the parts of joined ones."""
+    words = F.flatten(F.transform(entities, lambda e: F.when(_kind(e) == "person", F.regexp_extract_all(e, F.lit(ALONE), F.lit(0))).otherwise(F.array().cast("array<string>"))))
+    parts = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(F.split(w, _JOINTS), lambda x: F.length(x) > 2))))
+    return F.array_distinct(F.transform(F.filter(parts, lambda w: ~w.isin(TITLES) & (F.length(w) > 1)), lambda w: F.lower(w)))
+
+
+def names_alone(pieces: Column, names: Column, word) -> Column:
+    """Texts between entities, in which each of ``names`` that stands alone is replaced."""
+    def piece(p: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(p, F.lit(ALONE), F.lit(0)), lambda t: F.when(F.array_contains(names, F.lower(t)), word(t)).otherwise(t))
+        return F.array_join(F.zip_with(F.split(p, ALONE, -1), F.concat(found, F.array(F.lit(""))), lambda a, t: F.concat(a, t)), "")
+
+    return F.when(F.size(names) > 0, F.transform(pieces, piece)).otherwise(pieces)
+
+
+def surrogates(entities: Column, key: str, attempts: Column | None) -> Column:
+    """The surface forms that take the place of an array of entities."""
+    tries, word = _tries(attempts), name_words(key, attempts)
 
     def surface(x: Column) -> Column:
         e, kind, d, new = x["e"], x["kind"], x["d"], x["new"]
@@ -312,9 +353,11 @@ def resolve(parts: DataFrame, key: str) -> DataFrame:
 
 
 def replace(docs: DataFrame, *, text_col: str = "text", key: str | None = None, count_col: str = "pii_entities") -> DataFrame:
-    """All columns, with the text's entities replaced and their number added. ``key``: of the surrogates; else what the
-    session has in KEY_CONF, else KEY (for tests: who knows the key can test guesses)."""
-    key = key or docs.sparkSession.conf.get(KEY_CONF, None) or KEY
+    """All columns, with the text's entities replaced and their number added (names that stand alone are not counted again).
+    ``key``: of the surrogates; else what the session has in KEY_CONF. Without either ValueError is raised."""
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"surrogates need a key: give one or set {KEY_CONF}")
     if count_col in docs.columns:
         raise ValueError(f"a column is named {count_col}")
     text = F.col(text_col)
@@ -326,7 +369,7 @@ def replace(docs: DataFrame, *, text_col: str = "text", key: str | None = None,
 
     taken = set(docs.columns)
     own = lambda n: next(x for x in (n, *(f"{n}_{i}" for i in range(len(taken) + 1))) if x not in taken)
-    ents, tries, rid = own("found"), own("tries"), own("rid")
+    ents, tries, rid, names = own("found"), own("tries"), own("rid"), own("names")
     rows = docs.withColumn(ents, found)
     if not few:
         attempts = None
@@ -338,7 +381,8 @@ def replace(docs: DataFrame, *, text_col: str = "text", key: str | None = None,
         mine = mine.join(overrides, "part").groupBy(rid).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias(tries))
         rows = rows.join(mine, rid, "left")
         attempts = F.coalesce(F.col(tries), F.create_map().cast("map<string,int>"))
-    pieces = F.split(text, DETECT, -1)
+    rows = rows.withColumn(names, persons_names(F.col(ents)))
+    pieces = names_alone(F.split(text, DETECT, -1), F.col(names), name_words(key, attempts))
     news = surrogates(F.col(ents), key, attempts)
     woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(ents)), news, lambda p, s: F.concat(p, s)), ""), F.element_at(pieces, -1))
     out = {c: F.col(c) for c in docs.columns}
@@ -346,5 +390,10 @@ def replace(docs: DataFrame, *, text_col: str = "text", key: str | None = None,
     return rows.select(*[out[c].alias(c) for c in docs.columns], F.size(ents).alias(count_col))
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; where it has none, that of the query and the pipeline over the test tables."""
+    return spark.conf.get(KEY_CONF, None) or QUERY_KEY
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(runtime.table(spark, sf_dir, "documents"))
+    return replace(runtime.table(spark, sf_dir, "documents"), key=session_key(spark))

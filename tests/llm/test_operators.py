@@ -111,7 +111,7 @@ def test_deduplicate_and_empty_tables(spark, docs):
     kept = [r.doc_id for r in jaccard.deduplicate(docs).collect()]
     assert kept.count(3) == 1 and 60 not in kept and 62 in kept and None in kept
     none = docs.limit(0)
-    assert jaccard.join(none).count() == 0 and packing.pack(none, tokenizer_path()).count() == 0 and mpegts.from_media(mpegts.to_media(none)).count() == 0 and pii.replace(none).count() == 0
+    assert jaccard.join(none).count() == 0 and packing.pack(none, tokenizer_path()).count() == 0 and mpegts.from_media(mpegts.to_media(none)).count() == 0 and pii.replace(none, key="k").count() == 0
 
 
 def tokenizer_path():
@@ -196,7 +196,7 @@ def test_warc_round_trip(spark, tmp_path):
 def test_pii_surrogates(spark):
     text = "Mail Bob.34@mail7.example.com or bob.34@MAIL7.example.com, +1 (017) 555-7713 or (017) 555-7713, card 4111 1111 1111 1111, ip 97.51.17.173 and 10.0.0.1, IBAN DE89 3704 0044 0532 0130 00, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     rows = [(1, text, "n"), (2, "Mrs. Anna Berger met Mr. Berger, ANNA BERGER? Иван Петров.", "n"), (3, None, "n"), (4, "", "n"), (5, "Nothing here. Version 2.0 of 1999", "n")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string, found string")).collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string, found string"), key="k").collect()}
     one = got[1].text
     for raw in ("34@mail", "555-7713", "4111 1111", "97.51.17.173", "0532 0130", "04dbebab"):
         assert raw not in one
@@ -212,6 +212,52 @@ def test_pii_surrogates(spark):
     assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1] and got[5].pii_entities == 0 and got[1].found == "n"
 
 
+def test_pii_names_that_stand_alone_are_replaced_alike(spark):
+    rows = [(1, "John Smith met us. Smith said hello; later John left. Mr. Smith agreed, as SMITH's and JOHN's friends did. Smithy and Johnson stayed."),
+            (2, "Anna Petrova came. Petrova (not Petrov) and Anna's dog; Mrs. Smith-Jones, then Jones alone, von Smith-Jones."),
+            (3, "Smith and John stand here without a person."), (4, "Иван Петров и Анна Петрова. Петрову, Петров, Петрова"), (5, None)]
+    got = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("names", F.lit("own")), key="k").collect()}
+    one = re.fullmatch(r"(\w+) (\w+) met us\. (\w+) said hello; later (\w+) left\. Mr\. (\w+) agreed, as (\w+)'s and (\w+)'s friends did\. Smithy and Johnson stayed\.", got[1]).groups()
+    assert one[0] == one[3] == one[6].capitalize() and one[1] == one[2] == one[4] == one[5].capitalize() and one[5].isupper()
+    assert one[0] in pii.GIVEN["latin-m"] and not re.search(r"\b(John|Smith)\b", got[1])
+    two = re.fullmatch(r"(\w+) (\w+)ova came\. (\w+)ova \(not Petrov\) and (\w+)'s dog; Mrs\. (\w+)-(\w+), then (\w+) alone, von (\w+)-(\w+)\.", got[2]).groups()
+    assert two[1] == two[2] and two[0] == two[3] and two[5] == two[6] == two[8] and two[4] == two[7] == one[1]
+    assert got[3] == rows[2][1] and got[5] is None
+    four = re.fullmatch(r"(\w+) (\w+)ов и (\w+) (\w+)ова\. Петрову, (\w+)ов, (\w+)ова", got[4]).groups()
+    assert four[1] == four[3] == four[4] == four[5]
+
+
+def test_pii_surrogates_are_reserved_domains_and_addresses(spark):
+    rows = [(1, "a@firm.de b@firm.co.uk c@x.firm.com d@firm.org 8.8.8.8 93.184.216.34 10.1.2.3")]
+    out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k").first().text.split()
+    assert [re.sub(r"^[^@]+@[a-z]+", "", x) for x in out[:4]] == [".de.example", ".co.uk.example", ".example.com", ".example.org"]
+    assert all(re.fullmatch(r"198\.1[89]\.\d+\.\d+", x) for x in out[4:6]) and out[6].startswith("10.")
+    with pytest.raises(ValueError):
+        pii.replace(spark.createDataFrame(rows, "doc_id long, text string"))
+    many = spark.range(150_000).selectExpr("concat('ip:', 20 + id div 65536, '.', id div 256 % 256, '.', id % 256, '.7') part")
+    new = pii.resolve(many, "k").select("part", pii.canonical_surrogate(F.col("part"), F.col("attempt"), "k").alias("new")).toPandas()
+    assert new.new.is_unique and new.new.str.fullmatch(r"198\.1[89]\.\d+\.\d+|2001:db8:[0-9a-f:]+").all()
+
+
+def test_pii_surnames_of_many_texts_do_not_stay_and_stay_apart(spark):
+    """Every surname that a document has as a person's, against a plain pattern; equal ones alike, different ones apart."""
+    rng = random.Random(13)
+    surnames = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(60)]
+    given = [n for k in ("latin-f", "latin-m") for n in pii.GIVEN[k]]
+    rows, facts = [], []
+    for i in range(150):
+        names = rng.sample(surnames, 2)
+        rows.append((i, f"{rng.choice(given)} {names[0]} and Mr. {names[1]} {prose(rng, 5)}. {names[1]}, {names[0]} {prose(rng, 3)} {names[0].upper()}."))
+        facts.append(names)
+    out = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    seen = {}
+    for i, (a, b) in enumerate(facts):
+        m = re.fullmatch(r"\w+ (\w+) and Mr\. (\w+) [a-z ]+\. (\w+), (\w+) [a-z ]+ (\w+)\.", out[i])
+        assert m[1] == m[4] and m[1].upper() == m[5] and m[2] == m[3]
+        assert seen.setdefault(a, m[1]) == m[1] and seen.setdefault(b, m[2]) == m[2]
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(surnames)
+
+
 def test_pii_clashes_take_another_attempt(spark, monkeypatch):
     monkeypatch.setattr(pii, "_pool", lambda h: F.concat(F.substring(F.conv(F.substring(h, 1, 12), 16, 10), 1, 1), F.lit("0" * 47)))
     monkeypatch.setattr(pii, "ATTEMPTS", 60)
@@ -222,18 +268,18 @@ def test_pii_clashes_take_another_attempt(spark, monkeypatch):
 
 def test_pii_masks_other_scripts_and_exhausted_formats(spark, monkeypatch):
     rows = [(1, "password: ******** and password: ______ or password: пароль-тайна, token=密码密码密码密码")]
-    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()[0]
+    got = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()[0]
     assert got.pii_entities == 4 and not re.search("[*]{2}|__|парол|密码", got.text)
     monkeypatch.setattr(pii, "ATTEMPTS", 2)
     monkeypatch.setattr(pii, "_pool", lambda h: F.concat(F.lit("0" * 36), F.substring(h.cast("string"), 1, 0), F.lpad(F.pmod(F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint"), F.lit(10**12)).cast("string"), 12, "0")))
     docs = spark.createDataFrame([(i, f"call 555-100-{i:04d} now") for i in range(20)], "doc_id long, text string")
-    texts = [r.text for r in pii.replace(docs).collect()]
+    texts = [r.text for r in pii.replace(docs, key="k").collect()]
     assert len(set(texts)) == 20 and not any("555-100" in t for t in texts)
 
 
 def test_pii_long_mails_scripts_and_full_ranges(spark):
     rows = [(1, "x@" + "a." * 20_000 + "com and " + "a." * 20_000), (2, "Анна Петрова, Mr. O'Brien, Mrs. Smith-Jones and Mr. JONES, Mr. McDonald; Priya Raman called Wei Zhang"), (3, "Version 1.2.3.4 and v1.2.3.4 but 1.2.3.4")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
     assert got[1].pii_entities == 1 and got[1].text.endswith("a." * 20_000) and len(got[1].text) < 41_000
     two = got[2].text
     assert re.search(r"[А-Я][а-я]+ [А-Я][а-я]+ова,", two) and re.search(r"Mr\. O'[A-Z][a-z]+, Mrs\. [A-Z][a-z]+-([A-Z][a-z]+) and Mr\. ([A-Z]+), Mr\. [A-Z][a-z][A-Z]", two)

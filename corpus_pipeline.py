@@ -37,7 +37,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay; repeated rows are changed alike. Other columns pass; an empty table is empty.
     """
     count = runtime.free_names(docs.columns, "pii_entities")[0]
-    out = pii.replace(docs, count_col=count)
+    out = pii.replace(docs, key=pii.session_key(spark), count_col=count)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(*docs.columns)
@@ -72,7 +72,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the network nor the tokenizer; tests/llm/test_pipeline.py has the brute-force version.
+#: SQL can express neither the network nor the tokenizer; tests/llm/test_pipeline.py compares stages with plain Python.
 ORACLE_SQL = None
 
 

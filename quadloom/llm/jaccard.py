@@ -574,6 +574,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(runtime.table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)]) END AS l FROM w),
+s AS MATERIALIZED (SELECT doc_id, len(l) AS n, unnest(l) AS x FROM l),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(d, o) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.o)
+SELECT l.doc_id, len(l.l)::BIGINT AS n_shingles, coalesce((SELECT min(o) FROM r WHERE r.d = l.doc_id), l.doc_id) AS component_id FROM l
+"""
+
+
 def deduplicate(docs: DataFrame, *, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group stays, with all its columns: that of the smallest id (rows without one come last), of equal
     ids that of the smallest text hash, of rows that repeat id and text any one. Rows without words are groups of their

@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op4_hierarchical_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
     "op11_group_block_divergence": divergence.ORACLE,
     "op13_annulus_clustering": annulus.ORACLE,
 }

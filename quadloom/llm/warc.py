@@ -195,8 +195,10 @@ def decide(pages: DataFrame) -> DataFrame:
     """Adds ``refers_to`` and ``revisit`` to page_id, url and html."""
     sha = F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8"))
     keyed = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn("sha", sha)
-    # partial sums make this one row per digest and task, however often a payload repeats; only repeated ones remain
+    # partial sums make this one row per digest and task, however often a payload repeats; only repeated ones remain. They are
+    # written: while they are few, Spark broadcasts them by the size of the files, and the html stays where it is
     repeated = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = runtime.materialize(repeated, "repeated-payloads")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return keyed.join(repeated, "sha", "left").select("page_id", "url", "html", "first", F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
@@ -244,3 +246,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = normalise(files)
     delete_files(files)
     return read_records(normal)
+
+
+def _base32(hexa: str) -> str:
+    """SQL: the base32 text of a hexadecimal one, five hexadecimal digits to four letters."""
+    value = "list_reduce([instr('0123456789abcdef', x) - 1 for x in string_split(substr({h}, 1 + 5 * g, 5), '')], lambda a, b: a * 16 + b)"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({value}) // {32**k}) % 32 + 1, 1)" for k in (3, 2, 1, 0))
+    return f"array_to_string([{letters} for g in range(8)], '')".replace("{h}", hexa)
+
+
+ORACLE = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), f AS (SELECT s, min(page_id) AS first FROM p GROUP BY s)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_base32("p.s")} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first THEN first END AS refers_to, url FROM p JOIN f ON f.s = p.s"""

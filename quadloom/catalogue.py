@@ -607,4 +607,4 @@ def stream_c2r(spark, sf_dir):
     return windows.materialised(windows.stream_quads(cells, t), "stream").select(*SHOWN)
 
 
-from quadloom import stream_queries  # noqa: E402, F401  (adds its queries)
+from quadloom import feature_queries, stream_queries  # noqa: E402, F401  (add their queries)

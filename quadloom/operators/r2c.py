@@ -16,6 +16,7 @@ from quadloom import runtime
 from quadloom.functions import templates, values
 from quadloom.functions.terms import RDF, XSD
 from quadloom.issues import Issues
+from quadloom.operators import infer
 from quadloom.plans.descriptor import Column, Table, TableGroup
 
 TYPE = RDF + "type"
@@ -57,10 +58,16 @@ def _constant_iri(template: str, table: Table) -> str | None:
     return templates.beautify(templates.normalise_url(text)) if templates.is_absolute(text) else table.url + text
 
 
+def _shows_subject(c: Column, table: Table) -> bool:
+    """In tables inferred for subjects without a class the key has no predicate: it is the subject."""
+    name = re.sub(r"[?#].*$", "", table.url).rpartition("/")[2]
+    return c.name == infer.SUBJECT and not c.property_url and not c.virtual and name.startswith(infer.UNTYPED[:-4]) and name.endswith(".csv")
+
+
 def plan(table: Table) -> dict[str, Star]:
     stars: dict[str, Star] = {}
     for i, c in enumerate(table.columns):
-        if c.suppress or c.virtual and not c.value_url:
+        if c.suppress or c.virtual and not c.value_url or _shows_subject(c, table):
             continue
         key = c.about_url or ""
         prop = _fold(c.property_url, table, c, i) if c.property_url else None
@@ -339,6 +346,11 @@ def render(found: DataFrame, table: Table, lang: str = "und", extra: Sequence[C]
     physical = [(i, c) for i, c in enumerate(table.columns) if not c.virtual]
     for (i, c), title in zip(physical, output_names(table, lang), strict=True):
         null = c.null[0] if c.null else ""
+        star = next((f"s{j}" for j, x in enumerate(table.columns) if x.about_url == c.about_url and f"s{j}" in found.columns), None)
+        if _shows_subject(c, table) and star and not c.suppress:
+            text = F.col(star) if not c.about_url else _untemplate(F.col(star), c.about_url, table, c.name)
+            cols.append(F.coalesce(text, F.lit(null)).alias(title))
+            continue
         if c.suppress or f"o{i}" not in found.columns:
             cols.append(F.lit(null).alias(title))
             continue

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom.functions import templates
 from quadloom.issues import Issues
 from quadloom.operators import c2r, infer, r2c
 from quadloom.plans.descriptor import Loader, Table, TableGroup
@@ -26,9 +29,10 @@ class ConversionOptions:
     """``base_iri``: what relative places and IRIs begin with. ``path_overrides``: (start or ^pattern, replacement) of places.
     ``log``, ``log_level``: who takes messages, from which level on. ``minimal``: no rows and tables in the quads.
     ``template_iris``: IRIs from templates are made readable. ``descriptor``: a descriptor, its text or its place.
-    ``use_vocab_metadata``: names of inferred tables come from labels, of ``vocabulary`` too. ``window_size``: tables are made
+    ``use_vocab_metadata``: names of inferred tables come from labels, of ``vocabulary`` too, or else of the documents that
+    ``resolve`` gives for the namespaces of predicates and classes. ``window_size``: tables are made
     of each window of so many quads (quads need a number n). ``resolve``: reads a text by its place; texts are kept.
-    ``well_known``: the text of a site's list of metadata places. ``link``: a table's link header."""
+    ``well_known``: the text of a site's list of metadata places, else /.well-known/csvm is read. ``link``: a table's link header."""
 
     base_iri: str = ""
     path_overrides: tuple[tuple[str, str], ...] = ()
@@ -70,7 +74,11 @@ def load_group(source: str | None, options: ConversionOptions, issues: Issues) -
     if source.endswith(".json"):
         return Loader(source, read, issues).load(read(source))
     link = resolve.link_metadata(options.link) if options.link else None
-    found = resolve.discover(source, read, options.well_known, link, issues)
+    well_known = options.well_known
+    if well_known is None and templates.is_absolute(source):  # the site's own list
+        with contextlib.suppress(OSError, KeyError, ValueError):
+            well_known = read(urljoin(source, "/.well-known/csvm"))
+    found = resolve.discover(source, read, well_known, link, issues)
     return Loader(found[0], read, issues).load(found[1]) if found else TableGroup((Table(url=source, has_schema=False),))
 
 
@@ -97,7 +105,10 @@ def validate(spark: SparkSession, source: str | None, options: ConversionOptions
 def infer_descriptor(quads: DataFrame, options: ConversionOptions = ConversionOptions()) -> dict[str, Any]:
     """A descriptor of the quads' tables."""
     if options.use_vocab_metadata:
-        return infer.infer(quads, options.vocabulary)
+        known = options.vocabulary
+        if known is None and options.resolve:
+            known = infer.fetch_vocabularies(quads, options.reader())
+        return infer.infer(quads, known)
     rows = infer.summary(infer.observations(quads)).withColumn("level", F.col("smin") == F.col("smax"))
     return infer.describe(rows.collect())  # a row per class and predicate
 

@@ -6,14 +6,14 @@ import copy
 import functools
 import os
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadloom.functions.terms import RDF, RDFS, SKOS, common_ancestor, datatype_name, local_name
+from quadloom.functions.terms import QUAD, RDF, RDFS, SKOS, common_ancestor, datatype_name, local_name
 from quadloom.plans.descriptor import percent_name
 
 TYPE = RDF + "type"
@@ -106,6 +106,26 @@ def labels(quads: DataFrame, lang: str = "en") -> DataFrame:
     return own.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("s").alias("iri"), F.col("o").alias("label"))
 
 
+def vocabularies(quads: DataFrame) -> list[str]:
+    """The namespaces of predicates and classes (a row each), without their last character: where their documents are."""
+    used = quads.select(F.col("p").alias("iri")).union(quads.where((F.col("p") == TYPE) & (F.col("o_kind") == "iri")).select("o")).distinct()
+    return sorted(r.ns for r in used.select(F.regexp_extract("iri", r"^(.*)[/#][^/#]*$", 1).alias("ns")).where("ns <> ''").distinct().collect())
+
+
+def fetch_vocabularies(quads: DataFrame, read: Callable[[str], str]) -> DataFrame | None:
+    """The quads of those vocabularies' documents that ``read`` gives; each is asked for once, one that cannot be read or
+    parsed is passed over."""
+    from quadloom.sources import rdf
+
+    rows: list[tuple] = []
+    for i, place in enumerate(vocabularies(quads)):
+        try:
+            rows += rdf.parse(read(place), place, f"v{i}n")
+        except (OSError, KeyError, ValueError):
+            continue
+    return quads.sparkSession.createDataFrame(rows, QUAD) if rows else None
+
+
 def template(lo: str | None, hi: str | None, rlo: str | None, rhi: str | None, name: str, level: bool | None = True) -> str | None:
     """prefix{name}suffix of what lies between two extremes in both reading directions; {+name} if the varying part may
     hold a separator or nothing is common. What the extremes share all values share, in both directions; ``level``, whether
@@ -303,4 +323,4 @@ def move_columns(group: dict[str, Any], url: str, to: str, names: list[str]) ->
     return out
 
 
-__all__ = ["add_table", "classes", "columns", "describe", "infer", "labels", "local_name", "lock", "merge", "merge_summaries", "move_columns", "observations", "remove_column", "remove_table", "rename_column", "rename_table", "set_primary_key", "subjects", "summary", "template"]
+__all__ = ["add_table", "classes", "columns", "describe", "fetch_vocabularies", "infer", "labels", "local_name", "lock", "merge", "merge_summaries", "move_columns", "observations", "remove_column", "remove_table", "rename_column", "rename_table", "set_primary_key", "subjects", "summary", "template", "vocabularies"]

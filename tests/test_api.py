@@ -73,6 +73,32 @@ def test_inferred_names_come_from_labels_if_wanted(spark):
     assert made and set(found) and messages == [api.DEBUG]
 
 
+def test_names_come_from_the_documents_of_vocabularies(spark):
+    rows = [("iri", B + "s/1", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "iri", "http://voc.org/v#K", None, None, None), ("iri", B + "s/1", "http://voc.org/v#p", "literal", "x", XSD + "string", None, None), lit("s/1", "q", "y")]
+    asked = []
+
+    def read(url):
+        asked.append(url)
+        if url == "http://voc.org/v":
+            return '<http://voc.org/v#K> <http://www.w3.org/2004/02/skos/core#prefLabel> "Kind"@en, "Art"@de . <http://voc.org/v#p> <http://www.w3.org/2000/01/rdf-schema#label> "property" .'
+        if url == "http://example.org":
+            return "this is no RDF <"
+        raise OSError(url)
+
+    made = api.infer_descriptor(spark.createDataFrame(rows, QUAD), api.ConversionOptions(resolve=read))
+    assert sorted(asked) == ["http://example.org", "http://voc.org/v", "http://www.w3.org/1999/02/22-rdf-syntax-ns"]
+    assert [t["url"] for t in made["tables"]] == ["Kind.csv"] and {c["titles"] for c in made["tables"][0]["tableSchema"]["columns"]} == {"subject_id", "property", "q"}
+
+
+def test_a_sites_list_of_places_is_read(spark):
+    texts = {"http://h/.well-known/csvm": "{+url}.meta\n", "http://h/t.csv.meta": json.dumps({"@context": "http://www.w3.org/ns/csvw", "url": "t.csv", "tableSchema": {"columns": [{"name": "own"}]}})}
+    g = api.load_group("http://h/t.csv", api.ConversionOptions(resolve=texts.__getitem__), Issues())
+    assert g.tables[0].columns[0].name == "own"
+    linked = {"http://h/far.json": texts["http://h/t.csv.meta"]}
+    g = api.load_group("http://h/t.csv", api.ConversionOptions(resolve=linked.__getitem__, link='<far.json>; rel="describedby"; type="application/csvm+json"'), Issues())
+    assert g.tables[0].columns[0].name == "own"
+
+
 def test_warnings_reach_the_log_by_level(spark):
     g = {"@context": "http://www.w3.org/ns/csvw", "tables": [{"url": "a.csv", "suppressOutput": True, "tableSchema": {"columns": [{"name": "a"}]}}, {"url": "b.csv", "tableSchema": {"columns": [{"name": "b"}]}}]}
     for level, n in ((api.WARN, 1), (api.ERROR, 0)):

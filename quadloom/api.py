@@ -17,7 +17,7 @@ from quadloom.functions import templates
 from quadloom.issues import Issues
 from quadloom.operators import c2r, infer, r2c
 from quadloom.plans.descriptor import Loader, Table, TableGroup
-from quadloom.sources import rdf, resolve, tables
+from quadloom.sources import resolve, tables
 from quadloom.streaming import extract
 
 #: Log levels: what is handed to ``log``.
@@ -127,7 +127,7 @@ def to_tables(quads: DataFrame, options: ConversionOptions = ConversionOptions()
         found = extract.window_rows(quads, group, options.window_size)
         r2c.tables_with_rows(group, issues)
     else:
-        found = r2c.convert(rdf.as_set(quads), group, issues)
+        found = r2c.convert(quads, group, issues, distinct=True)
     options.report(issues)
     return found, {t.url: t for t in group.tables}, made
 

@@ -353,7 +353,7 @@ def r2c_hub(spark, sf_dir):
     others = [quads(rows(spark, sf_dir, "lineitem", [s, f"case when l_linenumber <> 3 {more} then {c} else '' end"]), flag(n)) for n, c, more in (("r", "l_returnflag", ""), ("t", "l_linestatus", "and l_linestatus = 'O'"))]
     q = quads(rows(spark, sf_dir, "lineitem", [s, "l_orderkey * 10 + l_linenumber"]), made).unionByName(others[0]).unionByName(others[1])
     t = described("h.csv", [{"name": "n", "required": True, "datatype": "integer"}, {"name": "r", "required": True}, {"name": "t"}], aboutUrl=B + "h/{s}")
-    return r2c.table_rows(rdf.as_set(q), table_of(t), hubs=1000)
+    return r2c.table_rows(q, table_of(t), hubs=1000, distinct=True)
 
 
 @query("SELECT o_orderpriority, o_orderstatus FROM orders WHERE o_orderstatus = 'O'")
@@ -419,8 +419,8 @@ SELECT n::VARCHAR AS n, d FROM a JOIN b USING (k)""")
 def r2c_multivalue_cross(spark, sf_dir):
     cols = [{"name": "n", "datatype": "integer", "required": True}, {"name": "d", "datatype": "date", "required": True}]
     made = described("l.csv", [{"name": "k", "suppressOutput": True}, *cols], aboutUrl=B + "o/{k}")
-    q = rdf.as_set(quads(rows(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "to_date(l_shipdate)"]), made))
-    return r2c.table_rows(q, table_of(described("l.csv", cols, aboutUrl=B + "o/{k}")))
+    q = quads(rows(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "to_date(l_shipdate)"]), made)
+    return r2c.table_rows(q, table_of(described("l.csv", cols, aboutUrl=B + "o/{k}")), distinct=True)
 
 
 @query("SELECT o_orderpriority, o_custkey::VARCHAR AS o_custkey FROM orders")

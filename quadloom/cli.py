@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in ("csvw2rdf", "c2r"):
         serialize.write(api.to_quads(spark, a.input, options, issues), a.output, a.format or serialize.format_of(a.output))
     elif a.command in ("rdf2csvw", "r2c"):
-        quads = rdf.as_set(rdf.read_rdf(spark, resolve.override(a.input, list(rules)), a.base_iri or None)).persist()
+        quads = rdf.read_rdf(spark, resolve.override(a.input, list(rules)), a.base_iri or None).persist()
         found, described, made = api.to_tables(quads, options, issues)
         for url, rows in found.items():
             name, _ = api.table_header(described[url])

@@ -20,6 +20,7 @@ from quadloom.operators import infer
 from quadloom.plans.descriptor import Column, Table, TableGroup
 
 TYPE = RDF + "type"
+TERM = ["o_kind", "o", "o_dt", "o_lang"]
 #: A subject with more quads than this in one star is converted by joins.
 HUB = 100_000
 
@@ -151,14 +152,26 @@ def _reduced(own: DataFrame, star: Star, table: Table) -> DataFrame:
     return own
 
 
-def star_lists(quads: DataFrame, star: Star, table: Table) -> DataFrame:
+def star_lists(quads: DataFrame, star: Star, table: Table, distinct: bool = False) -> DataFrame:
     """g, subject and the list l{i} of each column's objects: one shuffle on (g, s)."""
-    return _lists(_reduced(of_star(quads, star, table), star, table), star, table)
+    return _lists(_reduced(of_star(quads, star, table), star, table), star, table, distinct)
 
 
-def _lists(own: DataFrame, star: Star, table: Table) -> DataFrame:
-    lists = [F.collect_list(F.when(matches(s, table), F.col("o"))).alias(f"l{s.index}") for s in star.slots]
+def _faceted(slot: Slot) -> bool:
+    dt = slot.column.datatype
+    return bool(dt.bounds or dt.format or dt.length is not None or dt.min_length is not None or dt.max_length is not None)
+
+
+def _lists(own: DataFrame, star: Star, table: Table, distinct: bool) -> DataFrame:
+    if any(_faceted(s) for s in star.slots):  # values outside their facets do not cross the shuffle
+        own = own.where(_any([matches(s, table) for s in star.slots]))
+    if distinct:  # each quad once, by the aggregate that is needed anyway
+        lists = [F.collect_set(F.when(matches(s, table), F.struct(*TERM, *(["p"] if s.predicate is None else [])))).alias(f"l{s.index}") for s in star.slots]
+    else:
+        lists = [F.collect_list(F.when(matches(s, table), F.col("o"))).alias(f"l{s.index}") for s in star.slots]
     out = own.groupBy("g", "s").agg(*lists)
+    if distinct:
+        out = out.select("g", "s", *[F.col(f"l{s.index}.o").alias(f"l{s.index}") for s in star.slots])
     must = [s for s in star.slots if s in needed(star, table) or is_type(s)]
     if not needed(star, table):  # all optional: a subject counts once any column has a value
         out = out.where(_any([F.size(f"l{s.index}") > 0 for s in star.slots]))
@@ -181,8 +194,8 @@ class Hubs:
 
     GRID = 8
 
-    def __init__(self, own: DataFrame, star: Star, table: Table, limit: int):
-        self.star, self.table = star, table
+    def __init__(self, own: DataFrame, star: Star, table: Table, limit: int, distinct: bool):
+        self.star, self.table, self.distinct = star, table, distinct
         keys = own.groupBy("g", "s").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("g", "s")
         self.keys = runtime.materialize(keys, "hubs")
         self.found = not self.keys.isEmpty()
@@ -196,7 +209,9 @@ class Hubs:
         return self._join(self.own, "left_anti")
 
     def values(self, slot: Slot) -> DataFrame:
-        return self._join(self.own, "left_semi").where(matches(slot, self.table)).select("g", "s", F.col("o").alias(f"o{slot.index}"))
+        own = self._join(self.own, "left_semi").where(matches(slot, self.table))
+        own = own.dropDuplicates(["g", "s", "p", *TERM]) if self.distinct else own
+        return own.select("g", "s", F.col("o").alias(f"o{slot.index}"))
 
     def rows(self, left_out: list[Slot]) -> DataFrame:
         """g, s and l{i} with at most one value each, a row for each solution; columns ``left_out`` stay empty."""
@@ -248,11 +263,12 @@ def subject_of(stars: dict[str, Star], key: str) -> str:
     return f"s{stars[key].slots[0].index}"
 
 
-def bindings(quads: DataFrame, table: Table, hubs: int | None = None, product: bool = False) -> DataFrame:
+def bindings(quads: DataFrame, table: Table, hubs: int | None = None, product: bool = False, distinct: bool = False) -> DataFrame:
     """One row per solution: o{i}, and s{i}, the subject of each column's star; g, the graph ('' the default one).
 
     Subjects with more than ``hubs`` quads are looked for and converted by joins (None: all are lists). Stars that neither a
-    link nor a shared variable joins are an error, unless their ``product`` is asked for."""
+    link nor a shared variable joins are an error, unless their ``product`` is asked for. Quads must be a set, or ``distinct``
+    makes them one, star by star."""
     stars = plan(table)
     quads = in_graphs(quads)
     done: set[str] = set()
@@ -268,10 +284,10 @@ def bindings(quads: DataFrame, table: Table, hubs: int | None = None, product: b
         done.update(s.child for s in links)
         loose = [s for s in links if s not in must and needed(stars[s.child], table)]
         own = _reduced(of_star(quads, star, table), star, table)
-        hub = Hubs(own, star, table, hubs) if hubs is not None else None
+        hub = Hubs(own, star, table, hubs, distinct) if hubs is not None else None
         if hub is not None and not hub.found:
             hub = None
-        lists = _lists(hub.others() if hub else own, star, table)
+        lists = _lists(hub.others() if hub else own, star, table, distinct)
         out = lists.unionByName(hub.rows([*loose, *closing])) if hub else lists
         for s in links:
             right = build(s.child).withColumnsRenamed({"s": "child_s", "g": "child_g"})
@@ -335,9 +351,9 @@ def output_names(table: Table, lang: str = "und") -> list[str]:
     return out
 
 
-def table_rows(quads: DataFrame, table: Table, lang: str = "und", hubs: int | None = None, product: bool = False) -> DataFrame:
-    """The table's text rows. Quads must be a set (sources.rdf.as_set)."""
-    return render(bindings(quads, table, hubs, product), table, lang)
+def table_rows(quads: DataFrame, table: Table, lang: str = "und", hubs: int | None = None, product: bool = False, distinct: bool = False) -> DataFrame:
+    """The table's text rows. Quads must be a set (sources.rdf.as_set), or ``distinct`` makes them one without a shuffle of its own."""
+    return render(bindings(quads, table, hubs, product, distinct), table, lang)
 
 
 def render(found: DataFrame, table: Table, lang: str = "und", extra: Sequence[C] = ()) -> DataFrame:
@@ -410,6 +426,6 @@ def tables_with_rows(group: TableGroup, issues: Issues | None = None) -> list[Ta
     return out
 
 
-def convert(quads: DataFrame, group: TableGroup, issues: Issues | None = None, hubs: int | None = HUB) -> dict[str, DataFrame]:
-    """Table URL -> rows, for all tables that are not suppressed and have columns."""
-    return {t.url: table_rows(quads, t, group.lang, hubs) for t in tables_with_rows(group, issues)}
+def convert(quads: DataFrame, group: TableGroup, issues: Issues | None = None, hubs: int | None = HUB, distinct: bool = False) -> dict[str, DataFrame]:
+    """Table URL -> rows, for all tables that are not suppressed and have columns. ``distinct``: quads may repeat."""
+    return {t.url: table_rows(quads, t, group.lang, hubs, distinct=distinct) for t in tables_with_rows(group, issues)}

@@ -129,7 +129,7 @@ def window_rows(quads: DataFrame, group: TableGroup, size: int, step: int | None
     own = windows_of(quads, size, step, number, first, last)
     own = own.withColumn("g", F.concat(F.col("window").cast("string"), F.lit(_MARK), F.coalesce("g", F.lit("")))).select(*QUAD_COLUMNS)
     window = F.split("g", _MARK)[0].cast("bigint").alias("window")
-    return {t.url: r2c.render(r2c.bindings(own.dropDuplicates(QUAD_COLUMNS), t), t, group.lang, [window]) for t in r2c.tables_with_rows(group)}
+    return {t.url: r2c.render(r2c.bindings(own, t, distinct=True), t, group.lang, [window]) for t in r2c.tables_with_rows(group)}
 
 
 def window_emissions(quads: DataFrame, group: TableGroup, size: int, step: int | None = None, number: str = "n") -> dict[str, DataFrame]:

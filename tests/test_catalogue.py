@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["c2r_full_region", "c2r_ordered_list", "c2r_null_facets", "c2r_number_pattern", "c2r_datetime", "csv_dialect_roundtrip", "nquads_roundtrip", "turtle_roundtrip", "r2c_optional", "r2c_chain", "r2c_typed_root",
          "r2c_multivalue_cross", "r2c_filter_number", "r2c_filter_lang", "r2c_roundtrip_customer", "infer_columns", "infer_template", "issues_required", "fk_check", "window_ring", "stream_c2r",
          "jsonld_roundtrip", "trig_roundtrip", "csv_blank_lines", "csv_ragged", "csv_headerless", "csv_encoding", "csv_row_numbers", "r2c_optional_chain", "r2c_two_variables",
-         "r2c_hub", "r2c_constant_literal", "r2c_key_root", "r2c_cycle", "r2c_issues", "infer_template_mixed", "window_emit_filter"]
+         "r2c_constant_literal", "r2c_key_root", "r2c_cycle", "r2c_issues", "infer_template_mixed", "csv_skipped", "csv_trimmed", "csv_terminators", "c2r_percent", "c2r_inherited", "issues_as_quads"]
 
 
 @pytest.fixture(scope="module")

@@ -224,10 +224,8 @@ def trig_roundtrip(spark, sf_dir):
     path = runtime.scratch_path(spark, "supplier") + ".trig"
     # each predicate in blocks of its own, so that a node's triples lie in different parts
     halves = [made.where(F.col("p").endswith(c)).withColumn("g", F.lit(B + "g")) for c in ("s_name", "s_nationkey")]
-    for i, half in enumerate(halves):
-        serialize.write(half, f"{path}.tmp{i}", "trig")
-    lines = spark.read.text(f"{path}.tmp0").union(spark.read.text(f"{path}.tmp1"))
-    lines.write.text(path)
+    for half in halves:
+        serialize.write(half, path, "trig", "append")
     read = rdf.read_rdf(spark, path)
     name, nation = (read.where(F.col("p").endswith(c)).select("s", "g", F.col("o").alias(c)) for c in ("s_name", "s_nationkey"))
     return name.join(nation, ["s", "g"]).select("s_name", "s_nationkey", "g")

@@ -113,26 +113,32 @@ def jsonld(quads: DataFrame) -> DataFrame:
     return rows.mapInPandas(nodes, "value string")
 
 
-def write(quads: DataFrame, path: str, fmt: str | None = None) -> None:
+#: Subject blocks of one Turtle or TriG file: such files are parsed whole.
+BLOCKS = 20_000
+
+
+def write(quads: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> None:
     """Part files of lines or subject blocks; the folder is one document, so its parts share blank-node labels. Turtle
-    and TriG parts each repeat the prefixes they may use, JSON-LD parts are one array each."""
+    and TriG parts hold at most BLOCKS blocks and each repeat the prefixes they may use, JSON-LD parts are one array each.
+    ``mode`` "append" adds parts to the document."""
     fmt = fmt or format_of(path)
     if fmt in ("ntriples", "nquads"):
-        lines(quads, fmt == "nquads").write.text(path)
+        lines(quads, fmt == "nquads").write.mode(mode).text(path)
     elif fmt in ("turtle", "trig"):
-        head = prefix_lines(PREFIXES)
+        head, size = prefix_lines(PREFIXES), BLOCKS
 
         def with_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            first = True
+            at = 0  # blocks in the file that is being written: Spark begins the next one after size + 1 rows
             for pdf in batches:
-                if len(pdf):
-                    if first:
+                while len(pdf):
+                    if at == 0:
                         yield pd.DataFrame({"value": [head]})
-                    first = False
-                    yield pdf
+                    own, pdf = pdf.iloc[: size - at], pdf.iloc[size - at :]
+                    at = (at + len(own)) % size
+                    yield own
 
         runtime.ship(quads.sparkSession)
-        turtle_blocks(quads, graphs=fmt == "trig").mapInPandas(with_head, "value string").write.text(path)
+        turtle_blocks(quads, graphs=fmt == "trig").mapInPandas(with_head, "value string").write.mode(mode).option("maxRecordsPerFile", size + 1).text(path)
     elif fmt == "jsonld":
         def as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Each part file is one JSON array, an object a line."""
@@ -145,7 +151,7 @@ def write(quads: DataFrame, path: str, fmt: str | None = None) -> None:
                     held = value
             yield pd.DataFrame({"value": ["]"] if held is None else [held, "]"]})
 
-        jsonld(quads).mapInPandas(as_array, "value string").write.text(path)
+        jsonld(quads).mapInPandas(as_array, "value string").write.mode(mode).text(path)
     else:
         raise ValueError(f"cannot write {fmt}")
 

@@ -42,3 +42,18 @@ def test_row_conversion_has_no_exchange_and_no_python(spark):
 def test_a_star_takes_one_exchange_and_pushes_its_predicates(spark):
     plan = catalogue.r2c_star_required(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_trig_parts_stay_whole_when_their_files_are_large(spark, duck, monkeypatch):
+    """Files larger than a split, and more blocks than a file may hold: no block is cut, each file has its prefixes."""
+    monkeypatch.setattr(catalogue.serialize, "BLOCKS", 3, raising=False)
+    small = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = catalogue.trig_roundtrip(spark, SF).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert rows(got) == rows(duck.sql(catalogue.ORACLES["trig_roundtrip"]).df())

@@ -2,7 +2,7 @@
 
 ``window_changes`` keeps the ring of the last ``size`` quads in Spark's state store and gives the quads that each step adds
 and removes. ``convert_windows`` converts each closed window as a whole. ``row_stream`` needs no window: every star keeps
-its subjects' values in the state store, so that a batch reads the state of the subjects that it touches, and gives the
+its subjects' values in the state store, dealt to buckets, so that a batch reads the state of the buckets that it touches, and gives the
 solutions that a new value makes possible, each once: those that hold at least one new value. Linked stars are joined as
 they come (new left rows with all right rows, old left rows with new right ones).
 """
@@ -10,11 +10,12 @@ they come (new left rows with all right rows, old left rows with new right ones)
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -28,6 +29,9 @@ from quadloom.streaming.windows import window_step
 FRAME = 10_000
 #: Tasks that a ring is dealt to.
 SHARDS = 64
+#: Keys of the state store that subjects are dealt to: a call from Python for each subject takes a millisecond, one for each of
+#: these takes as long. What a batch reads is the state of the buckets that it touches.
+BUCKETS = 1 << 12
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,6 +57,21 @@ def tuples(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
             yield tuple(map(_plain, r))
 
 
+def bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+
+
+def stored(state) -> Iterator[list]:
+    """The rows of a list state of JSON texts, in the order in which they came."""
+    for (text,) in state.get():
+        yield from json.loads(text)
+
+
+def texts(rows: list) -> list[tuple[str]]:
+    """Rows as JSON texts of at most FRAME rows, for stored()."""
+    return [(json.dumps(rows[i : i + FRAME], ensure_ascii=False),) for i in range(0, len(rows), FRAME)]
+
+
 # Windows
 
 
@@ -240,29 +259,34 @@ def _delete_before(spark: SparkSession, store: str, first: int, batch: int) -> N
 
 
 class StarValues(StatefulProcessor):
-    """A subject's values, column by column. New ones give the solutions that hold at least one of them."""
+    """Subjects' values, column by column, for the subjects of a bucket. New ones give the solutions that hold at least one of them."""
 
     def __init__(self, slots: list[int], needed: list[int], shown: list[int]):
         self.slots, self.needed, self.shown = slots, needed, shown
 
     def init(self, handle) -> None:
-        self.values = handle.getMapState("values", "slot int, id string", "o string")
+        self.values = handle.getListState("values", "rows string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old: dict[int, list] = {s: [] for s in self.slots}
-        known = set()
-        for (slot, ident), (o,) in self.values.iterator():
-            known.add((slot, ident))
-            old[slot].append(o)
-        new: dict[int, list] = {s: [] for s in self.slots}
-        for slot, ident, o in tuples(rows, ["slot", "id", "o"]):
-            k = (int(slot), ident)
-            if k not in known:
-                known.add(k)
-                new[k[0]].append(o)
-                self.values.updateValue(k, (o,))
-        g, s = map(_plain, key)
-        yield from frames(((g, s, *r) for r in self.solutions(old, new)), ["g", "s", *(f"o{i}" for i in self.shown)])
+        came: dict[tuple, dict] = {}  # subject -> slot and quad -> value
+        for g, s, slot, ident, o in tuples(rows, ["g", "s", "slot", "id", "o"]):
+            came.setdefault((g, s), {}).setdefault((int(slot), ident), o)
+        old: dict[tuple, dict] = {}
+        for g, s, slot, ident, o in stored(self.values):
+            if (g, s) in came:
+                came[g, s].pop((slot, ident), None)
+                old.setdefault((g, s), {k: [] for k in self.slots})[slot].append(o)
+        if kept := [(*subject, *k, o) for subject, values in came.items() for k, o in values.items()]:
+            self.values.appendList(texts(kept))
+        yield from frames(self._rows(old, came), ["g", "s", *(f"o{i}" for i in self.shown)])
+
+    def _rows(self, old: dict[tuple, dict], came: dict[tuple, dict]) -> Iterator[tuple]:
+        for subject, values in came.items():
+            new: dict[int, list] = {k: [] for k in self.slots}
+            for (slot, _), o in values.items():
+                new[slot].append(o)
+            for r in self.solutions(old.get(subject) or {k: [] for k in self.slots}, new):
+                yield *subject, *r
 
     def solutions(self, old: dict[int, list], new: dict[int, list]) -> Iterator[tuple]:
         every = {s: old[s] + new[s] for s in self.slots}
@@ -280,36 +304,45 @@ class StarValues(StatefulProcessor):
 
 
 class OptionalRows(StatefulProcessor):
-    """Left rows with all right rows of their key, each pair once; a left row without any, when it comes, alone."""
+    """Left rows with all right rows of their key, each pair once, for the keys of a bucket; a left row without any, when it
+    comes, alone."""
 
-    def __init__(self, left: list[str], right: list[str]):
-        self.left, self.right = left, right
+    def __init__(self, keys: list[str], left: list[str], right: list[str]):
+        self.keys, self.left, self.right = keys, left, right
 
     def init(self, handle) -> None:
-        self.lefts = handle.getListState("lefts", ", ".join(f"l{i} string" for i in range(len(self.left))))
-        self.rights = handle.getListState("rights", ", ".join(f"r{i} string" for i in range(len(self.right))))
+        self.lefts = handle.getListState("lefts", "rows string")
+        self.rights = handle.getListState("rights", "rows string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new_left, new_right = [], []
-        n = len(self.left)
-        for side, *row in tuples(rows, ["side", *self.left, *self.right]):
-            new_left.append(tuple(row[:n])) if side == 0 else new_right.append(tuple(row[n:]))
+        k, n = len(self.keys), len(self.keys) + len(self.left)
+        for side, *row in tuples(rows, ["side", *self.keys, *self.left, *self.right]):
+            new_left.append(row[:n]) if side == 0 else new_right.append(row[:k] + row[n:])
         yield from frames(self._pairs(new_left, new_right), self.left + self.right)
         if new_left:
-            self.lefts.appendList(new_left)
+            self.lefts.appendList(texts(new_left))
         if new_right:
-            self.rights.appendList(new_right)
+            self.rights.appendList(texts(new_right))
 
-    def _pairs(self, new_left: list[tuple], new_right: list[tuple]) -> Iterator[tuple]:
+    def _pairs(self, new_left: list[list], new_right: list[list]) -> Iterator[tuple]:
+        k = len(self.keys)
         if new_left:
-            rights = [*(tuple(r) for r in self.rights.get()), *new_right]
-            for row in new_left:
-                for other in rights or [(None,) * len(self.right)]:
-                    yield row + other
+            asked = {tuple(r[:k]) for r in new_left}
+            rights: dict[tuple, list[tuple]] = {}
+            for r in itertools.chain(stored(self.rights), new_right):
+                if tuple(r[:k]) in asked:
+                    rights.setdefault(tuple(r[:k]), []).append(tuple(r[k:]))
+            for r in new_left:
+                for other in rights.get(tuple(r[:k])) or [(None,) * len(self.right)]:
+                    yield *r[k:], *other
         if new_right:
-            for row in self.lefts.get():
-                for other in new_right:
-                    yield tuple(row) + other
+            by_key: dict[tuple, list[list]] = {}
+            for r in new_right:
+                by_key.setdefault(tuple(r[:k]), []).append(r[k:])
+            for r in stored(self.lefts):
+                for other in by_key.get(tuple(r[:k]), ()):
+                    yield *r[k:], *other
 
     def close(self) -> None:
         pass
@@ -328,7 +361,7 @@ def star_stream(quads: DataFrame, star: r2c.Star, table: Table, shown: list[r2c.
     needed = [s.index for s in star.slots if s in r2c.needed(star, table) or r2c.is_type(s)]
     schema = "g string, s string, " + ", ".join(f"o{s.index} string" for s in shown)
     values = StarValues([s.index for s in star.slots], needed, [s.index for s in shown])
-    return own.groupBy("g", "s").transformWithStateInPandas(values, schema, "append", "none")
+    return own.withColumn("bucket", bucket("g", "s")).groupBy("bucket").transformWithStateInPandas(values, schema, "append", "none")
 
 
 def link_values(quads: DataFrame, star: r2c.Star, table: Table, slot: r2c.Slot) -> DataFrame:
@@ -347,7 +380,7 @@ def _optional(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) ->
         whole = whole & F.col(a).isNotNull()
     sides = left.where(whole).select(F.lit(0).alias("side"), *[F.col(a).alias(k) for (a, _), k in zip(keys, key, strict=True)], *lcols, *null(rcols)).unionByName(
         right.select(F.lit(1).alias("side"), *[F.col(b).alias(k) for (_, b), k in zip(keys, key, strict=True)], *null(lcols), *rcols))
-    joined = sides.groupBy(*key).transformWithStateInPandas(OptionalRows(lcols, rcols), schema, "append", "none")
+    joined = sides.withColumn("bucket", bucket(*key)).groupBy("bucket").transformWithStateInPandas(OptionalRows(key, lcols, rcols), schema, "append", "none")
     return joined.unionByName(left.where(~whole).select(*lcols, *null(rcols)))
 
 

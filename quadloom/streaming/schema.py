@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from quadloom import runtime
 from quadloom.operators import infer
-from quadloom.streaming.extract import frames, prepare, tuples
+from quadloom.streaming.extract import bucket, frames, prepare, stored, texts, tuples
 
 _TERM = "struct<o:string,o_dt:string,o_lang:string>"
 _TYPES = {"vlo": _TERM, "vhi": _TERM, "dts": "array<string>", "smin": "int", "smax": "int"}
@@ -35,30 +35,51 @@ def merged(a: dict[str, Any] | None, b: dict[str, Any]) -> dict[str, Any]:
 
 
 class SubjectFacts(StatefulProcessor):
-    """A subject's FACTS by predicate and its classes. What a batch changes is given for each of its classes: all predicates to
-    a new class, changed ones to the others. The first class makes up for what was given without one."""
+    """Subjects' FACTS by predicate and their classes, for the subjects of a bucket. What a batch changes is given for each of a
+    subject's classes: all predicates to a new class, changed ones to the others. The first class makes up for what was given
+    without one. Later entries of the state replace earlier ones; it is written anew once half of it is replaced."""
 
     def init(self, handle) -> None:
-        self.facts = handle.getMapState("facts", "p string", "facts string")
+        self.facts = handle.getListState("facts", "rows string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = {p: json.loads(text) for (p,), (text,) in self.facts.iterator()}
+        came: dict[tuple, list] = {}
+        for g, s, named, *own in tuples(rows, ["g", "s", "named", "p", "facts", "classes"]):
+            came.setdefault((g, s, bool(named)), []).append(own)
+        known: dict[tuple, dict] = {}
+        n = live = 0
+        entries: dict[tuple, list] = {}
+        for row in stored(self.facts):
+            n += 1
+            entries[tuple(row[:4])] = row
+        for (*subject, p), row in entries.items():
+            live += 1
+            if tuple(subject) in came:
+                known.setdefault(tuple(subject), {})[p] = row[4]
+        out, kept = [], []
+        for subject, own in came.items():
+            self._subject(subject, own, known.get(subject, {}), out, kept)
+        if kept and n + len(kept) > 2 * (live + len(kept)):
+            self.facts.put(texts(list((entries | {tuple(r[:4]): r for r in kept}).values())))
+        elif kept:
+            self.facts.appendList(texts(kept))
+        yield from frames(iter(out), ["class", "p", "facts", "multi"])
+
+    def _subject(self, subject: tuple, own: list, known: dict[str, dict], out: list, kept: list) -> None:
+        _, s, named = subject
         classes = known.pop("", {"classes": []})["classes"]
         new_classes, changed = [], {}
-        for p, text, found in tuples(rows, ["p", "facts", "classes"]):
+        for p, text, found in own:
             new_classes += [c for c in json.loads(found) if c not in classes and c not in new_classes]
             if p != infer.TYPE:
                 before = changed.get(p) or known.get(p)
                 now = merged(before, json.loads(text))
                 if now != before:
                     changed[p] = now
-        for p, value in changed.items():
-            self.facts.updateValue((p,), (json.dumps(value),))
+        kept += [[*subject, p, value] for p, value in changed.items()]
         if new_classes:
-            self.facts.updateValue(("",), (json.dumps({"classes": classes + new_classes}),))
+            kept.append([*subject, "", {"classes": classes + new_classes}])
         every = known | changed
-        s, named = key[1], key[2]
-        out: list[tuple] = []
         for c in classes or ([] if new_classes else [""]):
             out += [self._row(c, p, x) for p, x in changed.items()]
         for c in new_classes:
@@ -69,7 +90,6 @@ class SubjectFacts(StatefulProcessor):
         first_sight = not known and not classes
         for c in new_classes or ([""] if first_sight else []):
             out.append(self._row(c, None, itself))
-        yield from frames(iter(out), ["class", "p", "facts", "multi"])
 
     @staticmethod
     def _row(cls: str, p: str | None, x: dict[str, Any]) -> tuple:
@@ -80,7 +100,7 @@ class SubjectFacts(StatefulProcessor):
 
 
 def fact_stream(quads: DataFrame) -> DataFrame:
-    """Rows of SUMMARY for a stream of quads, to be merged by infer.merge_summaries(): a stateful step per subject."""
+    """Rows of SUMMARY for a stream of quads, to be merged by infer.merge_summaries(): a stateful step per bucket of subjects."""
     prepare(quads.sparkSession)
     iri = F.when(F.col("o_kind") == "iri", F.col("o"))
     term = F.array("o", "o_dt", "o_lang")
@@ -89,7 +109,7 @@ def fact_stream(quads: DataFrame) -> DataFrame:
     facts = F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
     classes = F.to_json(F.when((F.col("p") == infer.TYPE) & iri.isNotNull(), F.array(iri)).otherwise(F.array().cast("array<string>")))
     own = quads.select(F.coalesce("g", F.lit("")).alias("g"), "s", (F.col("s_kind") == "iri").alias("named"), "p", facts.alias("facts"), classes.alias("classes"))
-    found = own.groupBy("g", "s", "named").transformWithStateInPandas(SubjectFacts(), "class string, p string, facts string, multi boolean", "append", "none")
+    found = own.withColumn("bucket", bucket("g", "s")).groupBy("bucket").transformWithStateInPandas(SubjectFacts(), "class string, p string, facts string, multi boolean", "append", "none")
     text = F.from_json("facts", ", ".join(f"{c} {'array<string>' if c in ('vlo', 'vhi') else _TYPES.get(c, 'string')}" for c in infer.FACTS))
     out = found.select("class", "p", text.alias("x"), "multi")
     cells = [(F.when(F.col(f"x.{c}").isNotNull(), F.struct(*[F.col(f"x.{c}")[i].alias(n) for i, n in enumerate(("o", "o_dt", "o_lang"))])) if c in ("vlo", "vhi") else F.col(f"x.{c}")).alias(c) for c in infer.FACTS]

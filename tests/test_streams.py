@@ -1,7 +1,9 @@
 """Streams to tables: rings, windows, rows as they come, schemas that only grow."""
 
+import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,50 @@ def test_solutions_hold_a_new_value_each_and_are_all_there():
             assert not given
 
 
+class Kept:
+    """A list state in memory."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.rows += rows
+        self.calls += 1
+
+    def put(self, rows):
+        self.rows = list(rows)
+        self.calls += 1
+
+    def getListState(self, name, schema):
+        return self
+
+
+def test_one_call_of_the_state_store_takes_many_subjects():
+    state, star = Kept(), extract.StarValues([0, 1], [0], [0, 1])
+    star.init(state)
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["g", "s", "slot", "id", "o"], dtype=object)])
+    give = lambda rows: [r for f in star.handleInputRows((5,), frame(rows), None) for r in f.itertuples(index=False, name=None)]
+    first = [("", f"s{i}", 0, f"i{i}", f"o{i}") for i in range(1000)]
+    assert sorted(give(first)) == sorted(("", f"s{i}", f"o{i}", None) for i in range(1000)) and state.calls == 1
+    assert give(first[:10]) == [] and state.calls == 1
+    assert give([("", "s3", 1, "x", "late"), ("", "new", 1, "x", "y")]) == [("", "s3", "o3", "late")] and state.calls == 2
+
+
+def test_facts_of_many_subjects_are_kept_by_one_call_and_replaced_ones_go():
+    state, found = Kept(), schema.SubjectFacts()
+    found.init(state)
+    fact = lambda o: json.dumps({**dict.fromkeys(infer.FACTS), "vlo": [o, None, None], "vhi": [o, None, None], "dts": ["string"]})
+    for k in range(9):
+        rows = [("", f"s{i}", True, "p", fact(f"{k}"), "[]") for i in range(100)]
+        out = [f for f in found.handleInputRows((5,), iter([pd.DataFrame(rows, columns=["g", "s", "named", "p", "facts", "classes"], dtype=object)]), None)]
+        assert sum(map(len, out)) == (200 if k == 0 else 100) and state.calls == k + 1
+        assert sum(len(json.loads(text)) for (text,) in state.rows) <= 400
+    assert {json.loads(r)[0][4]["vhi"][0] for (r,) in state.rows[-1:]} == {"8"}
+
+
 def test_ring_of_late_repeated_and_early_quads(spark):
     size, step = 20, 2
     own = [(*literal("s", "p", str(n)), n) for n in range(57)]

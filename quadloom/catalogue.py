@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quadloom import runtime
 from quadloom.functions import numbers
@@ -398,18 +397,21 @@ def r2c_issues(spark, sf_dir):
 SELECT 2 * n - 1 AS row, k, v, CASE WHEN n % 5 = 0 THEN 3 ELSE 2 END::BIGINT AS cells FROM w UNION ALL SELECT 2 * n, '', '', 1 FROM w""")
 def csv_quoted_breaks(spark, sf_dir):
     """Cells with line breaks, quotes and delimiters, blank lines, rows with a cell too many, in files of many splits."""
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    n, q = F.row_number().over(Window.orderBy("o_orderkey")), '"'
+    old, tasks = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.maxPartitionNum", None)
+    q = '"'
     v = F.expr(f"""case n % 4 when 0 then concat('{q}', o_orderpriority, '\n', 'and {q}{q}more{q}{q}, ', o_orderstatus, '{q}') when 1 then '' when 2 then o_orderstatus else '{q}\n\nx{q}' end""")
-    lines = runtime.table(spark, sf_dir, "orders").select("*", n.alias("n")).select("n", F.concat(F.concat_ws(",", F.col("o_orderkey").cast("string"), v), F.when(F.col("n") % 5 == 0, ",more").otherwise(""), F.lit("\n")).alias("value"))
-    path = _lines(spark, lines.orderBy("n").coalesce(1).select("value"), "breaks")
+    own = tables.renumbered(runtime.table(spark, sf_dir, "orders").withColumn("_at", F.col("o_orderkey"))).withColumn("n", F.col("_at") + 1)
+    lines = own.select("n", F.concat(F.concat_ws(",", F.col("o_orderkey").cast("string"), v), F.when(F.col("n") % 5 == 0, ",more").otherwise(""), F.lit("\n")).alias("value"))
+    path = _lines(spark, lines.orderBy("n").select("value"), "breaks")  # parts in the order of their names
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.maxPartitionNum", "256")  # a task reads many splits where there are more
     try:
         df, t = tables.read_csv(spark, path, _plain(path, ["k", "v"]))
         out = df.select(F.col("_row").alias("row"), F.col("_c0").alias("k"), F.col("_c1").alias("v"), F.col("_cells").cast("bigint").alias("cells"))
         return runtime.materialize(out, "breaks-read")  # while the splits are small
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.maxPartitionNum", tasks) if tasks else spark.conf.unset("spark.sql.files.maxPartitionNum")
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_shipdate::DATE::VARCHAR AS d FROM lineitem), a AS (SELECT DISTINCT k, n FROM l), b AS (SELECT DISTINCT k, d FROM l)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadloom import runtime
 from quadloom.plans.descriptor import Dialect
@@ -76,7 +77,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          pa.schema([("file", pa.string()), ("start", pa.int64()), ("out", pa.int32()), ("ins", pa.int32()), ("n_out", pa.int64()), ("n_ins", pa.int64())]))
 
 
-def _records(inside: frozenset, sep: str):
+def _records(inside: dict[str, frozenset], sep: str):
     """Cuts chunks into records: file, start, k (place in the chunk; -1: the head, the rest of a record before), text."""
     schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("k", pa.int64()), ("text", pa.string())])
 
@@ -95,7 +96,7 @@ def _records(inside: frozenset, sep: str):
                     if chunk:
                         done.append((*chunk, k, sep.join(parts)))
                     chunk, parts = (file, start), [line]
-                    state = chunk in inside
+                    state = start in inside.get(file, ())
                     k = -1 if state else 0
                 elif state:
                     parts.append(line)
@@ -116,21 +117,21 @@ def _records(inside: frozenset, sep: str):
 def _chunks(rows: DataFrame) -> DataFrame:
     """Adds to the summaries of a file's chunks, by composing them in their order: whether a chunk begins inside a cell, the
     number of records that begin before it in the table, and the chunk whose record its head continues."""
-    step = F.struct("start", "out", "ins", "n_out", "n_ins")
-    none = F.lit(None).cast("bigint")
-    begin = F.struct(F.lit(0).alias("state"), F.lit(0).cast("bigint").alias("n"), none.alias("opener"), F.array().cast("array<struct<start:bigint,inside:int,before:bigint,owner:bigint>>").alias("done"))
-
-    def compose(at: C, x: C) -> C:
-        inside = at["state"] == 1
-        n = F.when(inside, x["n_ins"]).otherwise(x["n_out"])
-        return F.struct(F.when(inside, x["ins"]).otherwise(x["out"]).alias("state"), (at["n"] + n).alias("n"), F.when(n > 0, x["start"]).otherwise(at["opener"]).alias("opener"),
-                        F.concat(at["done"], F.array(F.struct(x["start"].alias("start"), at["state"].alias("inside"), at["n"].alias("before"), F.when(inside, at["opener"]).alias("owner")))).alias("done"))
-
-    # a file's chunks are as many as its splits
-    files = rows.groupBy("file").agg(F.aggregate(F.array_sort(F.collect_list(step)), begin, compose).alias("x"))
-    files = files.select("file", F.col("x.n").alias("n"), F.col("x.done").alias("done"))
-    before = F.sum("n").over(runtime.running_window("file")) - F.col("n")
-    return files.withColumn("first", before).select("file", "first", F.inline("done")).withColumn("before", F.col("before") + F.col("first")).drop("first")
+    # a split keeps the state (out 0, ins 1), turns it (1, 0) or sets it: what counts is the last one that sets it, and how many
+    # turn it from there on. A file's chunks are as many as its splits.
+    at = Window.partitionBy("file").orderBy("start")
+    now, past = at.rowsBetween(Window.unboundedPreceding, Window.currentRow), at.rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("turns", F.sum(((F.col("out") == 1) & (F.col("ins") == 0)).cast("bigint")).over(now))
+    own = own.withColumn("set", F.last(F.when(F.col("out") == F.col("ins"), F.struct("out", "turns")), ignorenulls=True).over(now))
+    own = own.withColumn("end", ((F.coalesce(F.col("set.out"), F.lit(0)) + F.col("turns") - F.coalesce(F.col("set.turns"), F.lit(0))) % 2).cast("int"))
+    own = own.withColumn("inside", F.coalesce(F.lag("end").over(at), F.lit(0)))
+    own = own.withColumn("n", F.when(F.col("inside") == 1, F.col("n_ins")).otherwise(F.col("n_out")))
+    opener = F.last(F.when(F.col("n") > 0, F.col("start")), ignorenulls=True).over(past)
+    own = own.select("file", "start", "inside", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"), F.when(F.col("inside") == 1, opener).alias("owner"), "n")
+    own = runtime.materialize(own, "composed")
+    files = own.groupBy("file").agg(F.sum("n").alias("n"))
+    files = files.select("file", (F.sum("n").over(runtime.running_window("file")) - F.col("n")).alias("first"))
+    return own.join(files, "file").select("file", "start", "inside", (F.col("before") + F.col("first")).alias("before"), "owner")
 
 
 def whole_records(spark: SparkSession, path: str, dialect: Dialect, decode: C | None = None, sep: str = "\n") -> DataFrame:
@@ -141,7 +142,8 @@ def whole_records(spark: SparkSession, path: str, dialect: Dialect, decode: C |
     states = lines.select("file", "start", outside.alias("a"), inside.alias("b"), "value")
     summaries = states.drop("value").mapInArrow(_summaries, "file string, start bigint, out int, ins int, n_out bigint, n_ins bigint")
     chunks = runtime.materialize(_chunks(summaries), "chunks")
-    begun_inside = frozenset((r.file, r.start) for r in chunks.where("inside = 1").select("file", "start").collect())  # some of the chunks' borders
+    # some of the chunks' borders, numbers by file
+    begun_inside = {r.file: frozenset(r.starts) for r in chunks.where("inside = 1").groupBy("file").agg(F.collect_list("start").alias("starts")).collect()}
     found = states.mapInArrow(_records(begun_inside, sep), "file string, start bigint, k bigint, text string")
     if not begun_inside:
         records = found

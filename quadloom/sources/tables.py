@@ -94,7 +94,7 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width
         text = F.regexp_replace("value", "\r$", "") if end is None else F.col("value")
         lines = _kept(found.withColumn("value", text), dialect)
         if dialect.comment_prefix or dialect.skip_blank_rows:  # places that records left out have not
-            lines = _renumbered(lines)
+            lines = renumbered(lines)
         numbered = lines.withColumn("_line", F.col("_at") + 1).drop("_at").withColumn("_cells", _cell_count(F.col("value"), dialect))
         lines = numbered
     else:
@@ -110,7 +110,7 @@ def scan_csv(spark: SparkSession, path: str, dialect: Dialect = Dialect(), width
     return cells.select(*[F.coalesce(F.col(f"cells._c{i + skip}"), F.lit("")).alias(f"_c{i}") for i in range(width - skip)], (F.col("_cells") - skip).alias("_cells"), "_line")
 
 
-def _renumbered(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
+def renumbered(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
     """_at without gaps: the rows of each block of places are counted; their sums are a row for each block."""
     own = lines.withColumn("_block", F.expr(f"_at div {block}"))
     sizes = own.groupBy("_block").agg(F.count("*").alias("n"))

@@ -166,3 +166,25 @@ def test_scratch_folders_can_be_listed_and_deleted(spark):
     assert [x.rpartition("/")[2] for x in runtime.children(spark, path)] == ["k=0", "k=1", "k=2"]
     runtime.delete(spark, path)
     assert not runtime.exists(spark, path)
+
+
+def test_chunks_are_composed_without_a_list_of_them(spark):
+    rng = random.Random(8)
+    rows = [(f"f{i % 3}", i * 10, *rng.choice([(0, 1), (0, 1), (1, 0), (1, 1), (0, 0)]), rng.randint(0, 3), rng.randint(0, 3)) for i in range(900)]
+    found = records._chunks(spark.createDataFrame(rows, "file string, start bigint, out int, ins int, n_out bigint, n_ins bigint"))
+    want, before = [], 0
+    for file in ("f0", "f1", "f2"):
+        state, opener = 0, None
+        for _, start, out, ins, n_out, n_ins in (r for r in rows if r[0] == file):
+            n = n_ins if state else n_out
+            want.append((file, start, state, before, opener if state else None))
+            state, before, opener = (ins if state else out), before + n, start if n else opener
+    assert sorted(map(tuple, found.select("file", "start", "inside", "before", "owner").collect()), key=str) == sorted(want, key=str)
+    listed = []
+    real = records.F.collect_list
+    try:
+        records.F.collect_list = lambda c: listed.append(c) or real(c)
+        records._chunks(spark.createDataFrame(rows[:3], "file string, start bigint, out int, ins int, n_out bigint, n_ins bigint"))
+    finally:
+        records.F.collect_list = real
+    assert not listed  # what a file's list takes grows with the square of its splits

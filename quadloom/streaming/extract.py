@@ -126,6 +126,8 @@ def window_changes(quads: DataFrame, size: int, step: int | None = None, number:
     return own.groupBy("shard").transformWithStateInPandas(Ring(size, step), "step bigint, change string, n bigint, " + QUAD, "append", "none")
 
 
+#: Folders that a batch's quads are kept in.
+PARTS = 16
 #: Between the window's number and the graph's name in the graph column, while windows are converted side by side.
 _MARK = "\u0001"
 
@@ -189,8 +191,9 @@ def window_emissions(quads: DataFrame, group: TableGroup, size: int, step: int |
 def convert_windows(quads: DataFrame, group: TableGroup, size: int, emit: Callable[[str, DataFrame, int], None], checkpoint: str, *, step: int | None = None, number: str = "n", delay: int = 0, store: str | None = None) -> StreamingQuery:
     """Converts each window of a numbered stream when it closes: when a number ``delay`` behind its end has come.
 
-    A batch's quads are kept by step in a Parquet folder; a batch reads the steps of the windows that it closes, and folders
-    that no later window needs are deleted a batch later, so that what a batch reads does not grow. A batch that runs again
+    A batch's quads are kept in Parquet folders, PARTS or so of equally many steps each and named by their last step; a batch
+    reads those of the windows that it closes, and folders that no later window needs are deleted a batch later, so that what
+    a batch reads does not grow, and the number of its files neither. A batch that runs again
     overwrites its own part. ``emit(url, rows, batch)`` takes the rows with their window; ``last_windows`` those left over."""
     spark = quads.sparkSession
     runtime.ship(spark)
@@ -199,13 +202,14 @@ def convert_windows(quads: DataFrame, group: TableGroup, size: int, emit: Callab
 
     def one(batch: DataFrame, number_of: int) -> None:
         own = batch.select(F.col(number).cast("bigint").alias("n"), *QUAD_COLUMNS)
-        own.withColumn("step", F.expr(f"n div {step}")).write.mode("overwrite").partitionBy("step").parquet(f"{store}/quads/batch={number_of}")
+        low, new_top = own.agg(F.min("n"), F.max("n")).first()
+        width = 1 if low is None else (new_top // step - low // step) // PARTS + 1
+        own.withColumn("last", F.expr(f"(n div {step} div {width} + 1) * {width} - 1")).write.mode("overwrite").partitionBy("last").parquet(f"{store}/quads/batch={number_of}")
         top, closed, _ = _progress(spark, store, number_of - 1)
-        new_top = own.agg(F.max("n")).first()[0]
         top = max(top, -1 if new_top is None else new_top)
         now = max(closed, (top + 1 - delay - size) // step if top + 1 - delay >= size else -1)
         if now > closed:
-            for url, rows in window_rows(_kept(spark, store, closed + 1), group, size, step, "n", closed + 1, now).items():
+            for url, rows in window_rows(_kept(spark, store, closed + 1, step), group, size, step, "n", closed + 1, now).items():
                 emit(url, rows, number_of)
         _delete_before(spark, store, closed + 1, number_of)
         spark.createDataFrame([(top, now, step)], "top bigint, closed bigint, step bigint").coalesce(1).write.mode("overwrite").parquet(f"{store}/progress/batch={number_of}")
@@ -218,17 +222,17 @@ def last_windows(spark: SparkSession, group: TableGroup, size: int, checkpoint:
     step = step or window_step(size)
     store = store or checkpoint.rstrip("/") + "-window"
     top, closed, _ = _progress(spark, store, None)
-    return window_rows(_kept(spark, store, closed + 1), group, size, step, "n", closed + 1, max(top, 0) // step)
+    return window_rows(_kept(spark, store, closed + 1, step), group, size, step, "n", closed + 1, max(top, 0) // step)
 
 
-_KEPT = "n bigint, " + QUAD + ", batch bigint, step bigint"
+_KEPT = "n bigint, " + QUAD + ", batch bigint, last bigint"
 
 
-def _kept(spark: SparkSession, store: str, first: int) -> DataFrame:
-    """Quads of all steps from ``first`` on; other steps' files are not read."""
+def _kept(spark: SparkSession, store: str, first: int, step: int) -> DataFrame:
+    """Quads of all steps from ``first`` on; files that hold earlier steps alone are not read."""
     if not runtime.exists(spark, f"{store}/quads"):
         return spark.createDataFrame([], "n bigint, " + QUAD)
-    return spark.read.schema(_KEPT).option("basePath", f"{store}/quads").parquet(f"{store}/quads").where(F.col("step") >= first).select("n", *QUAD_COLUMNS)
+    return spark.read.schema(_KEPT).option("basePath", f"{store}/quads").parquet(f"{store}/quads").where((F.col("last") >= first) & (F.col("n") >= first * step)).select("n", *QUAD_COLUMNS)
 
 
 def _progress(spark: SparkSession, store: str, batch: int | None) -> tuple[int, int, int]:
@@ -246,7 +250,7 @@ def _delete_before(spark: SparkSession, store: str, first: int, batch: int) -> N
     """Deletes the steps below ``first`` of batches before ``batch``, and progress that a repeated batch cannot ask for."""
     for folder in runtime.children(spark, f"{store}/quads"):
         if int(folder.rpartition("=")[2]) < batch:
-            steps = [x for x in runtime.children(spark, folder) if "step=" in x]
+            steps = [x for x in runtime.children(spark, folder) if "last=" in x]
             old = [x for x in steps if int(x.rpartition("=")[2]) < first]
             for x in [folder] if len(old) == len(steps) else old:
                 runtime.delete(spark, x)

@@ -182,6 +182,20 @@ def test_windows_are_converted_as_they_close_and_old_steps_go(spark):
     assert len(last) >= 4  # windows come batch by batch, not at the end
 
 
+def test_a_batch_of_many_steps_is_kept_in_few_folders(spark):
+    g = group(described("t.csv", [column("a", "p/{p}", required=True)]))
+    rows, checkpoint, found = [(*literal(f"p/{n}", "a", f"v{n}"), n) for n in range(150)], runtime.scratch_path(spark, "many"), []
+
+    def emit(url, table, batch):
+        found.append(sum(len(runtime.children(spark, f)) for f in runtime.children(spark, checkpoint + "-window/quads")))
+
+    stream = stream_queries.in_batches([spark.createDataFrame(rows, QUAD + ", n bigint")], "many")
+    extract.convert_windows(stream, g, 10, emit, checkpoint).awaitTermination()
+    (rest,) = extract.last_windows(spark, g, 10, checkpoint).values()
+    assert found and max(found) <= 18
+    assert sorted(map(tuple, rest.select("window", "a").collect())) == sorted((w, f"v{n}") for w in range(141, 150) for n in range(w, 150))
+
+
 def facts(rows):
     return sorted((r["class"], r.p or "", tuple(r.dts), r.lo, r.hi, r.rlo, r.rhi, r.smin, r.smax, r.lang, r.multi, str(r.vlo), str(r.vhi)) for r in rows)
 

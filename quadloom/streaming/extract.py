@@ -158,36 +158,45 @@ def window_emissions(quads: DataFrame, group: TableGroup, size: int, step: int |
 
     A window's solution is emitted at its step if one of its terms came with the step before (of the first window: is in it)
     and one leaves with the next step or none comes with it. Of columns that give a class the subject counts, of others the
-    object. What comes and leaves is a table by window, role and term; a solution's terms are looked up in it by one join
-    and brought together again by one aggregate over the solution's number."""
-    step = step or window_step(size)
-    own = quads.select(F.col(number).cast("bigint").alias("n"), *QUAD_COLUMNS)
-    top = own.agg(F.max("n")).first()[0]
+    object. What comes and leaves is a table by window, role and term; each column's term is looked up in it by a join. Quads
+    are a set by the stars' own aggregate; shuffles are dealt to tasks by the number of quads in all windows, so that a task's
+    share does not grow with them, and the rows are written, as that number holds while they are made."""
+    spark, step = quads.sparkSession, step or window_step(size)
+    own = runtime.materialize(quads.select(F.col(number).cast("bigint").alias("n"), *QUAD_COLUMNS), "numbered")
+    top, count = own.agg(F.max("n"), F.count("*")).first()
     at = lambda n: F.expr(f"case when {n} < {size} then 0L else ({n} - {size}) div {step} + 1 end")
     came, left = at("n"), F.when(F.col("n") + size <= F.lit(top), at(f"(n + {size})"))
     flag = lambda window, previous, added, removed: F.struct(window.cast("bigint").alias("window"), F.lit(previous).alias("previous"), F.lit(added).alias("added"), F.lit(removed).alias("removed"))
-    marks = own.select(F.explode(F.array(flag(came, True, False, False), flag(came - 1, False, True, False), flag(left - 1, False, False, True))).alias("m"), "s", "o").where("m.window is not null")
-    terms = marks.select("m.*", F.explode(F.array(F.struct(F.lit("s").alias("role"), F.col("s").alias("term")), F.struct(F.lit("o").alias("role"), F.col("o").alias("term")))).alias("x"))
-    marks = terms.groupBy("window", "x.role", "x.term").agg(*[F.max(c).alias(c) for c in ("previous", "added", "removed")])
+    tables = r2c.tables_with_rows(group)
+    slots = {t.url: [slot for star in r2c.plan(t).values() for slot in star.slots] for t in tables}
+    roles = sorted({_role(slot) for some in slots.values() for slot in some})
+    flags = ["previous", "added", "removed"]
 
     windows_ = windows_of(own, size, step)
-    windows_ = windows_.withColumn("g", F.concat(F.col("window").cast("string"), F.lit(_MARK), F.coalesce("g", F.lit("")))).select(*QUAD_COLUMNS).dropDuplicates()
+    windows_ = windows_.withColumn("g", F.concat(F.col("window").cast("string"), F.lit(_MARK), F.coalesce("g", F.lit("")))).select(*QUAD_COLUMNS)
     out = {}
-    for t in r2c.tables_with_rows(group):
-        found = r2c.bindings(windows_, t).withColumn("window", F.split("g", _MARK)[0].cast("bigint"))
-        found = runtime.materialize(found.withColumn("solution", F.monotonically_increasing_id()), "solutions")  # numbers outlive a lost task
-        bound = []
-        for star in r2c.plan(t).values():
-            for slot in star.slots:
-                kind = slot.predicate == r2c.TYPE
-                bound.append(F.when(F.col(f"o{slot.index}").isNotNull(), F.struct(F.lit("s" if kind else "o").alias("role"), F.col(f"s{slot.index}" if kind else f"o{slot.index}").alias("term"))))
-        asked = found.select("solution", "window", F.explode(F.array_compact(F.array(*bound))).alias("x")).select("solution", "window", "x.*")
-        met = asked.join(marks, ["window", "role", "term"]).groupBy("solution").agg(*[F.max(c).alias(c) for c in ("previous", "added", "removed")])
-        kept = found.join(met.where("previous and (removed or not added)").select("solution"), "solution", "left_semi")
-        out[t.url] = r2c.render(kept, t, group.lang, [F.col("window")])
+    with runtime.shuffled(spark, count * -(-size // step)):
+        marks = own.select(F.explode(F.array(flag(came, True, False, False), flag(came - 1, False, True, False), flag(left - 1, False, False, True))).alias("m"), "s", "o").where("m.window is not null")
+        marks = marks.select("m.*", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("term")) for r in roles])).alias("x"))
+        marks = runtime.materialize(marks.groupBy("window", "x.role", "x.term").agg(*[F.max(c).alias(c) for c in flags]), "marks")
+        for t in tables:
+            found = r2c.bindings(windows_, t, distinct=True).withColumn("window", F.split("g", _MARK)[0].cast("bigint"))
+            for slot in slots[t.url]:
+                i, role = slot.index, _role(slot)
+                term = F.when(F.col(f"o{i}").isNotNull(), F.col(f"{role}{i}"))
+                met = marks.where(F.col("role") == role).select(F.col("window").alias("mark_window"), "term", *[F.col(c).alias(f"{c}{i}") for c in flags])
+                found = found.join(met, (F.col("window") == F.col("mark_window")) & (term == F.col("term")), "left").drop("mark_window", "term")
+            previous, added, removed = (F.coalesce(F.greatest(F.lit(False), *[F.col(f"{c}{slot.index}") for slot in slots[t.url]]), F.lit(False)) for c in flags)
+            kept = found.where(previous & (removed | ~added))
+            out[t.url] = runtime.materialize(r2c.render(kept, t, group.lang, [F.col("window")]), "emitted")
     return out
 
 
+def _role(slot: r2c.Slot) -> str:
+    """Which of a solution's terms counts for a column: s or o."""
+    return "s" if slot.predicate == r2c.TYPE else "o"
+
+
 def convert_windows(quads: DataFrame, group: TableGroup, size: int, emit: Callable[[str, DataFrame, int], None], checkpoint: str, *, step: int | None = None, number: str = "n", delay: int = 0, store: str | None = None) -> StreamingQuery:
     """Converts each window of a numbered stream when it closes: when a number ``delay`` behind its end has come.
 

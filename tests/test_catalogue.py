@@ -5,8 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quadloom import catalogue
+from quadloom import catalogue, runtime, stream_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["c2r_full_region", "c2r_ordered_list", "c2r_null_facets", "c2r_number_pattern", "c2r_datetime", "csv_dialect_roundtrip", "nquads_roundtrip", "turtle_roundtrip", "r2c_optional", "r2c_chain", "r2c_typed_root",
@@ -57,3 +58,13 @@ def test_trig_parts_stay_whole_when_their_files_are_large(spark, duck, monkeypat
         for k, v in old.items():
             spark.conf.set(k, v)
     assert rows(got) == rows(duck.sql(catalogue.ORACLES["trig_roundtrip"]).df())
+
+
+def test_what_windows_emit_is_dealt_by_the_number_of_rows(spark, duck, monkeypatch):
+    """A task's share is a number of rows: with more rows there are more tasks, whatever the session's setting."""
+    monkeypatch.setattr(runtime, "SHARE", 1000, raising=False)
+    got = catalogue.QUERIES["window_emit_filter"](spark, SF)
+    per_file = [r[0] for r in got.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(per_file) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_file) < 2500
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert rows(got.toPandas()) == rows(duck.sql(catalogue.ORACLES["window_emit_filter"]).df())

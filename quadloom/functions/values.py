@@ -99,7 +99,23 @@ def check(text: Column, dt: Datatype) -> tuple[Column, Column]:
     for limit, test in ((dt.length, lambda n, x: n == x), (dt.min_length, lambda n, x: n >= x), (dt.max_length, lambda n, x: n <= x)):
         if limit is not None:
             ok = ok & test(size(text, base), limit)
-    return ok, F.when(ok, lex).otherwise(text)
+    plain = _plain(text, dt)
+    if plain is None:
+        return ok, F.when(ok, lex).otherwise(text)
+    return F.when(plain, F.lit(True)).otherwise(ok), F.when(plain, text).when(ok, lex).otherwise(text)
+
+
+def _plain(text: Column, dt: Datatype) -> Column | None:
+    """Whether the text is what the engine itself writes for a whole number of at most 15 places or a day: valid and canonical
+    without a regular expression. None where a format, facets or the datatype's extent must be looked at."""
+    if dt.format or dt.bounds or any(n is not None for n in (dt.length, dt.min_length, dt.max_length)):
+        return None
+    if dt.base == "date":
+        return (F.length(text) == 10) & (text.try_cast("date").cast("string") == text)
+    low, high = numbers.EXTENTS.get(dt.base, (None, None))
+    if dt.base in numbers.INTEGERS and (low is None or low <= -(10**15)) and (high is None or high >= 10**15):
+        return (F.length(text) <= 15) & (text.try_cast("bigint").cast("string") == text)
+    return None
 
 
 def render(text: Column, dt: Datatype) -> Column:

@@ -189,10 +189,12 @@ def _any(tests: list[C]) -> C:
 
 class Hubs:
     """The subjects of a star that have more than ``limit`` quads, and their values as rows: no list holds them, and no task
-    has all of one. Their columns are crossed over a grid: a left row goes to one line and all columns of it, a value of the
-    next column to one column and all lines, so that each pair meets once, in one of GRID x GRID tasks."""
+    has all of one. Their values are found in one pass, each once, and written. Columns are crossed over a grid of lines and
+    columns: a left row goes to one line and all columns of it, a value of the next column to one column and all lines, so
+    that each pair meets once. A subject's grid follows from the numbers of its rows and values: a side of few is repeated,
+    the other is not, and it has a cell for every CELL pairs, CELLS at least."""
 
-    GRID = 8
+    CELLS, CELL, MOST = 64, 1_000_000, 1 << 14
 
     def __init__(self, own: DataFrame, star: Star, table: Table, limit: int, distinct: bool):
         self.star, self.table, self.distinct = star, table, distinct
@@ -200,6 +202,13 @@ class Hubs:
         self.keys = runtime.materialize(keys, "hubs")
         self.found = not self.keys.isEmpty()
         self.own = own
+        if self.found:
+            matched = F.array_compact(F.array(*[F.when(matches(s, table), F.lit(s.index)) for s in star.slots]))
+            every = self._join(own, "left_semi").select("g", "s", "p", *TERM, matched.alias("slots")).where(F.size("slots") > 0)
+            every = every.dropDuplicates(["g", "s", "p", *TERM]) if distinct else every
+            self.every = runtime.materialize(every.select("g", "s", "o", "slots"), "hub-values")
+            counts = self.every.groupBy("g", "s").agg(*[F.count_if(F.array_contains("slots", s.index)).alias(f"n{s.index}") for s in star.slots])
+            self.counts = runtime.materialize(counts, "hub-counts")
 
     def _join(self, quads: DataFrame, how: str) -> DataFrame:
         keys = self.keys.withColumnsRenamed({"g": "hub_g", "s": "hub_s"})  # written: small ones are broadcast, others are not
@@ -209,33 +218,51 @@ class Hubs:
         return self._join(self.own, "left_anti")
 
     def values(self, slot: Slot) -> DataFrame:
-        own = self._join(self.own, "left_semi").where(matches(slot, self.table))
-        own = own.dropDuplicates(["g", "s", "p", *TERM]) if self.distinct else own
-        return own.select("g", "s", F.col("o").alias(f"o{slot.index}"))
+        return self.every.where(F.array_contains("slots", slot.index)).select("g", "s", F.col("o").alias(f"o{slot.index}"))
+
+    def _grid(self, slot: Slot, bound: list[Slot]) -> DataFrame:
+        """own_g, own_s, lines and columns, powers of two, for subjects with values of the column."""
+        rows = F.lit(1.0)
+        for s in bound:
+            rows = rows * F.greatest(F.lit(1), f"n{s.index}")
+        n = F.col(f"n{slot.index}")
+        cells = F.least(F.lit(float(self.MOST)), F.greatest(F.lit(float(self.CELLS)), rows * n / self.CELL))
+        power = lambda c: F.pow(F.lit(2.0), F.round(F.log2(c)))
+        # rows * columns + n * lines is least where lines / columns is rows / n
+        lines = power(F.greatest(F.lit(1.0), F.least(cells, F.sqrt(cells * rows / n))))
+        return self.counts.where(n > 0).select(F.col("g").alias("own_g"), F.col("s").alias("own_s"), lines.cast("int").alias("lines"), F.greatest(F.lit(1), power(cells / lines)).cast("int").alias("columns"))
 
     def rows(self, left_out: list[Slot]) -> DataFrame:
         """g, s and l{i} with at most one value each, a row for each solution; columns ``left_out`` stay empty."""
         must = [s for s in self.star.slots if s in needed(self.star, self.table) or is_type(s)]
-        some = _any([matches(s, self.table) for s in self.star.slots])
-        out = self._join(self.own, "left_semi").where(some).select("g", "s").distinct()
-        line, column = F.lit("line"), F.lit("column")
-        cells = F.sequence(F.lit(0), F.lit(self.GRID - 1))
+        out = self.counts.select("g", "s")
+        bound: list[Slot] = []
         for slot in self.star.slots:
             o = f"o{slot.index}"
             if slot in left_out:
                 out = out.withColumn(o, F.lit(None).cast("string"))
                 continue
-            own = self.values(slot).withColumnsRenamed({"g": "own_g", "s": "own_s"})
-            bound = [c for c in out.columns if c not in ("g", "s")]
-            left = out.withColumn("line", F.pmod(F.xxhash64(line, *bound), F.lit(self.GRID)).cast("int")).withColumn("column", F.explode(cells))
-            right = own.withColumn("own_column", F.pmod(F.xxhash64(column, o), F.lit(self.GRID)).cast("int")).withColumn("own_line", F.explode(cells))
+            if not bound:  # a row a subject so far
+                nulls = [F.lit(None).cast("string").alias(c) for c in out.columns[2:]]
+                met = self.values(slot).select("g", "s", *nulls, o)
+                if slot not in must:
+                    without = self.counts.where(F.col(f"n{slot.index}") == 0)
+                    met = met.unionByName(without.select("g", "s", *nulls, F.lit(None).cast("string").alias(o)))
+                out = met
+                bound.append(slot)
+                continue
+            grid, values_ = self._grid(slot, bound), [f"o{s.index}" for s in bound]
+            line, column = (F.pmod(F.xxhash64(F.lit(kind), *cols), F.col(n)).cast("int") for kind, cols, n in (("line", values_, "lines"), ("column", [o], "columns")))
+            dealt = lambda df, how="inner", grid=grid: df.join(F.broadcast(grid), (df["g"] == grid["own_g"]) & (df["s"] == grid["own_s"]), how)
+            cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            left = dealt(out).select("g", "s", *out.columns[2:], line.alias("line"), cells("columns").alias("column"))
+            right = dealt(self.values(slot)).select("own_g", "own_s", o, column.alias("own_column"), cells("lines").alias("own_line"))
             met = left.join(right, (left["g"] == right["own_g"]) & (left["s"] == right["own_s"]) & (left["line"] == right["own_line"]) & (left["column"] == right["own_column"]))
-            met = met.select("g", "s", *bound, o)
+            met = met.select(*out.columns, o)
             if slot not in must:
-                with_value = own.select("own_g", "own_s").distinct()
-                without = out.join(with_value, (out["g"] == with_value["own_g"]) & (out["s"] == with_value["own_s"]), "left_anti")
-                met = met.unionByName(without.withColumn(o, F.lit(None).cast("string")))
+                met = met.unionByName(dealt(out, "left_anti").withColumn(o, F.lit(None).cast("string")))
             out = met
+            bound.append(slot)
         one = lambda o: F.when(o.isNull(), F.array().cast("array<string>")).otherwise(F.array(o))
         return out.select("g", "s", *[one(F.col(f"o{s.index}")).alias(f"l{s.index}") for s in self.star.slots])
 

@@ -68,3 +68,20 @@ def test_what_windows_emit_is_dealt_by_the_number_of_rows(spark, duck, monkeypat
     assert len(per_file) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(per_file) < 2500
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
     assert rows(got.toPandas()) == rows(duck.sql(catalogue.ORACLES["window_emit_filter"]).df())
+
+
+def test_hubs_are_read_once_and_crossed_like_lists(spark, monkeypatch):
+    """Every kind of column in every place, grids of one and of many cells; the quads are not read again for each column."""
+    made = [catalogue.described("h.csv", [{"name": "s", "suppressOutput": True}, {"name": c}], aboutUrl=catalogue.B + "h/{s}") for c in ("a", "b", "c")]
+    cells = lambda c, n, where: spark.range(n).where(where).select(F.expr("if(id % 3 = 0, 'x', string(id % 5))").alias("_c0"), F.expr(f"concat('{c}', id div 2)").alias("_c1"), F.lit(1).cast("bigint").alias("_row"))
+    parts = [catalogue.quads(cells(c, n, w), d) for c, n, w, d in zip("abc", (12, 90, 9), ("id > 1", "id % 5 <> 1", "id % 3 <> 0"), made, strict=True)]
+    q = runtime.materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]), "test-quads")
+    for needed in ("", "a", "b", "c", "ab"):
+        t = catalogue.table_of(catalogue.described("h.csv", [{"name": c, "required": c in needed} for c in "abc"], aboutUrl=catalogue.B + "h/{s}"))
+        want = rows(catalogue.r2c.table_rows(q, t, distinct=True).toPandas())
+        for cell in (10, 1_000_000):
+            monkeypatch.setattr(catalogue.r2c.Hubs, "CELL", cell, raising=False)
+            got = catalogue.r2c.table_rows(q, t, hubs=3, distinct=True)
+            assert rows(got.toPandas()) == want
+    plan = catalogue.QUERIES["r2c_hub"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("hub-quads") <= 1 and "l_orderkey" not in plan

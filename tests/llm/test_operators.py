@@ -428,6 +428,33 @@ def test_toxicity_compresses_windows_kind_by_kind():
     assert together == [r for i, t in enumerate(texts) for r in scored([i], [t])]
 
 
+def test_toxicity_compresses_the_windows_of_many_batches_in_one_call():
+    """A distinct window of a portion is compressed once by each class, whatever the batches, in the order of the texts."""
+    rng, calls = random.Random(5), []
+    model = toxicity.fit([prose(rng, 80) + " stinkhornish" for _ in range(60)], [prose(rng, 80) for _ in range(60)], 0.5)
+
+    class Counted:
+        def __init__(self, compress):
+            self.compress = compress
+
+        def sizes(self, windows):
+            calls.append(list(windows))
+            return self.compress.sizes(windows)
+
+    centres, pairs = model.compressors()
+    sent = SimpleNamespace(value=SimpleNamespace(compressors=lambda: (centres, [tuple(map(Counted, p)) for p in pairs]), weights=model.weights))
+    texts = [prose(rng, 1 + 9 * i) for i in range(12)]
+    texts = [*texts, None, "", *texts[::-1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t], pa.string())], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    got = [r for out in toxicity._scored(iter(batches), sent) for r in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert got == [(i, toxicity.probability(t, model, model.compressors())) for i, t in enumerate(texts)]
+    kinds = [[] for _ in pairs]
+    for t in texts:
+        data = b" " + toxicity._norm(t).encode() + b" "
+        kinds[toxicity._kind(data, centres)] += [data[k : k + toxicity.WINDOW] for k in range(0, max(1, len(data) - toxicity.STEP), toxicity.STEP)]
+    assert calls == [list(dict.fromkeys(k)) for k in kinds for _ in range(2)]
+
+
 def test_toxicity_of_a_small_language_with_dictionaries_of_its_own():
     rng = random.Random(9)
 

@@ -455,6 +455,27 @@ def test_toxicity_compresses_the_windows_of_many_batches_in_one_call():
     assert calls == [list(dict.fromkeys(k)) for k in kinds for _ in range(2)]
 
 
+def test_toxicity_scores_copies_side_by_side(spark):
+    """Copies from many tasks share a portion, so that their windows are compressed once; one text's many copies are parted."""
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(30)]
+    rows = [(i, texts[i % 30] + (" end" if i % 60 >= 30 else "")) for i in range(240)] + [(1000 + i, "the same") for i in range(2000)] + [(None, None), (7, None), (8, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8, "doc_id")
+    places = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = toxicity._side_by_side(table).withColumn("t", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    for n, r in enumerate(got):
+        places.setdefault(r.text, []).append((n, r.t))
+    assert len({t for _, t in places["the same"]}) > 1
+    apart = [max(n for n, _ in p) - min(n for n, _ in p) + 1 - len(p) for text, p in places.items()]
+    assert not any(apart)
+    assert sorted((r.doc_id or 0, round(r.score, 9)) for r in toxicity.score(table, toxicity.constant(0.25)).collect()) == sorted((i or 0, 0.25) for i, _ in rows)
+
+
 def test_toxicity_of_a_small_language_with_dictionaries_of_its_own():
     rng = random.Random(9)
 
